@@ -10,6 +10,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quire.functions.arrays import let
+
 # Unicode white space, line breaks, word characters and digits.
 SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
     "\u2028\u2029\u202f\u205f\u3000"
@@ -156,11 +158,11 @@ def token_overlap(a: Column, b: Column) -> Column:
 
 
 def token_share(left: Column, right: Column) -> Column:
-    """``token_overlap`` on ready-made distinct token arrays."""
-    return F.when(
-        (F.size(left) > 0) & (F.size(right) > 0),
-        F.size(F.array_intersect(left, right)) / F.size(left),
-    ).otherwise(F.lit(0.0))
+    """``token_overlap`` on ready-made distinct token arrays, each evaluated once."""
+    return let(F.struct(left.alias("a"), right.alias("b")), lambda p: F.when(
+        (F.size(p["a"]) > 0) & (F.size(p["b"]) > 0),
+        F.size(F.array_intersect(p["a"], p["b"])) / F.size(p["a"]),
+    ).otherwise(F.lit(0.0)))
 
 
 def first_line(c: Column) -> Column:

@@ -220,3 +220,49 @@ unnumbered AS (
     CASE WHEN bullet AND i % 3 = 0 THEN list_transform(parts, lambda x: 'zh ' || x) END FROM shaped),
 paper_elements AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS element_index,
   doc_id * 1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS element_id FROM unnumbered)"""
+
+
+PAGE_BLOCKS = 6
+
+
+def raw_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of six blocks as an extractor delivers them, with some unsound boxes."""
+    from quire.functions.arrays import inline_rows
+    from quire.functions.text import block_array
+
+    frame = paper_docs(spark, folder).select("doc_id", block_array(F.col("markdown")).alias("bs"))
+    count = F.floor((F.size("bs") + PAGE_BLOCKS - 1) / PAGE_BLOCKS).cast("int")
+    pages = F.transform(F.filter(F.sequence(F.lit(0), count), lambda p: p < count), lambda p: F.struct(
+        p.alias("page_number"), F.slice("bs", p * PAGE_BLOCKS + 1, PAGE_BLOCKS).alias("part")))
+
+    def box(b, o):
+        n = F.col("doc_id") + F.col("page_number") * PAGE_BLOCKS + o
+        before = F.array_join(F.slice("part", F.lit(1), o), "\n\n")
+        start = F.when(o == 0, 0).otherwise(F.length(before) + 2)
+        stop = F.when(n % 31 == 0, start + 1000000).otherwise(start + F.length(b))
+        x0, y0 = F.when(o % 2 == 0, 50.0).otherwise(310.0), (60 + 100 * o).cast("double")
+        kind = F.when(b.startswith("- "), "list-item").when(b.startswith("==>"), "picture").otherwise("text")
+        return F.struct(o.alias("index"), kind.alias("class"), F.when(n % 29 != 0, F.array(x0, y0, x0 + 200, y0 + 80)).alias("bbox"), F.array(start, stop).alias("pos"))
+
+    return inline_rows(frame, pages, "doc_id", key="page_number").select(
+        "doc_id", "page_number", F.array_join("part", "\n\n").alias("page_text"), F.transform("part", box).alias("boxes"))
+
+
+def pages(spark: SparkSession, folder: str) -> DataFrame:
+    from quire.operators.align import index_pages
+    from quire.sources.tables import load_pages
+
+    return index_pages(load_pages(raw_pages(spark, folder)))
+
+
+def align_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, element_index, text): two blocks each, some cut and some respelt."""
+    from quire.functions.arrays import numbered_rows
+    from quire.functions.text import block_array
+
+    frame = paper_docs(spark, folder).select("doc_id", block_array(F.col("markdown")).alias("bs"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size("bs") - 1) / 2).cast("int")), lambda j: F.array_join(F.slice("bs", j * 2 + 1, 2), " "))
+    rows = numbered_rows(frame.where(F.size("bs") > 0), pairs, "doc_id", names=("element_index", "text"))
+    j = F.col("element_index")
+    return rows.withColumn("text", F.when(j % 7 == 3, F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")))
+                           .when(j % 9 == 4, F.replace("text", F.lit("e"), F.lit("a"))).otherwise(F.col("text")))
