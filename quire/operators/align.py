@@ -13,10 +13,10 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from quire.functions import boxes as B
-from quire.functions.arrays import let
+from quire.functions.arrays import inline_rows, let
 from quire.functions.text import normalize_for_match, token_share, words
 from quire.session import materialize
 
@@ -184,14 +184,28 @@ def _boxes_starting(body: Column, text: Column, needle: Column) -> Column:
 
     An occurrence that begins in a box lies inside the box plus the needle's length.
     """
-    def look(b: Column, i: Column) -> Column:
-        window = F.substring(text, b["start"] + 1, b["stop"] - b["start"] + F.length(needle) - 1)
-        first = F.position(needle, window)
-        back = F.position(F.reverse(needle), F.reverse(window))
-        return F.struct(i.alias("i"), (b["start"] + first).alias("first"), F.when(first > 0, b["start"] + F.length(window) - back - F.length(needle) + 2).alias("last"),
-                        (first > 0).alias("hit"))
+    def look(b: Column, i: Column, sought: Column) -> Column:
+        size = F.length(sought)
+        window = F.substring(text, b["start"] + 1, b["stop"] - b["start"] + size - 1)
 
-    return F.filter(F.transform(body, look), lambda x: x["hit"])
+        def places(w: Column) -> Column:
+            first, back = F.position(sought, w), F.position(F.reverse(sought), F.reverse(w))
+            return F.struct(i.alias("i"), first.alias("hit"), (b["start"] + first).alias("first"),
+                            (b["start"] + F.length(w) - back - size + 2).alias("last"))
+
+        return let(window, places)
+
+    found = let(needle, lambda sought: F.transform(body, lambda b, i: look(b, i, sought)))
+    return F.filter(found, lambda x: x["hit"] > 0)
+
+
+def _best_row(df: DataFrame, rated: Column, *keep: str) -> DataFrame:
+    """Rows with the fields of the greatest struct in ``rated``; rows without one drop out.
+
+    The generator is a border for the optimizer, which would otherwise copy the whole
+    rating into a filter.
+    """
+    return inline_rows(df, F.filter(F.array(F.array_max(rated)), lambda x: x.isNotNull()), *keep, key="score")
 
 
 def head_tail_match(candidates: DataFrame) -> DataFrame:
@@ -204,14 +218,15 @@ def head_tail_match(candidates: DataFrame) -> DataFrame:
     def rate(h: Column, e: Column) -> Column:
         run = F.slice(body, h["i"] + 1, e["i"] - h["i"] + 1)
         joined = F.substring(text, F.get(body, h["i"])["start"] + 1, F.get(body, e["i"])["stop"] - F.get(body, h["i"])["start"])
-        score = B.text_match_score(t, joined) + B.ratio_size_score(_total(run), F.col("target_words"), e["i"] - h["i"] + 1)
+        score = let(joined, lambda c: B.text_match_score(t, c)) + let(_total(run), lambda n: B.ratio_size_score(
+            n, F.col("target_words"), e["i"] - h["i"] + 1))
         return F.struct(score.alias("score"), (-h["i"]).alias("a"), (-e["i"]).alias("b"))
 
     pairs = F.flatten(F.transform("heads", lambda h: F.transform(
         F.filter("tails", lambda e: (e["i"] > h["i"]) | ((e["i"] == h["i"]) & (e["last"] >= h["first"]))), lambda e: rate(h, e))))
-    best = ready.withColumn("best", F.array_max(pairs)).where(F.col("best").isNotNull())
-    run = F.slice(body, 1 - F.col("best.a"), F.col("best.a") - F.col("best.b") + 1)
-    return best.select("doc_id", "t", "page_number", F.col("best.score").alias("score"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
+    best = _best_row(ready, pairs, "doc_id", "t", "page_number", "body", "target_words")
+    run = F.slice(body, 1 - F.col("a"), F.col("a") - F.col("b") + 1)
+    return best.select("doc_id", "t", "page_number", "score", _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
 
 
 def with_next_boxes(pages: DataFrame, max_boxes: int) -> DataFrame:
@@ -248,11 +263,13 @@ def head_only_match(candidates: DataFrame, max_boxes: int = 8) -> DataFrame:
 
     def rate(run: Column, h: Column) -> Column:
         joined = F.array_join(F.transform(run, lambda b: b["norm"]), " ")
-        score = B.text_match_score(t, joined) + B.ratio_size_score(_total(run), F.col("target_words"), F.size(run))
+        score = let(joined, lambda c: B.text_match_score(t, c)) + let(_total(run), lambda n: B.ratio_size_score(
+            n, F.col("target_words"), F.size(run)))
         return F.struct(score.alias("score"), (-h["i"]).alias("a"), run.alias("run"))
 
-    best = ready.withColumn("best", F.array_max(F.transform("heads", lambda h: let(collect(h), lambda run: rate(run, h))))).where(F.col("best").isNotNull())
-    return best.select("doc_id", "t", "page_number", F.col("best.score").alias("score"), _summary(F.col("best.run"), F.col("target_words")).alias("match"))
+    rated = F.transform("heads", lambda h: let(collect(h), lambda run: rate(run, h)))
+    best = _best_row(ready, rated, "doc_id", "t", "page_number", "target_words")
+    return best.select("doc_id", "t", "page_number", "score", _summary(F.col("run"), F.col("target_words")).alias("match"))
 
 
 def _best_of_pages(matches: DataFrame) -> DataFrame:
@@ -261,7 +278,10 @@ def _best_of_pages(matches: DataFrame) -> DataFrame:
     return matches.groupBy("doc_id", "t").agg(F.max_by("match", rank).alias("match"))
 
 
-@F.pandas_udf("struct<score:double,first:int,last:int>")
+WINDOW = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+
+
+@F.pandas_udf(WINDOW)
 def best_window(targets: pd.Series, norms: pd.Series) -> pd.DataFrame:
     """A-14 on one page: the most similar run of one to four boxes; the earliest on ties.
 
@@ -312,9 +332,9 @@ def match_bullet_boxes(located: DataFrame, pages: DataFrame) -> DataFrame:
 
     single = F.transform("bullets", lambda _, i: rate(i, 1))
     double = F.transform(F.slice("bullets", F.lit(2), F.size("bullets")), lambda _, i: rate(i, 2))
-    best = rows.withColumn("best", F.array_max(F.concat(single, double))).where(F.col("best.score") >= 0.35)
-    run = F.slice("bullets", 1 - F.col("best.a"), -F.col("best.b"))
-    picked = best.select("doc_id", "t", F.struct(F.col("best.score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
+    best = _best_row(rows, F.concat(single, double), "doc_id", "t", "page_number", "bullets", "target_words").where(F.col("score") >= 0.35)
+    run = F.slice("bullets", 1 - F.col("a"), -F.col("b"))
+    picked = best.select("doc_id", "t", F.struct(F.col("score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
     return picked.groupBy("doc_id", "t").agg(F.max_by("match", "rank").alias("match")).withColumn("match", _at_most_medium(F.col("match")))
 
 

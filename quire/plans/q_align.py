@@ -67,7 +67,7 @@ def match_score(t: str, c: str) -> str:
 
 def ratio_score(cw: str, pw: str, n: str) -> str:
     r = f"({cw}::DOUBLE / greatest({pw}, 1))"
-    return f"(CASE WHEN {r} >= 0.7 AND {r} <= 1.6 THEN 1.0 WHEN {r} >= 0.5 AND {r} <= 2.2 THEN 0.5 ELSE 0.0 END - least({n}, 8) * 0.08)"
+    return f"(CASE WHEN {r} >= 0.7 AND {r} <= 1.6 THEN 1.0 WHEN {r} >= 0.5 AND {r} <= 2.2 THEN 0.5 ELSE 0.0 END - least({n}, 8) * 0.08)::DOUBLE"
 
 
 def conf(cw: str, pw: str) -> str:
@@ -89,14 +89,18 @@ ANCHORS = TARGETS + f""",
 anchored AS (SELECT *, substr(t, 1, {HEAD_LEN}) AS head, right(t, {TAIL_LEN}) AS tail, {TAIL_LEN} AS tail_len FROM near),
 head_hits AS (SELECT * EXCLUDE (hp), unnest(hp) AS hpos FROM (SELECT *, {hits('head')} AS hp FROM anchored WHERE contains(body_text, head)))"""
 HEAD_TAIL = ANCHORS + f""",
-both AS (SELECT * EXCLUDE (tp), unnest(tp) AS tpos FROM (SELECT *, {hits('tail')} AS tp FROM head_hits WHERE tail_len > 0 AND contains(body_text, tail))),
-runs AS (SELECT b.doc_id, b.t, b.page_number, b.target_words, b.hpos, b.tpos, s.bi AS i, e.bi AS j, substr(b.body_text, s.start_ + 1, e.stop_ - s.start_) AS cand
-  FROM both b JOIN body s ON s.doc_id = b.doc_id AND s.page_number = b.page_number AND b.hpos >= s.start_ AND b.hpos < s.stop_
-  JOIN body e ON e.doc_id = b.doc_id AND e.page_number = b.page_number AND b.tpos >= e.start_ AND b.tpos < e.stop_ WHERE b.tpos >= b.hpos),
-sized AS (SELECT r.doc_id, r.t, r.page_number, r.hpos, r.tpos, i, j, any_value(cand) AS cand, any_value(r.target_words) AS pw, sum(x.n_words) AS cw, count(*) AS nb
-  FROM runs r JOIN body x ON x.doc_id = r.doc_id AND x.page_number = r.page_number AND x.bi BETWEEN r.i AND r.j GROUP BY 1, 2, 3, 4, 5, 6, 7),
+head_boxes AS (SELECT h.doc_id, h.t, h.page_number, any_value(h.target_words) AS target_words, any_value(body_text) AS body_text, s.bi AS i, any_value(s.start_) AS from_, min(hpos) AS hpos
+  FROM head_hits h JOIN body s ON s.doc_id = h.doc_id AND s.page_number = h.page_number AND hpos >= s.start_ AND hpos < s.stop_ WHERE tail_len > 0 GROUP BY h.doc_id, h.t, h.page_number, s.bi),
+tail_hits AS (SELECT doc_id, t, page_number, unnest(tp) AS tpos FROM (SELECT doc_id, t, page_number, {hits('tail')} AS tp FROM anchored
+  WHERE tail_len > 0 AND contains(body_text, tail) AND contains(body_text, head))),
+tail_boxes AS (SELECT h.doc_id, h.t, h.page_number, e.bi AS j, any_value(e.stop_) AS to_, max(tpos) AS tpos
+  FROM tail_hits h JOIN body e ON e.doc_id = h.doc_id AND e.page_number = h.page_number AND tpos >= e.start_ AND tpos < e.stop_ GROUP BY h.doc_id, h.t, h.page_number, e.bi),
+runs AS (SELECT h.doc_id, h.t, h.page_number, h.target_words, i, j, substr(body_text, from_ + 1, to_ - from_) AS cand
+  FROM head_boxes h JOIN tail_boxes e ON h.doc_id = e.doc_id AND h.t = e.t AND h.page_number = e.page_number WHERE j > i OR (j = i AND tpos >= hpos)),
+sized AS (SELECT r.doc_id, r.t, r.page_number, i, j, any_value(cand) AS cand, any_value(r.target_words) AS pw, sum(x.n_words) AS cw, count(*) AS nb
+  FROM runs r JOIN body x ON x.doc_id = r.doc_id AND x.page_number = r.page_number AND x.bi BETWEEN r.i AND r.j GROUP BY 1, 2, 3, 4, 5),
 scored AS (SELECT *, {match_score('t', 'cand')} + {ratio_score('cw', 'pw', 'nb')} AS score FROM sized),
-picked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t, page_number ORDER BY score DESC, hpos, tpos) AS rn FROM scored),
+picked AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t, page_number ORDER BY score DESC, i, j) AS rn FROM scored),
 head_tail AS (SELECT *, {conf('cw', 'pw')} AS confidence FROM picked WHERE rn = 1)"""
 # Head hits followed box by box, then over the next two candidate pages.
 HEAD_ONLY = ANCHORS + f""",
@@ -199,17 +203,10 @@ def _lists(spark, folder):
 
 def _headings(spark, folder):
     headings = blocks(spark, folder).where(F.col("block").startswith("## ")).select(
-        "doc_id", F.col("block_index").alias("element_index"), F.substring("block", 4, 200).alias("text"))
+        "doc_id", F.col("block_index").alias("element_index"), F.col("block").alias("text"))
     return A.match_headings(headings, _pages(spark, folder)).select("doc_id", "element_index", "match.page_number")
 
 
-def _aligned(spark, folder):
-    elements = V.align_texts(spark, folder).select(
-        "doc_id", "element_index", F.when(F.col("text").startswith("## "), "heading").when(F.col("text").startswith("- "), "bullet_list").otherwise("paragraph").alias("type"),
-        "text", F.split("text", "; ").alias("items"))
-    return A.align_elements(elements, _pages(spark, folder)).groupBy("type", "match_confidence").agg(F.count("*").alias("n"), F.count("page_number").alias("n_placed"))
-
-
 QUERIES = {
     "load_page_boxes": lambda spark, folder: load_page_boxes(V.raw_pages(spark, folder)).select(
         "doc_id", "page_number", "box_ord", "block_index", "class", "pos_start", "pos_stop", "text", "norm", F.get("bbox", F.lit(0)).alias("x0")),
@@ -248,7 +245,6 @@ QUERIES = {
         "doc_id", "t", "match.match_confidence", "match.page_number"),
     "match_bullet_list": _lists,
     "match_headings": _headings,
-    "align_elements": _aligned,
 }
 
 _MATCH = "doc_id, t, page_number, round(score, 6) AS score, confidence, nb AS n_locations"
@@ -269,8 +265,8 @@ ORACLES = {
     "anchor_lengths": f"{_PAIR_SQL} SELECT doc_id, block_index, {HEAD_LEN} AS head_len, {TAIL_LEN} AS tail_len FROM pairs",
     "positions": f"{_PAIR_SQL} SELECT doc_id, block_index, array_to_string(list_filter(range(0, greatest(length(t) - length(substr(t, 2, 3)) + 1, 0)), "
                  "lambda p: length(substr(t, 2, 3)) > 0 AND t[p + 1:p + length(substr(t, 2, 3))] = substr(t, 2, 3)), ',') AS places FROM pairs",
-    "box_at": f"""{ANCHORS}, at AS (SELECT DISTINCT h.doc_id, h.t, h.page_number, b.bi FROM head_hits h JOIN body b ON b.doc_id = h.doc_id AND b.page_number = h.page_number AND h.hpos >= b.start_ AND h.hpos < b.stop_)
-      SELECT doc_id, t, page_number, string_agg(bi::VARCHAR, ',' ORDER BY bi) AS boxes FROM at GROUP BY 1, 2, 3""",
+    "box_at": f"""{ANCHORS}, held AS (SELECT DISTINCT h.doc_id, h.t, h.page_number, b.bi FROM head_hits h JOIN body b ON b.doc_id = h.doc_id AND b.page_number = h.page_number AND h.hpos >= b.start_ AND h.hpos < b.stop_)
+      SELECT doc_id, t, page_number, string_agg(bi::VARCHAR, ',' ORDER BY bi) AS boxes FROM held GROUP BY 1, 2, 3""",
     "head_tail_match": f"{HEAD_TAIL} SELECT {_MATCH} FROM head_tail",
     "head_only_match": f"{HEAD_ONLY} SELECT {_MATCH} FROM head_only",
     "extend_across_pages": f"{HEAD_ONLY} SELECT c.doc_id, c.t, c.page_number, count(DISTINCT bp) AS n_pages FROM collected c JOIN head_only h USING (doc_id, t, page_number, i) GROUP BY 1, 2, 3",
