@@ -92,11 +92,16 @@ def group_sections(elements: DataFrame) -> DataFrame:
 
 
 def _first_two(keys: list[str], rows: DataFrame, out: str) -> DataFrame:
-    """The first two non-blank summaries in order, joined; two running minima instead of a list."""
+    """The first two non-blank summaries in order, joined.
+
+    Each tile of elements keeps its own first two, so no group ever gathers a whole section.
+    """
     text = filled(F.col("summary"))
-    pick = F.struct("element_index", text.alias("s"))
-    return rows.where(text.isNotNull()).groupBy(*keys).agg(
-        F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(pick)), 1, 2), lambda x: x["s"]), " ").alias(out))
+    two = lambda c: F.slice(F.array_sort(c), 1, 2)
+    short = rows.where(text.isNotNull()).groupBy(*keys, tile_of("element_index").alias("_tile")).agg(
+        two(F.collect_list(F.struct("element_index", text.alias("s")))).alias("top"))
+    return short.groupBy(*keys).agg(F.array_join(F.transform(
+        two(F.flatten(F.collect_list("top"))), lambda x: x["s"]), " ").alias(out))
 
 
 def section_prompts(elements: DataFrame) -> DataFrame:
@@ -156,6 +161,10 @@ def regenerate_overviews(elements: DataFrame, overview_answers: DataFrame, secti
     return abstract_summary(elements, abstract_answers).join(parse_overview(overview_answers), "doc_id", "left").join(sections, "doc_id", "left")
 
 
+def _speaker(digit: str, spoken: str):
+    return lambda x: F.regexp_replace(x, rf"(?<![A-Za-z0-9_]){digit}\.", spoken)
+
+
 def narration_segments(overviews: DataFrame, lang: str = "en") -> DataFrame:
     """O-10: the non-blank texts of an overview in reading order."""
     none = F.array().cast("array<string>")
@@ -167,7 +176,7 @@ def narration_segments(overviews: DataFrame, lang: str = "en") -> DataFrame:
     if lang == "zh":
         # Spoken forms of the numbered points.
         for digit, spoken in (("1", "第一點，"), ("2", "第二點，"), ("3", "第三點，"), ("4", "第四點，")):
-            said = F.transform(said, lambda x, d=digit, s=spoken: F.regexp_replace(x, rf"(?<![A-Za-z0-9_]){d}\.", s))
+            said = F.transform(said, _speaker(digit, spoken))
     return numbered_rows(overviews, said, "doc_id", names=("segment", "text"))
 
 
