@@ -60,7 +60,7 @@ def _parsed(spark, folder):
 
 def _overview_zh(spark, folder):
     base = overviews(spark, folder)
-    shouted = base.select("doc_id", F.upper("abstract_summary").alias("abstract_summary"), F.upper("overall_summary").alias("overall_summary"),
+    shouted = base.select("doc_id", F.concat(F.lit("zh "), F.col("abstract_summary")).alias("abstract_summary"), F.upper("overall_summary").alias("overall_summary"),
                           F.when(F.col("doc_id") % 2 == 0, F.slice("overall_key_points", 2, 9)).otherwise(F.transform("overall_key_points", lambda x: F.concat(F.lit("zh "), x))).alias("overall_key_points"),
                           "highlights", F.transform("sections", lambda s: s.withField("summary", F.concat(F.lit("zh "), s["summary"]))).alias("sections"))
     return X.merge_overview_translation(base, shouted).select(
@@ -94,7 +94,6 @@ ORACLES = {
       'summary': summary, 'key_points': key_points, 'items': items}} ORDER BY element_index))::VARCHAR AS payload FROM paper_elements GROUP BY 1, 2""",
     "parse_translations": f"""{BASE}, b AS (SELECT DISTINCT doc_id, element_index // 8 AS batch_no FROM paper_elements)
       SELECT doc_id, batch_no, batch_no * 8 AS element_index, 't' AS text_zh, 2 AS n_points FROM b WHERE batch_no > 0
-      UNION ALL SELECT doc_id, batch_no, 0, '-', 0 FROM b WHERE batch_no = 0
       UNION ALL SELECT doc_id, batch_no, batch_no * 8 * 1000000, '-', 0 FROM b WHERE batch_no BETWEEN 1 AND 12""",
     "merge_translations": f"{BASE}{_T} SELECT doc_id, element_index, text_zh, summary_zh, {_FLAT} FROM merged",
     "translation_fallback": f"""{BASE} SELECT doc_id, element_index, text AS text_zh, summary AS summary_zh, array_to_string(coalesce(key_points, []), '|') AS key_points_zh,
@@ -102,7 +101,7 @@ ORACLES = {
     "apply_translations": f"""{BASE}{_T}, applied AS (SELECT e.doc_id, e.element_index, coalesce(m.text_zh, e.text_zh) AS text_zh, coalesce(m.summary_zh, e.summary_zh) AS summary_zh,
       coalesce(m.key_points_zh, e.key_points_zh) AS key_points_zh, coalesce(m.items_zh, e.items_zh) AS items_zh FROM paper_elements e LEFT JOIN merged m ON e.doc_id = m.doc_id AND e.element_index = m.element_index)
       SELECT doc_id, element_index, text_zh, summary_zh, {_FLAT} FROM applied""",
-    "merge_overview_translation": f"""{OVERVIEWS} SELECT doc_id, length(upper(abstract_summary)) AS n_abstract, upper(overall_summary) AS overall_summary_zh,
+    "merge_overview_translation": f"""{OVERVIEWS} SELECT doc_id, length('zh ' || abstract_summary) AS n_abstract, upper(overall_summary) AS overall_summary_zh,
       CASE WHEN doc_id % 2 = 0 THEN array_to_string(overall_key_points, '|') ELSE array_to_string(list_transform(overall_key_points, lambda x: 'zh ' || x), '|') END AS points,
       array_to_string(list_transform(sections, lambda s: 'zh ' || s.summary), '|') AS sections FROM overviews""",
     "expire_stale": f"WITH {PAPERS} SELECT doc_id, zh_status FROM refreshed",
