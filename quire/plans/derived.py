@@ -210,8 +210,8 @@ shaped AS (SELECT *, {_cases(f'(i // 3 + doc_id) % {_N}', [t for t, _ in HEADING
   list_filter(string_split(line, '. '), lambda x: x <> '') AS parts, {sql_key_points('line')} AS points,
   CASE WHEN i % 5 = 4 THEN '' ELSE {sql_summary('line')} END AS short FROM lines),
 unnumbered AS (
-  SELECT doc_id, i, 0 AS j, 'heading' AS type, section_title, section_title AS text, hlevel AS level, NULL AS summary, NULL::VARCHAR[] AS key_points,
-    NULL AS intro_text, NULL::VARCHAR[] AS items, NULL AS text_zh, NULL AS summary_zh, NULL::VARCHAR[] AS key_points_zh, NULL::VARCHAR[] AS items_zh
+  SELECT doc_id, i, 0 AS j, 'heading' AS type, section_title, section_title AS text, hlevel AS level, NULL::VARCHAR AS summary, NULL::VARCHAR[] AS key_points,
+    NULL::VARCHAR AS intro_text, NULL::VARCHAR[] AS items, NULL::VARCHAR AS text_zh, NULL::VARCHAR AS summary_zh, NULL::VARCHAR[] AS key_points_zh, NULL::VARCHAR[] AS items_zh
   FROM shaped WHERE i % 3 = 0
   UNION ALL
   SELECT doc_id, i, 1, CASE WHEN bullet THEN 'bullet_list' ELSE 'paragraph' END, section_title, CASE WHEN NOT bullet THEN line END, NULL, short, points,

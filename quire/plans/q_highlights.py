@@ -9,7 +9,7 @@ from quire.plans import derived as V
 from quire.sources.tables import table
 
 HIGHLIGHTS_CTE = """,
-text_highlights AS (SELECT event_id AS highlight_id, event_id // 10 AS doc_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id // 10) * 1000000 + 1 + event_id % 2 END AS element_id,
+text_highlights AS (SELECT event_id AS highlight_id, event_id // 10 AS doc_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id // 10) * 1000000 + 1 + 5 * (event_id % 2) END AS element_id,
   CASE WHEN event_id % 5 = 0 THEN 'overview' ELSE 'paragraph' END AS scope,
   CASE WHEN event_id % 5 = 0 THEN 'section_summary' WHEN event_id % 4 = 1 THEN 'summary' WHEN event_id % 11 = 7 THEN 'key_points' ELSE 'text' END AS field_name,
   CASE WHEN event_id % 5 = 0 OR (event_id % 4 <> 1 AND event_id % 11 = 7) THEN event_id % 3 END AS item_index,
@@ -39,7 +39,7 @@ def text_highlights(spark, folder):
     field = F.when(over, "section_summary").when(n % 4 == 1, "summary").when(n % 11 == 7, "key_points").otherwise("text")
     start = F.when(n % 17 == 0, -1).otherwise((n * 37 % 60).cast("int"))
     return table(spark, folder, "events").select(
-        n.alias("highlight_id"), doc.alias("doc_id"), F.when(~over, doc * 1000000 + 1 + n % 2).alias("element_id"), F.when(over, "overview").otherwise("paragraph").alias("scope"),
+        n.alias("highlight_id"), doc.alias("doc_id"), F.when(~over, doc * 1000000 + 1 + n % 2 * 5).alias("element_id"), F.when(over, "overview").otherwise("paragraph").alias("scope"),
         field.alias("field_name"), F.when(over | ((n % 4 != 1) & (n % 11 == 7)), (n % 3).cast("int")).alias("item_index"),
         F.when(n % 13 == 0, "fr").when(n % 3 == 0, "zh").otherwise("en").alias("language"), start.alias("start_offset"), (start + n % 25).cast("int").alias("end_offset"))
 
@@ -135,7 +135,7 @@ ORACLES = {
     "locations_by_page": f"{BOXES} SELECT doc_id, page_number AS page, count(*) AS n_locations FROM page_boxes GROUP BY 1, 2",
     "user_rects_by_page": f"{BASE}{PDF_CTE} SELECT doc_id, page_number - 1 AS page, count(*) AS n_highlights, count(*) AS n_rects FROM pdf_highlights WHERE NOT blank GROUP BY 1, 2",
     "unify_coordinates": f"""{BOXES}{PDF_CTE}
-      SELECT doc_id, page_number AS page, 'element' AS source, x0 * 1.5 AS rect_left, y0 * 1.5 AS rect_top, 300.0 AS rect_width, 120.0 AS rect_height FROM page_boxes
-      UNION ALL SELECT h.doc_id, h.page_number - 1, 'user', round(x0 * 612, 4), round(x0 * 792, 4), 153.0, 99.0 FROM pdf_highlights h
+      SELECT doc_id, page_number AS page, 'element' AS source, x0 * 1.5 AS rect_left, y0 * 1.5 AS rect_top, 300.0::DOUBLE AS rect_width, 120.0::DOUBLE AS rect_height FROM page_boxes
+      UNION ALL SELECT h.doc_id, h.page_number - 1, 'user', round(x0 * 612, 4)::DOUBLE, round(x0 * 792, 4)::DOUBLE, 153.0::DOUBLE, 99.0::DOUBLE FROM pdf_highlights h
         JOIN (SELECT DISTINCT doc_id, page_number AS page FROM raw_boxes) p ON p.doc_id = h.doc_id AND p.page = h.page_number - 1 WHERE NOT blank""",
 }
