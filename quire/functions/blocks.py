@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from quire.functions.text import (
-    BREAKS, DIGIT, NOT_AFTER, SPACES, WS, all_of, any_of, count_char, first_line, has, spaced_words, starts, strip, strip_md,
+    BREAK_CLASS, BREAKS, DIGIT, NOT_AFTER, SPACES, WS, all_of, any_of, count_char, first_line, has, spaced_words, starts, strip, strip_md,
 )
 
 # Headings that end the readable part of a document.
@@ -98,8 +98,8 @@ def _table_like(raw: Column) -> Column:
     # Six pipes decide alone, so the two-line search only ever sees four or five of them.
     pipes = count_char(raw, "|")
     inline_space = "[" + "".join(ch for ch in SPACES if ch not in BREAKS) + "]"
-    line = f"[^{BREAKS}]*"
-    two_lines = rf"\|{line}\|{line}[{BREAKS}](?s:.*)\|{line}\|"
+    line = f"[^{BREAK_CLASS}]*"
+    two_lines = rf"\|{line}\|{line}[{BREAK_CLASS}](?s:.*)\|{line}\|"
     return any_of(
         pipes >= 6,
         (pipes >= 1) & raw.rlike(rf"\|{inline_space}*[:-]"),
@@ -258,7 +258,7 @@ class Facts:
     texts = [
         ("raw", lambda g: strip(g("block"))),
         ("clean", lambda g: strip_md(g("block"))),
-        ("line", lambda g: first_line(g("block"))),
+        ("line", lambda g: F.when(has(g("block"), *BREAKS), first_line(g("block"))).otherwise(strip(g("block")))),
     ]
     derived = [
         ("low", lambda g: F.lower(g("clean"))),
@@ -302,7 +302,7 @@ class Facts:
             g("clean") != "", ~g("is_md_heading"), ~g("is_major_heading"), ~g("is_bullet"), ~g("is_caption"),
             g("removed_by").isNull(), opens_continuation(g("clean")),
         )),
-        ("is_bare_number", lambda g: g("clean").rlike(r"^\p{Nd}+(?:\.\p{Nd}+)*$") & ~g("raw").rlike(f"[{BREAKS}]")),
+        ("is_bare_number", lambda g: g("clean").rlike(r"^\p{Nd}+(?:\.\p{Nd}+)*$") & ~g("raw").rlike(f"[{BREAK_CLASS}]")),
         ("opens_capital", lambda g: g("line_clean").rlike("^[A-Z]")),
     ]
     steps = [texts, derived, titles, flags, verdict, outcome]
@@ -352,12 +352,17 @@ def classify_blocks(df, block: str = "block"):
     return out
 
 
-def fact_array(blocks: Column, steps=None) -> Column:
+# Intermediate texts; dropped from fact arrays so that rows carry each block's text once.
+SCRATCH = {"raw", "clean", "line", "low", "line_clean"}
+
+
+def fact_array(blocks: Column) -> Column:
     """The same facts for an array of blocks, as an array of structs."""
     facts = F.transform(blocks, lambda b, i: F.struct(i.alias("block_index"), b.alias("block")))
     names = ["block_index", "block"]
-    for step in steps or Facts.steps:
-        keep, add = list(names), list(step)
+    for step in Facts.steps:
+        final = step is Facts.steps[-1]
+        keep, add = [n for n in names if not (final and n in SCRATCH)], list(step)
         facts = F.transform(facts, lambda x: F.struct(
             *[x[n].alias(n) for n in keep], *[build(lambda n: x[n]).alias(name) for name, build in add]))
         names += [name for name, _ in add]

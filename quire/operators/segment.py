@@ -170,8 +170,10 @@ def chunk_array(merged: Column, sections: Column, max_chars: int = CHUNK_MAX_CHA
 def structure(raw_docs: DataFrame, max_chars: int = CHUNK_MAX_CHARS, sep: str = "\n\n", text: str = "markdown") -> DataFrame:
     """S-7: one row per document with its blocks, merged body, sections and chunks."""
     roles = assign_roles(block_frame(raw_docs, sep, text))
-    marked = roles.select("doc_id", "facts", "roles", let(F.col("roles"), lambda r: F.filter(
-        F.col("facts"), lambda x, i: F.get(r, i) == "body")).alias("body"))
+    needed = ("block_index", "block", "joins_next", "joins_prev", "is_bare_number", "opens_capital")
+    body = let(F.col("roles"), lambda r: F.filter(F.col("facts"), lambda x, i: F.get(r, i) == "body"))
+    slim = F.transform(body, lambda x: F.struct(*[x[n].alias(n) for n in needed]))
+    marked = roles.select("doc_id", "facts", "roles", slim.alias("body"))
     merged = marked.withColumn("merged", F.coalesce(merged_array(F.col("body")), empty_merged()))
     sections = merged.withColumn("sections", section_array(F.col("merged")))
     return sections.withColumn("chunks", chunk_array(F.col("merged"), F.col("sections"), max_chars))

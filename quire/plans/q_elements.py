@@ -11,6 +11,7 @@ from quire.plans import derived as V
 from quire.plans import duck as D
 from quire.plans.q_blocks import CAPTION_NUMBERED
 from quire.plans.q_text import BLOCKS, blocks
+from quire.session import materialize
 
 NOT_WS = f"[^{D.SPACES}]"
 ALPHA = rf"^(?:[A-Z]\.|\([a-zA-Z]\)){D.WS}+{NOT_WS}"
@@ -128,6 +129,11 @@ def drafts(spark, folder):
     return drafting.draft_elements(drafting.attach_responses(chunks, V.model_responses(spark, folder)))
 
 
+def _built(spark, folder):
+    """Drafts are written out once, as model answers would be, because building reads them more than once."""
+    return _flat(building.build_elements(materialize(drafts(spark, folder))))
+
+
 def _flag(rule):
     return lambda spark, folder: blocks(spark, folder).select("doc_id", "block_index", rule(F.col("block")).alias("flag"))
 
@@ -174,7 +180,7 @@ QUERIES |= {
     "paragraph_prompts": _prompts(drafting.paragraph_prompts, "paragraph"),
     "bullet_prompts": _prompts(drafting.bullet_prompts, "bullet_list"),
     "parse_fields": _fields,
-    "build_elements": lambda spark, folder: _flat(building.build_elements(drafts(spark, folder))),
+    "build_elements": _built,
     "normalize_heading_levels": lambda spark, folder: building.normalize_heading_levels(V.paper_elements(spark, folder)).select(
         "doc_id", "element_index", "type", "level"),
 }
