@@ -108,15 +108,20 @@ fallbacks AS (SELECT doc_id, chunk_index, idx_in_chunk, 'paragraph' AS type, {no
   {V.sql_summary('p')} AS summary, {V.sql_key_points('p')} AS key_points FROM numbered_parts)"""
 
 
-DRAFTS = ANSWERED + fallback_ctes("model_responses", "WHERE (doc_id, chunk_index) NOT IN (SELECT (doc_id, chunk_index) FROM from_answers)") + """,
-drafts AS (SELECT * FROM from_answers UNION ALL SELECT * FROM fallbacks),
-titled AS (SELECT d.*, nullif(nullif(trim(c.section_title), ''), 'UNKNOWN') AS title FROM drafts d JOIN paper_chunks c USING (doc_id, chunk_index)),
+def building_ctes(chunks: str) -> str:
+    """Headings where the title changes, then dense numbers, over a ``drafts`` table."""
+    return f""",
+titled AS (SELECT d.*, nullif(nullif(trim(c.section_title), ''), 'UNKNOWN') AS title FROM drafts d JOIN {chunks} c USING (doc_id, chunk_index)),
 carried AS (SELECT *, last_value(title IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY chunk_index, idx_in_chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM titled),
 with_headings AS (
   SELECT doc_id, chunk_index, idx_in_chunk, type, coalesce(title, prev) AS section_title, text, intro_text, items, summary, key_points, NULL AS level FROM carried
   UNION ALL
   SELECT doc_id, chunk_index, -1, 'heading', title, title, NULL, NULL, NULL, NULL, 'section' FROM carried WHERE title IS NOT NULL AND (prev IS NULL OR prev <> title)),
 built AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, idx_in_chunk) - 1 AS element_index FROM with_headings)"""
+
+
+DRAFTS = ANSWERED + fallback_ctes("model_responses", "WHERE (doc_id, chunk_index) NOT IN (SELECT (doc_id, chunk_index) FROM from_answers)") + """,
+drafts AS (SELECT * FROM from_answers UNION ALL SELECT * FROM fallbacks)""" + building_ctes("paper_chunks")
 _FLAT = "array_to_string(items, '|') AS items, array_to_string(key_points, '|') AS key_points"
 
 
