@@ -104,7 +104,7 @@ def fallback_ctes(source: str, where: str) -> str:
     return f""",
 parts AS (SELECT doc_id, chunk_index, {SPLIT} AS ps FROM {source} {where}),
 numbered_parts AS (SELECT doc_id, chunk_index, unnest(ps) AS p, generate_subscripts(ps, 1) - 1 AS idx_in_chunk FROM parts),
-fallbacks AS (SELECT doc_id, chunk_index, idx_in_chunk, 'paragraph' AS type, {no_emphasis('p')} AS text, NULL AS intro_text, NULL::VARCHAR[] AS items,
+fallback_rows AS (SELECT doc_id, chunk_index, idx_in_chunk, 'paragraph' AS type, {no_emphasis('p')} AS text, NULL AS intro_text, NULL::VARCHAR[] AS items,
   {V.sql_summary('p')} AS summary, {V.sql_key_points('p')} AS key_points FROM numbered_parts)"""
 
 
@@ -121,7 +121,7 @@ built AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index,
 
 
 DRAFTS = ANSWERED + fallback_ctes("model_responses", "WHERE (doc_id, chunk_index) NOT IN (SELECT (doc_id, chunk_index) FROM from_answers)") + """,
-drafts AS (SELECT * FROM from_answers UNION ALL SELECT * FROM fallbacks)""" + building_ctes("paper_chunks")
+drafts AS (SELECT * FROM from_answers UNION ALL SELECT * FROM fallback_rows)""" + building_ctes("paper_chunks")
 _FLAT = "array_to_string(items, '|') AS items, array_to_string(key_points, '|') AS key_points"
 
 
@@ -205,7 +205,7 @@ ORACLES |= {
     "extract_json": f"{ANSWERED} SELECT doc_id, chunk_index, json_text FROM objects",
     "parse_json_list": f"WITH {V.RESPONSES} SELECT doc_id, chunk_index, CASE WHEN chunk_index % 6 = 4 THEN '1|2' ELSE '' END AS value FROM model_responses",
     "elements_from_json": f"{ANSWERED} SELECT doc_id, chunk_index, idx_in_chunk, type, text, intro_text, summary, {_FLAT} FROM from_answers",
-    "fallback_elements": f"WITH {V.PAPER_CHUNKS}{fallback_ctes('paper_chunks', '')} SELECT doc_id, chunk_index, idx_in_chunk, type, text, intro_text, summary, {_FLAT} FROM fallbacks",
+    "fallback_elements": f"WITH {V.PAPER_CHUNKS}{fallback_ctes('paper_chunks', '')} SELECT doc_id, chunk_index, idx_in_chunk, type, text, intro_text, summary, {_FLAT} FROM fallback_rows",
     "draft_elements": f"{DRAFTS} SELECT doc_id, chunk_index, idx_in_chunk, type, text, intro_text, summary, {_FLAT} FROM drafts",
     "token_usage": f"WITH {V.RESPONSES} SELECT doc_id, sum(tokens_in) AS input, sum(length(content)) AS output, sum(tokens_in + length(content)) AS total FROM model_responses GROUP BY 1",
     "paragraph_prompts": f"{_ELEMENTS} SELECT doc_id, element_index, {_FIELDS_INSTR} || text AS prompt FROM paper_elements WHERE type = 'paragraph'",

@@ -108,6 +108,6 @@ ORACLES = {
       UNION ALL SELECT 'text_highlights', count(*) FROM text_highlights WHERE doc_id NOT IN (SELECT doc_id FROM ids)
       UNION ALL SELECT 'pdf_highlights', count(*) FROM pdf_highlights WHERE doc_id NOT IN (SELECT doc_id FROM ids)""",
     "parse_status": f"WITH {PAPERS} SELECT doc_id, CASE WHEN doc_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'failed' ELSE 'processed' END AS parse_status FROM papers",
-    "process_corpus": f"""{CHUNKS}{fallback_ctes('chunks', '')}, drafts AS (SELECT * FROM fallbacks){building_ctes('chunks')}
+    "process_corpus": f"""{CHUNKS}{fallback_ctes('chunks', '')}, drafts AS (SELECT * FROM fallback_rows){building_ctes('chunks')}
       SELECT type, count(*) AS n_elements, count(DISTINCT doc_id) AS n_docs, sum(length(text)) AS n_chars FROM built GROUP BY 1""",
 }
