@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import mixing, pieces, quality
+from quire.llm import langid, mixing, pieces, quality
 from quire.llm.common import table
 
 
@@ -12,6 +12,13 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = langid.learn(docs.where(~held_out).select("text", "lang"))
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -29,5 +36,5 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_mix": op2_mix, "op5_pieces": op5_pieces, "op8_rules": op8_rules}
+QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op5_pieces": op5_pieces, "op8_rules": op8_rules}
 ORACLES: dict[str, str] = {}
