@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, mixing, pieces, quality
+from quire.llm import langid, mixing, pieces, quality, wrapper
 from quire.llm.common import table
 
 
@@ -36,5 +36,9 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op5_pieces": op5_pieces, "op8_rules": op8_rules}
+def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op5_pieces": op5_pieces, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper}
 ORACLES: dict[str, str] = {}
