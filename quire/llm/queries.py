@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, mixing, pieces, quality, wrapper
+from quire.llm import langid, mixing, pieces, quality, topk, warc, wrapper
 from quire.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -30,6 +34,11 @@ def op5_pieces(spark: SparkSession, sf_dir: str, model: str | None = None) -> Da
     return pieces.round_trip(docs, model or tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.capture_history(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judged(docs, table(spark, sf_dir, "labels"))
@@ -40,5 +49,13 @@ def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
-QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op5_pieces": op5_pieces, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op4_topk": op4_topk, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper}
+ORACLES: dict[str, str] = {
+    "op4_topk": """
+        with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as e from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::bigint as score
+              from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
+        select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
+        from s qualify rank <= 5""",
+}
