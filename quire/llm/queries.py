@@ -52,9 +52,9 @@ def op9_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op4_topk": op4_topk, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper}
 ORACLES: dict[str, str] = {
     "op4_topk": """
-        with v as (select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as e from embeddings
-                   where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
-        s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::bigint as score
+        with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
+                   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
               from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id)
         select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank, vec_id, score
         from s qualify rank <= 5""",
