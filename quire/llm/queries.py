@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, mixing, nearjoin, pieces, quality, topk, warc, wrapper
+from quire.llm import langid, mixing, nearjoin, pieces, quality, substrings, topk, warc, wrapper
 from quire.llm.common import table
 
 
@@ -39,6 +39,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "timestamp")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicate(docs, digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judged(docs, table(spark, sf_dir, "labels"))
@@ -53,7 +58,7 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op4_topk": op4_topk, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper, "op10_nearjoin": op10_nearjoin}
+QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op4_topk": op4_topk, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_substrings": op7_substrings, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper, "op10_nearjoin": op10_nearjoin}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings

@@ -25,7 +25,8 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int, base: int) -> np.ndarray:
+def powers(n: int, base: int) -> np.ndarray:
+    """1, base, base^2, ... modulo 2^64."""
     out = np.full(max(n, 1), base, dtype=np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -60,7 +61,7 @@ class Hasher:
         n = len(text)
         if n > len(self.up):
             size = max(n, SLICE + 1)
-            self.up, self.down = _powers(size, BASE), _powers(size, pow(BASE, -1, 1 << 64))
+            self.up, self.down = powers(size, BASE), powers(size, pow(BASE, -1, 1 << 64))
         inside = np.zeros(n + 2, dtype=bool)
         inside[1:-1] = ~self.space[text]
         cut = np.zeros(n + 1, dtype=bool)
