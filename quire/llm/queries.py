@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm import langid, mixing, nearjoin, pieces, quality, substrings, topk, warc, wrapper
+from quire.llm import langid, mixing, nearjoin, pieces, quality, substrings, topk, training, warc, wrapper
 from quire.llm.common import table
 
 
+def op1_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(tokenizer_path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = f.read()
+    docs = table(spark, sf_dir, "documents").select("text")
+    read = training.materialise(docs, ranks, public_tokenizers.PATTERN)
+    return read.select("slot", "number", "shard", "offset", F.octet_length("ids").alias("n_bytes"), F.sha2("ids", 256).alias("ids_sha256"))
+
+
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -58,7 +68,7 @@ def op10_nearjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearjoin.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {"op2_mix": op2_mix, "op3_langid": op3_langid, "op4_topk": op4_topk, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_substrings": op7_substrings, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper, "op10_nearjoin": op10_nearjoin}
+QUERIES = {"op1_training": op1_training, "op2_mix": op2_mix, "op3_langid": op3_langid, "op4_topk": op4_topk, "op5_pieces": op5_pieces, "op6_warc": op6_warc, "op7_substrings": op7_substrings, "op8_rules": op8_rules, "op9_wrapper": op9_wrapper, "op10_nearjoin": op10_nearjoin}
 ORACLES: dict[str, str] = {
     "op4_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
