@@ -73,7 +73,7 @@ def section_lists(spark, folder):
     rows = O.section_summaries(elements(spark, folder)).groupBy("doc_id").agg(F.transform(
         F.array_sort(F.collect_list(F.struct("section_no", "section_key", "section_title", "summary"))),
         lambda s: F.struct(s["section_key"].alias("section_key"), s["section_title"].alias("section_title"), s["summary"].alias("summary"))).alias("sections"))
-    return rows.withColumn("sections_zh", F.slice("sections", 2, 100000))
+    return rows.withColumn("sections_zh", F.slice("sections", F.lit(2), F.size("sections")))
 
 
 def _upserted(spark, folder):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.plans import derived as V
@@ -11,6 +13,7 @@ from quire.plans.q_highlights import HIGHLIGHTS_CTE, PDF_CTE, pdf_highlights, te
 from quire.plans.q_overview import OVERVIEWS, overviews
 from quire.plans.q_segment import CHUNKS, structured
 from quire.operators.segment import chunk_rows
+from quire.session import shared_dir
 from quire.sources import tables as T
 from quire.sources import views as W
 
@@ -69,11 +72,28 @@ def _upserted(spark, folder):
     return W.upsert_overview(base, new)
 
 
+def _written(spark, folder):
+    """All documents, then every third again with other texts and without its headings; the stored table is read back."""
+    base = f"{shared_dir(spark)}/elements-{uuid.uuid4().hex}"
+    elements = V.paper_elements(spark, folder)
+    W.write_elements(elements, f"{base}/table", f"{base}/first", buckets=16)
+    again = elements.where((F.col("doc_id") % 3 == 0) & (F.col("type") != "heading")).withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit(""))))
+    W.write_elements(again, f"{base}/table", f"{base}/second")
+    return spark.read.parquet(f"{base}/table").select("doc_id", "element_index", "content")
+
+
+def _stages(spark, folder):
+    path = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
+    W.write_stages(structured(spark, folder), path, "parquet")
+    return spark.read.parquet(path).where("stage IN ('raw_blocks', 'chunks')").select("doc_id", "stage", "ord", "text")
+
+
 QUERIES = {
     "intake": lambda spark, folder: T.intake(files(spark, folder)).select("doc_id", "title", "parse_status", "zh_status"),
     "read_markdown": lambda spark, folder: T.read_markdown(T.table(spark, folder, "documents").select("doc_id", F.when(F.col("lang") != "fr", F.col("text")).alias("markdown"))),
     "render_chunk_dump": lambda spark, folder: W.render_chunk_dump(chunk_rows(structured(spark, folder))),
-    "write_elements": lambda spark, folder: W.with_content(V.paper_elements(spark, folder)).select("doc_id", "element_index", "content"),
+    "write_elements": _written,
+    "write_stages": _stages,
     "upsert_overview": _upserted,
     "list_papers": lambda spark, folder: W.list_papers(papers(spark, folder)).select("doc_id", "title", "zh_started_at"),
     "paper_detail": lambda spark, folder: W.paper_detail(papers(spark, folder), V.paper_elements(spark, folder), "zh", hide_subheadings=True).select(
@@ -92,7 +112,9 @@ ORACLES = {
     "render_chunk_dump": f"""{CHUNKS} SELECT doc_id, chunk_index, '[Chunk ' || chunk_index || ']' || chr(10) || 'section_title: ' || section_title || chr(10) || 'source_block_indices_in_section: [' ||
       replace(source_block_indices, ',', ', ') || ']' || chr(10) || chr(10) || '<<< TEXT >>>' || chr(10) || text || chr(10) || chr(10) || repeat('-', 80) || chr(10) AS dump FROM chunks""",
     "write_elements": f"""{BASE} SELECT doc_id, element_index, CASE WHEN type = 'bullet_list' THEN array_to_string(list_concat(CASE WHEN coalesce(intro_text, '') <> '' THEN [intro_text] ELSE [] END, items), chr(10))
-      ELSE coalesce(text, '') END AS content FROM paper_elements""",
+      WHEN doc_id % 3 = 0 THEN 'again ' || coalesce(text, '') ELSE coalesce(text, '') END AS content FROM paper_elements WHERE doc_id % 3 <> 0 OR type <> 'heading'""",
+    "write_stages": f"""{CHUNKS} SELECT doc_id, 'raw_blocks' AS stage, block_index AS ord, block AS text FROM blocks
+      UNION ALL SELECT doc_id, 'chunks', chunk_index, text FROM chunks""",
     "upsert_overview": "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS overall_summary FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id",
     "list_papers": f"WITH {PAPERS} SELECT doc_id, title, strftime(zh_started_at, '%Y-%m-%dT%H:%M:%S') AS zh_started_at FROM papers ORDER BY doc_id DESC",
     "paper_detail": f"""{BASE}, {PAPERS} SELECT p.doc_id, CASE WHEN title = '' THEN string_split(source_path, '/')[2] ELSE title END AS paper_title, element_index, type,

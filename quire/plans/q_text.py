@@ -53,12 +53,12 @@ QUERIES = {
     "section_key": _per_block(X.section_key),
     "section_key_ui": _per_block(X.section_key_ui),
     "word_count": _per_block(X.word_count),
-    "token_overlap": _per_block(lambda c: F.round(X.token_overlap(X.first_line(c), F.substring(c, 40, 400)), 6)),
+    "token_overlap": _per_block(lambda c: F.round(X.token_overlap(X.first_line(c), c), 6)),
     "first_line": _per_block(X.first_line),
     "bullet_content": _per_block(lambda c: X.bullet_content(F.substring(c, 1, 5), _items(c))),
 }
 
-_A, _B = D.distinct_tokens(D.first_line("block")), D.distinct_tokens("substr(block, 40, 400)")
+_A, _B = D.distinct_tokens(D.first_line("block")), D.distinct_tokens("block")
 ORACLES = {
     "split_blocks": f"{BLOCKS} SELECT doc_id, block_index, block FROM blocks",
     "strip_md": _sql(D.strip_md("block")),

@@ -54,14 +54,14 @@ def _parsed(spark, folder):
     m = F.col("m").cast("string")
     content = F.concat(F.lit('```json\n{"elements":[{"id":'), m, F.lit(',"text_zh":"old"},{"id":"'), m, F.lit('","text_zh":"t","key_points_zh":["a","b"]},{"id":"x"},9,{"id":'),
                        m, F.lit('000000,"summary_zh":"far"}]}\n```'))
-    return X.parse_translations(batches.select("doc_id", "batch_no", content.alias("content"))).where(F.col("element_index") < 100000000).select(
+    return X.parse_translations(batches.select("doc_id", "batch_no", content.alias("content"))).select(
         "doc_id", "batch_no", "element_index", F.coalesce("text_zh", F.lit("-")).alias("text_zh"), F.size(F.coalesce("key_points_zh", F.array())).alias("n_points"))
 
 
 def _overview_zh(spark, folder):
     base = overviews(spark, folder)
     shouted = base.select("doc_id", F.concat(F.lit("zh "), F.col("abstract_summary")).alias("abstract_summary"), F.upper("overall_summary").alias("overall_summary"),
-                          F.when(F.col("doc_id") % 2 == 0, F.slice("overall_key_points", 2, 9)).otherwise(F.transform("overall_key_points", lambda x: F.concat(F.lit("zh "), x))).alias("overall_key_points"),
+                          F.when(F.col("doc_id") % 2 == 0, F.slice("overall_key_points", F.lit(2), F.size("overall_key_points"))).otherwise(F.transform("overall_key_points", lambda x: F.concat(F.lit("zh "), x))).alias("overall_key_points"),
                           "highlights", F.transform("sections", lambda s: s.withField("summary", F.concat(F.lit("zh "), s["summary"]))).alias("sections"))
     return X.merge_overview_translation(base, shouted).select(
         "doc_id", F.length("abstract_summary_zh").alias("n_abstract"), "overall_summary_zh", F.array_join("overall_key_points_zh", "|").alias("points"),
@@ -94,7 +94,7 @@ ORACLES = {
       'summary': summary, 'key_points': key_points, 'items': items}} ORDER BY element_index))::VARCHAR AS payload FROM paper_elements GROUP BY 1, 2""",
     "parse_translations": f"""{BASE}, b AS (SELECT DISTINCT doc_id, element_index // 8 AS batch_no FROM paper_elements)
       SELECT doc_id, batch_no, batch_no * 8 AS element_index, 't' AS text_zh, 2 AS n_points FROM b WHERE batch_no > 0
-      UNION ALL SELECT doc_id, batch_no, batch_no * 8 * 1000000, '-', 0 FROM b WHERE batch_no BETWEEN 1 AND 12""",
+      UNION ALL SELECT doc_id, batch_no, batch_no * 8 * 1000000, '-', 0 FROM b WHERE batch_no BETWEEN 1 AND 268""",
     "merge_translations": f"{BASE}{_T} SELECT doc_id, element_index, text_zh, summary_zh, {_FLAT} FROM merged",
     "translation_fallback": f"""{BASE} SELECT doc_id, element_index, text AS text_zh, summary AS summary_zh, array_to_string(coalesce(key_points, []), '|') AS key_points_zh,
       array_to_string(coalesce(items, []), '|') AS items_zh FROM paper_elements WHERE element_index % 3 = 1""",

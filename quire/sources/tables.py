@@ -10,16 +10,6 @@ from quire.functions.text import normalize_box_text, strip
 READABLE_CLASSES = ["text", "list-item"]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a tiny input at least one partition per core.
-
-    Large inputs arrive in many file splits and pass through untouched; only a table that
-    fits in fewer splits than there are cores is dealt out again.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

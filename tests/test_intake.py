@@ -49,5 +49,17 @@ def test_writers(spark):
     assert {r.stage for r in spark.read.json(f"{base}/stages").select("stage").distinct().collect()} >= {"raw_blocks", "chunks", "sections"}
     rows = spark.createDataFrame([(1, 0, "paragraph", "t", None, None)], "doc_id long, element_index int, type string, text string, intro_text string, items array<string>")
     for text in ("a", "b"):
-        write_elements(rows.withColumn("text", F.lit(text)), f"{base}/elements")
+        write_elements(rows.withColumn("text", F.lit(text)), f"{base}/elements", f"{base}/staging-{text}")
     assert [r.content for r in spark.read.parquet(f"{base}/elements").collect()] == ["b"]
+
+
+def test_writing_one_document_leaves_the_others(spark):
+    base = tempfile.mkdtemp(prefix="quire-write-")
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(0).alias("element_index"), F.lit("paragraph").alias("type"), F.lit("old").alias("text"),
+                                   F.lit(None).cast("string").alias("intro_text"), F.lit(None).cast("array<string>").alias("items"))
+    write_elements(rows, f"{base}/elements", f"{base}/first", buckets=4)
+    write_elements(rows.where("doc_id = 7").withColumn("text", F.lit("new")), f"{base}/elements", f"{base}/second", buckets=9)
+    stored = {r.doc_id: r.content for r in spark.read.parquet(f"{base}/elements").collect()}
+    assert stored == {i: "new" if i == 7 else "old" for i in range(100)}
+    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{base}/elements").select("path").collect()]
+    assert sum("doc_bucket=" in f for f in files) == 4
