@@ -40,34 +40,31 @@ def chunk_prompts(chunks: DataFrame) -> DataFrame:
         F.concat(F.lit(f"{INSTRUCTION}\n\nSection: "), F.coalesce("section_title", F.lit("")), F.lit("\n\nPassage:\n"), F.col("_text")).alias("prompt"))
 
 
-def infer(prompts: DataFrame, fn: BatchFn, *, attempts: int = 1, pause: float = 1.0, batch: int | None = None) -> DataFrame:
+def infer(prompts: DataFrame, fn: BatchFn, *, attempts: int = 3, pause: float = 1.0, batch: int = 16) -> DataFrame:
     """L-2: call ``fn`` on batches of prompts; failures become an empty answer with an error text.
 
-    The call is retried with a linear pause, first for the batch, then prompt by prompt, so
-    that one bad prompt costs no other its answer.
+    Every prompt has ``attempts`` calls at most. A failed batch is the first call of each of its prompts; the others are made
+    prompt by prompt with a growing pause, so one bad prompt costs no other its answer. Prompts with an answer are not asked again.
     """
     keys = [c for c in prompts.columns if c != "prompt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields if f.name != "prompt")
 
-    def call(texts: list[str]) -> list[tuple[str, int, int, str | None]]:
-        for attempt in range(1, attempts + 1):
-            try:
-                answers = fn(texts)
-                if len(answers) != len(texts):
-                    raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
-                return [(content or "", int(used_in), int(used_out), None) for content, used_in, used_out in answers]
-            except Exception as error:  # the caller's function may raise anything
-                if attempt < attempts:
-                    time.sleep(pause * attempt)
-                elif len(texts) == 1:
-                    return [("", 0, 0, f"{type(error).__name__}: {error}")]
-        return [call([text])[0] for text in texts]
+    def call(texts: list[str], used: int = 0) -> list[tuple[str, int, int, str | None]]:
+        try:
+            answers = fn(texts)
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
+            return [(content or "", int(used_in), int(used_out), None) for content, used_in, used_out in answers]
+        except Exception as error:  # the caller's function may raise anything
+            if used + 1 >= attempts:
+                return [("", 0, 0, f"{type(error).__name__}: {error}")] * len(texts)
+        time.sleep(pause * (used + 1))
+        return [call([text], used + 1)[0] for text in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            step = batch or max(len(frame), 1)
-            for start in range(0, len(frame), step):
-                part = frame.iloc[start:start + step]
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start:start + batch]
                 rows = call(part["prompt"].tolist())
                 yield part[keys].assign(
                     content=[r[0] for r in rows], tokens_in=[r[1] for r in rows],

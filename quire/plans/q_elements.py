@@ -144,20 +144,24 @@ def _flag(rule):
 
 
 def _heading(rule):
-    return lambda spark, folder: V.paper_elements(spark, folder).where("type = 'heading'").select(
-        "doc_id", "element_index", rule(F.col("text")).alias("value"))
+    """Over every block, and over the headings of elements under negative numbers."""
+    def run(spark, folder):
+        heads = V.paper_elements(spark, folder).where("type = 'heading'").select("doc_id", (-1 - F.col("element_index")).alias("block_index"), F.col("text").alias("block"))
+        return blocks(spark, folder).select("doc_id", "block_index", "block").unionByName(heads).select("doc_id", "block_index", rule(F.col("block")).alias("value"))
+    return run
 
 
-def echo_model(prompts: list[str]) -> list[tuple[str, int, int]]:
-    """A deterministic stand-in for a model: answers with the tail of the prompt."""
-    return [('{"summary": "' + "".join(ch for ch in p[-40:] if ch.isalnum() or ch == " ") + '", "key_points": ["p1", " "]}', len(p), 7) for p in prompts]
+def measuring_model(prompts: list[str]) -> list[tuple[str, int, int]]:
+    """A deterministic stand-in for a model: answers with the prompt's length, refuses every fifth length, whatever batch it is in."""
+    for p in prompts:
+        if len(p) % 5 == 0:
+            raise ValueError(f"refused {len(p)}" if len(prompts) == 1 else "refused a batch")
+    return [('{"summary": "' + str(len(p)) + '"}', len(p), 7) for p in prompts]
 
 
 def _inferred(spark, folder):
     prompts = drafting.chunk_prompts(V.paper_chunks(spark, folder))
-    answers = drafting.infer(prompts, echo_model, attempts=3)
-    return answers.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"),
-                                         F.count("error").alias("errors"))
+    return drafting.infer(prompts, measuring_model, pause=0.0).select("doc_id", "chunk_index", "content", "tokens_in", "tokens_out", "error")
 
 
 def _prompts(make, kind):
@@ -194,7 +198,9 @@ _ELEMENTS = f"WITH {V.PAPER_ELEMENTS}"
 _HT = D.strip("text")
 _HSUB = f"({D.match(_HT, ALPHA)} OR {D.match(_HT, DECIMAL)})"
 ORACLES = {n: f"{BLOCKS} SELECT doc_id, block_index, {s} AS flag FROM blocks" for n, s in FLAG_SQL.items()}
-ORACLES |= {n: f"{_ELEMENTS} SELECT doc_id, element_index, {s} AS value FROM (SELECT *, text AS block FROM paper_elements WHERE type = 'heading')" for n, s in HEADING_SQL.items()}
+_ALL_TEXTS = f"""{BLOCKS}{V.PAPER_ELEMENTS.removeprefix(D.LINES)}, texts AS (SELECT doc_id, block_index, block FROM blocks
+  UNION ALL SELECT doc_id, -1 - element_index, text FROM paper_elements WHERE type = 'heading')"""
+ORACLES |= {n: f"{_ALL_TEXTS} SELECT doc_id, block_index, {s} AS value FROM texts" for n, s in HEADING_SQL.items()}
 _INSTR = D.q(f"{drafting.INSTRUCTION}\n\nSection: ")
 _FIELDS_INSTR = D.q(f"{drafting.FIELDS_INSTRUCTION}\n\nPassage:\n")
 ORACLES |= {
@@ -221,6 +227,7 @@ ORACLES |= {
       SELECT e.doc_id, e.element_index, type, CASE WHEN h.fam IS NULL THEN level WHEN is_abs THEN 'section' WHEN is_sub THEN 'subsection'
         WHEN fam = lead_fam THEN 'section' ELSE 'subsection' END AS level
       FROM paper_elements e LEFT JOIN heads h ON e.doc_id = h.doc_id AND e.element_index = h.element_index LEFT JOIN leads l ON l.doc_id = e.doc_id""",
-    "infer": f"""WITH {V.PAPER_CHUNKS}, prompts AS (SELECT doc_id, {_INSTR} || section_title || {D.q(chr(10) * 2 + 'Passage:' + chr(10))} || {clean('text')} AS prompt
-      FROM paper_chunks WHERE {clean('text')} <> '') SELECT doc_id, count(*) AS n, sum(length(prompt)) AS tokens_in, 7 * count(*) AS tokens_out, 0 AS errors FROM prompts GROUP BY 1""",
+    "infer": f"""WITH {V.PAPER_CHUNKS}, prompts AS (SELECT doc_id, chunk_index, length({_INSTR} || section_title || {D.q(chr(10) * 2 + 'Passage:' + chr(10))} || {clean('text')}) AS n
+      FROM paper_chunks WHERE {clean('text')} <> '') SELECT doc_id, chunk_index, CASE WHEN n % 5 = 0 THEN '' ELSE '{{"summary": "' || n || '"}}' END AS content,
+      CASE WHEN n % 5 = 0 THEN 0 ELSE n END AS tokens_in, CASE WHEN n % 5 = 0 THEN 0 ELSE 7 END AS tokens_out, CASE WHEN n % 5 = 0 THEN 'ValueError: refused ' || n END AS error FROM prompts""",
 }
