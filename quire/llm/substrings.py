@@ -240,7 +240,7 @@ def _cut(length: int, gram: int, digest: bool):
     return run
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = 4096) -> DataFrame:
+def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = 256) -> DataFrame:
     """(doc_id, marks): for each document the occurrences whose windows (all, or those in ``repeats``) a smaller document has."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
     made = known.mapInArrow(_anchors(length, gram), "anchor bigint, context bigint, doc_id bigint, start int, windows int")
@@ -268,7 +268,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int =
     return stored(told.groupBy("doc_id").agg(F.collect_list("m").alias("marks")), "sub-marks")
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = 4096, digest: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = 256, digest: bool = False) -> DataFrame:
     """Adds n_words, n_removed and kept (the text without repeats; its SHA-256 with ``digest``) to (doc_id, text, others); text goes.
 
     A word goes when a window of ``length`` words that covers it also stands in a document with a smaller doc_id; windows are those of
