@@ -107,7 +107,7 @@ def merged_array(body: Column) -> Column:
             k.cast("int").alias("merged_index"),
             F.get(body, s)["block_index"].cast("int").alias("first_block_index"),
             n.cast("int").alias("n_blocks"),
-            F.array_join(F.transform(F.slice(body, s + 1, n), lambda b: b["block"]), " ").alias("block"),
+            F.array_join(F.transform(F.sequence(s, s + n - 1), lambda i: F.get(body, i)["block"]), " ").alias("block"),
         ))
 
     merged = F.when(F.size(body) > 0, let(merge_marks(body), joined))
@@ -161,7 +161,7 @@ def chunk_array(merged: Column, sections: Column, max_chars: int = CHUNK_MAX_CHA
                 k.cast("int").alias("chunk_index"), m["section"].alias("section_id"),
                 F.get(sections, m["section"])["section_title"].alias("section_title"),
                 F.sequence(m["pos"] - m["origin"], end - 1 - m["origin"]).alias("source_block_indices"),
-                F.array_join(F.transform(F.slice(merged, m["pos"] + 1, end - m["pos"]), lambda b: b["block"]), "\n\n").alias("text"),
+                F.array_join(F.transform(F.sequence(m["pos"], end - 1), lambda i: F.get(merged, i)["block"]), "\n\n").alias("text"),
             ))))
 
     return let(F.aggregate(merged, zero, step, lambda acc: acc["marks"]), cut)
