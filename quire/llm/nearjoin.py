@@ -7,9 +7,10 @@ frequent ones by hash. The prefix of a set is just long enough that two similar
 * frequent tokens are spread over classes, and pairs within a class are signatures. A class of n prefix tokens stands ``n - 1``
   losses, so the prefix is extended until the rare tokens and the classes together outlast every loss that similarity allows.
 
-Pairs are never listed within a group of equals: first every set meets the smallest set of each of its signatures; what is linked
-then is one component, and only sets of different components that share a signature, whose sizes and shared signatures still allow
-the similarity, are compared in a second step. Both steps verify on whole texts.
+Pairs are never listed within a group of equals: first every set meets the smallest set of each of its signatures, then one set per
+signature chosen by hash; what is linked then is one component, and only sets of different components that share a signature are compared in a last step. Before texts are
+moved, pairs pass exact filters: sizes, shared signatures and parity bits must still allow the similarity. All steps verify on whole
+texts.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quire.llm.common import stored
-from quire.llm.words import BASE, Hasher, grams, mix, rows_of
+from quire.llm.words import BASE, ODD, Hasher, grams, mix, rows_of
 
 #: Words in a shingle, similarity in percent.
 SIZE = 5
 PERCENT = 75
+BITS = 1024
 
 
 def shingle_sets(hasher: Hasher, column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -56,6 +58,17 @@ def set_keys(limits: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         return mix(sums[limits[1:]] - sums[limits[:-1]] + np.diff(limits).astype(np.uint64)).view(np.int64)
 
 
+def parity_bits(limits: np.ndarray, tokens: np.ndarray) -> list[list[int]]:
+    """``BITS`` parities per set, as 64-bit integers: a bit counts the tokens that hash to it, modulo two.
+
+    Sets that differ in d tokens differ in d bits at most, so the bits that differ bound the tokens that do.
+    """
+    n = len(limits) - 1
+    place = np.repeat(np.arange(n), np.diff(limits)) * BITS + (mix(tokens ^ np.uint64(ODD)) % np.uint64(BITS)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * BITS) & 1).astype(np.uint8).reshape(n, BITS)
+    return np.packbits(odd, axis=1).view(np.int64).tolist()
+
+
 def _profile(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -64,7 +77,7 @@ def _profile(size: int):
         def report() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([
                 pa.nulls(len(often), pa.int64()), pa.array(often.values(), pa.int64()), pa.array(often.keys(), pa.int64()),
-                pa.array([True] * len(often), pa.bool_())], ["doc_id", "n_shingles", "key", "token"])
+                pa.array([True] * len(often), pa.bool_()), pa.nulls(len(often), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "token", "bits"])
             often.clear()
             return out
 
@@ -78,8 +91,8 @@ def _profile(size: int):
                 for v, c in zip(value[count > 1].view(np.int64).tolist(), count[count > 1].tolist()):
                     often[v] = often.get(v, 0) + c
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(row, len(keys)), pa.array(np.diff(limits)), pa.array(keys), pa.array(np.zeros(len(keys), dtype=bool))],
-                    ["doc_id", "n_shingles", "key", "token"])
+                    batch.column(0).slice(row, len(keys)), pa.array(np.diff(limits)), pa.array(keys), pa.array(np.zeros(len(keys), dtype=bool)),
+                    pa.array(parity_bits(limits, tokens), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "key", "token", "bits"])
                 if len(often) > 200_000:
                     yield report()
         yield report()
@@ -210,17 +223,22 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     reports what it has in two texts. This only steers the order of tokens: any choice gives the same result.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = stored(docs.mapInArrow(_profile(size), "doc_id bigint, n_shingles bigint, key bigint, token boolean"), "near-profile")
+    profile = stored(docs.mapInArrow(_profile(size), "doc_id bigint, n_shingles bigint, key bigint, token boolean, bits array<bigint>"), "near-profile")
     counts = profile.where("token").groupBy("key").agg(F.sum("n_shingles").alias("n")).where(F.col("n") >= often)
     common = counts.orderBy(F.desc("n"), "key").limit(classes).select("key").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64)
     frequent = docs.sparkSession.sparkContext.broadcast(np.sort(common))
     rows = profile.where("not token").select("doc_id", "n_shingles", "key")
-    reps = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id")), "near-sets")
+    reps = stored(profile.where("not token and n_shingles > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("bits").alias("bits")), "near-sets")
+    bits = reps.select("key", *[F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(BITS // 64)])
+    reps = reps.select("key", "doc_id")
 
     made = docs.select("text").mapInArrow(_signatures(size, percent, frequent), "sig bigint, key bigint, n int, rest int")
     shared = made.groupBy("sig").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("sig", "least")
     met = stored(made.join(shared, "sig").distinct(), "near-met")
-    owner = stored(met.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("rest").alias("rest")), "near-owners")
+    owner = met.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("rest").alias("rest"))
+    owner = stored(owner.join(bits, "key"), "near-owners")
+    whole = [f"b{i}" for i in range(BITS // 64)]
+    folded = [f"f{i}" for i in range(4)]
 
     def possible(x: str, y: str, common_signatures):
         """Sizes, and shared signatures plus what lies behind the prefixes, allow the similarity."""
@@ -228,22 +246,44 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
         most = common_signatures + F.greatest(f"{x}.rest", f"{y}.rest")
         return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ((100 + percent) * most >= percent * n)
 
+    def close(x: str, y: str, columns: list[str]):
+        """The bits that differ leave room for the similarity; an exact filter, since they are no more than the tokens that differ."""
+        n = F.col(f"{x}.n") + F.col(f"{y}.n")
+        apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns])
+        return (100 + percent) * (n - apart) >= 2 * percent * n
+
+    def filtered(pairs: DataFrame) -> DataFrame:
+        return pairs.join(owner.alias("p"), F.col("a") == F.col("p.key")).join(owner.alias("q"), F.col("b") == F.col("q.key"))
+
     first = met.where("key <> least").groupBy(F.col("least").alias("a"), F.col("key").alias("b")).agg(F.lit(0).alias("z"))
-    first = first.join(owner.alias("p"), F.col("a") == F.col("p.key")).join(owner.alias("q"), F.col("b") == F.col("q.key")).where(
-        possible("p", "q", F.least("p.shared", "q.shared"))).select("a", "b")
+    first = filtered(first).where(possible("p", "q", F.least("p.shared", "q.shared")) & close("p", "q", whole)).select("a", "b")
     links = verify(first, docs, reps, size, percent)
     roots = components(links)
 
-    rooted = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(
-        owner.select("key", "shared"), "key")
-    apart = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    left = stored(rooted.join(apart, "sig").select("sig", "key", "n", "rest", "root", "shared"), "near-apart")
+    def across(roots: DataFrame) -> DataFrame:
+        """Rows of signatures that sets of several components share."""
+        rooted = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(
+            owner.select("key", "shared", *[reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"b{i}") for i in range(j, BITS // 64, 4)]).alias(f"f{j}") for j in range(4)]), "key")
+        apart = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+        return rooted.join(apart, "sig").select("sig", "key", "n", "rest", "root", "shared", *folded)
+
+    # every signature lets its sets meet another one of them, so a set meets as many others as it has signatures
+    left = stored(across(roots), "near-apart")
+    other = left.groupBy("sig").agg(F.min_by(F.struct("key", "n", "root", *folded), F.xxhash64("key", "sig")).alias("y")).select("sig", "y.*")
+    x, y = left.alias("x"), other.alias("y")
+    between = x.join(y, F.col("x.sig") == F.col("y.sig")).where((F.col("x.root") != F.col("y.root")) & close("x", "y", folded)).select(
+        F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    links = links.unionByName(verify(filtered(between).where(close("p", "q", whole)).select("a", "b"), docs, reps, size, percent))
+    roots = components(links)
+
+    left = stored(across(roots), "near-apart")
     x, y = left.alias("x"), left.alias("y")
     second = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                    & possible("x", "y", F.least("x.shared", "y.shared"))).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
+                    & possible("x", "y", F.least("x.shared", "y.shared")) & close("x", "y", folded)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
         F.count("*").alias("c"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.first("x.rest").alias("xr"), F.first("y.rest").alias("yr"))
     # every signature that two such sets share has been met, so the count is whole
     second = second.where((100 + percent) * (F.col("c") + F.greatest("xr", "yr")) >= percent * (F.col("xn") + F.col("yn"))).select("a", "b")
+    second = filtered(second).where(close("p", "q", whole)).select("a", "b")
     more = verify(second, docs, reps, size, percent)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
