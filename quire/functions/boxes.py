@@ -62,7 +62,7 @@ def page_column(x0: Column, x1: Column) -> Column:
 
 
 def text_match_score(target: Column, candidate: Column) -> Column:
-    """A-5 on normalised texts; the first rule that fits decides."""
+    """A-5 on normalised texts; the first rule that fits decides. The scores and lengths."""
     prefix, suffix = F.substring(target, 1, 180), F.right(target, F.lit(180))
     long_enough = F.length(target) > 40
     return (
@@ -76,12 +76,14 @@ def text_match_score(target: Column, candidate: Column) -> Column:
 
 
 def ratio_size_score(candidate_words: Column, target_words: Column, n_boxes: Column) -> Column:
+    """A-6. The ranges of the ratio and the cost of a box."""
     ratio = candidate_words / F.greatest(target_words, F.lit(1))
     fit = F.when(ratio.between(0.7, 1.6), 1.0).when(ratio.between(0.5, 2.2), 0.5).otherwise(0.0)
     return fit - F.least(n_boxes, F.lit(8)) * 0.08
 
 
 def confidence(collected_words: Column, target_words: Column) -> Column:
+    """A-7. The ranges of the ratio."""
     ratio = collected_words / F.greatest(target_words, F.lit(1))
     return F.when(target_words <= 0, "low").when(ratio.between(0.7, 2.0), "high").when(ratio.between(0.4, 3.0), "medium").otherwise("low")
 
@@ -93,6 +95,7 @@ def confidence_rank(c: Column) -> Column:
     return F.when(c == "high", 3).when(c == "medium", 2).otherwise(1)
 
 
+# Words of the head and the tail of a text of n words.
 def head_length(n: Column) -> Column:
     return F.when(n >= 100, 40).when(n >= 60, 25).when(n >= 30, 15).otherwise(F.greatest(F.lit(8), n))
 

@@ -61,25 +61,34 @@ def metadata_score(c: Column, y0: Column | None = None, y1: Column | None = None
     return F.when(t == "", 0).otherwise(score)
 
 
+# Headings of back matter, and patterns of damaged paragraphs.
+REFERENCE_HEADING = "REFERENCES"
+BIOGRAPHY_HEADINGS = ["BIOGRAPHIES", "BIOGRAPHY"]
+HYPHEN_AT_END = r"[A-Za-z]{3}-\z"
+HYPHEN_INSIDE = rf"[A-Za-z]{{3}}-{WS}+[a-z]{{2}}"
+HEADING_THEN_BODY = rf"^[IVXLC]+\.{WS}+[A-Z][A-Z\-&,{WS[1:-1]}]{{4,}}{WS}+[A-Z][a-z]"
+FRAGMENTED = rf"(?U)\b[a-zA-Z]{{1,2}}{WS}+[a-zA-Z]{{1,2}}{WS}+[a-zA-Z]{{1,2}}\b"
+
+
 def is_metadata_like(c: Column, y0: Column | None = None, y1: Column | None = None, height: Column | None = None) -> Column:
     return metadata_score(c, y0, y1, height) >= METADATA_LIMIT
 
 
 def is_reference_heading(c: Column) -> Column:
-    return F.upper(strip(c)) == "REFERENCES"
+    return F.upper(strip(c)) == REFERENCE_HEADING
 
 
 def is_biography_heading(c: Column) -> Column:
-    return F.upper(strip(c)).isin("BIOGRAPHIES", "BIOGRAPHY")
+    return F.upper(strip(c)).isin(*BIOGRAPHY_HEADINGS)
 
 
 def has_hyphenation(c: Column) -> Column:
     t = strip(c)
-    return t.rlike(r"[A-Za-z]{3}-\z") | t.rlike(rf"[A-Za-z]{{3}}-{WS}+[a-z]{{2}}")
+    return t.rlike(HYPHEN_AT_END) | t.rlike(HYPHEN_INSIDE)
 
 
 def heading_body_merged(c: Column) -> Column:
-    return strip(c).rlike(rf"^[IVXLC]+\.{WS}+[A-Z][A-Z\-&,{WS[1:-1]}]{{4,}}{WS}+[A-Z][a-z]")
+    return strip(c).rlike(HEADING_THEN_BODY)
 
 
 def too_short(c: Column) -> Column:
@@ -89,11 +98,12 @@ def too_short(c: Column) -> Column:
 def paragraph_warnings(c: Column, y0: Column | None = None, y1: Column | None = None, height: Column | None = None) -> Column:
     t = strip(c)
     size = F.length(t)
+    # The warning names and length limits, in this order.
     checks = [
         ("too_short", too_short(t)), ("too_long", size > 2500), ("caption_like", v_caption_like(t)),
         ("metadata_like", is_metadata_like(t, y0, y1, height)), ("hyphenation_artifact", has_hyphenation(t)),
         ("heading_body_merged", heading_body_merged(t)), ("no_sentence_ending", (size > 300) & ~ends_sentence(t)),
-        ("fragmented_tokens_possible", t.rlike(rf"(?U)\b[a-zA-Z]{{1,2}}{WS}+[a-zA-Z]{{1,2}}{WS}+[a-zA-Z]{{1,2}}\b")),
+        ("fragmented_tokens_possible", t.rlike(FRAGMENTED)),
     ]
     found = F.filter(F.array(*[F.when(test, F.lit(name)) for name, test in checks]), lambda w: w.isNotNull())
     return F.when(t == "", F.array(F.lit("empty_paragraph"))).otherwise(found)
