@@ -161,6 +161,15 @@ def _signatures(size: int, percent: int, frequent):
     return run
 
 
+def _keyed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(lower=True)
+        for batch in batches:
+            for row, limits, tokens in shingle_sets(hasher, batch.column(0), size):
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(limits, tokens)), batch.column(0).slice(row, len(limits) - 1)], ["key", "text"])
+    return run
+
+
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(lower=True)
@@ -189,8 +198,9 @@ def verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percen
     narrow = ids.select("doc_id")
     if ids.count() <= small:
         narrow = F.broadcast(narrow)
-    texts = docs.join(narrow, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = texts.join(ids, "doc_id").select("key", "text")
+    # rows of one doc_id may differ, so each text goes by its own key
+    texts = docs.join(narrow, "doc_id", "left_semi").select("text").mapInArrow(_keyed(size), "key bigint, text string").join(
+        ids.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").join(
         texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
     return stored(both.mapInArrow(_verified(size, percent), "a bigint, b bigint"), "near-links")
@@ -217,7 +227,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     Texts are lower-cased in A-Z and cut in words; sets are compared by 64-bit hashes of their shingles. Two documents link when
     their Jaccard similarity is at least ``percent``; component_id is the smallest doc_id reachable. NULL and empty texts have no
     shingles and link with nothing; texts of fewer than ``size`` words are one shingle; repeated rows are rows of their own in one
-    component; NULL doc_ids never name a component unless nothing else does. An empty table gives none.
+    component, rows of one doc_id with different texts are documents of their own; a set that only rows without doc_id hold links
+    nothing. An empty table gives none.
 
     Frequent are the ``classes`` tokens (a bound on what is broadcast) that slices of texts report most, ``often`` times or more; a slice
     reports what it has in two texts. This only steers the order of tokens: any choice gives the same result.

@@ -35,7 +35,7 @@ def corpus(seed, n=60, vocabulary=9, words=60):
                 w[at:at] = passage[rnd.randint(0, 5):]
             text = rnd.choice([" ", "  ", "\n"]).join(w)
         rows.append((1000 - i if i % 2 else i, text))
-    return rows + [(2000, None), (2001, ""), (2002, " \n\t "), (2003, "One"), (2004, "oNE"), (2005, "É a"), (2006, "é a"), (None, "a b c d e f g h i j k l m n o"), rows[3], rows[3]]
+    return rows + [(2000, None), (2001, ""), (2002, " \n\t "), (2003, "One"), (2004, "oNE"), (2005, "É a"), (2006, "é a"), (None, "a b c d e f g h i j k l m n o"), rows[3], rows[3], (rows[4][0], rows[5][1]), (rows[4][0], "another text " * 9)]
 
 
 def frame(spark, rows):
