@@ -19,9 +19,10 @@ def _carried(docs: DataFrame, *needed: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the learned list. NULL and short texts fail the base rule."""
-    judged = quality.judged(_carried(docs, "doc_id", "text"), table(spark, sf_dir, "labels")).select("_row", "kept")
-    # stored before the filter: pushed below the statistics, it would compute them once for every use in the rules
-    return stored(judged, "quality-judged").where("kept").select("_row.*")
+    judged = quality.judged(_carried(docs, "doc_id", "text"), table(spark, sf_dir, "labels"))
+    # pushed below the statistics, the filter would compute them once for every use in the rules; an id holds it above
+    kept = F.col("kept") & (F.monotonically_increasing_id() >= 0)
+    return judged.select("_row", kept.alias("kept")).where("kept").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
