@@ -29,6 +29,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Give back the room of stored tables that nothing reads any more: each is overwritten by an empty one."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
+
+
 def word_list(text: Column) -> Column:
     """The words of a text in order; none for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quire.llm.common import stored
+from quire.llm.common import release, stored
 from quire.llm.words import BASE, ODD, Hasher, grams, mix, rows_of
 
 #: Words in a shingle, similarity in percent.
@@ -271,15 +271,20 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     links = verify(first, docs, reps, size, percent)
     roots = components(links)
 
-    def across(roots: DataFrame) -> DataFrame:
-        """Rows of signatures that sets of several components share."""
-        rooted = met.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")).join(
-            owner.select("key", "shared", *[reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"b{i}") for i in range(j, BITS // 64, 4)]).alias(f"f{j}") for j in range(4)]), "key")
+    known = owner.select("key", "n", "rest", "shared", *[
+        reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"b{i}") for i in range(j, BITS // 64, 4)]).alias(f"f{j}") for j in range(4)])
+
+    def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """Of (sig, key) rows those of signatures that sets of several components share, with what is known of the sets."""
+        rooted = stored(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root")), "near-rooted")
         apart = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-        return rooted.join(apart, "sig").select("sig", "key", "n", "rest", "root", "shared", *folded)
+        wide = stored(rooted.join(apart, "sig").join(known, "key"), "near-apart")
+        release(rooted)
+        return wide
 
     # every signature lets its sets meet another one of them, so a set meets as many others as it has signatures
-    left = stored(across(roots), "near-apart")
+    left = across(met.select("sig", "key"), roots)
+    release(met)
     other = left.groupBy("sig").agg(F.min_by(F.struct("key", "n", "root", *folded), F.xxhash64("key", "sig")).alias("y")).select("sig", "y.*")
     x, y = left.alias("x"), other.alias("y")
     between = x.join(y, F.col("x.sig") == F.col("y.sig")).where((F.col("x.root") != F.col("y.root")) & close("x", "y", folded)).select(
@@ -287,7 +292,8 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     links = links.unionByName(verify(filtered(between).where(close("p", "q", whole)).select("a", "b"), docs, reps, size, percent))
     roots = components(links)
 
-    left = stored(across(roots), "near-apart")
+    wider, left = left, across(left.select("sig", "key"), roots)
+    release(wider)
     x, y = left.alias("x"), left.alias("y")
     second = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
                     & possible("x", "y", F.least("x.shared", "y.shared")) & close("x", "y", folded)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
@@ -298,6 +304,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     more = verify(second, docs, reps, size, percent)
     if more.limit(1).count():
         roots = components(links.unionByName(more))
+    release(left, owner)
 
     named = reps.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     names = stored(named.groupBy("root").agg(F.min("doc_id").alias("component_id")), "near-names")
