@@ -11,7 +11,7 @@ Spark's text writer writes the records as they are and commits whole shards, so
 from __future__ import annotations
 
 import base64
-import hashlib
+import re
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -53,43 +53,63 @@ def permute(numbers: np.ndarray, n: int, key: int, back: bool = False) -> np.nda
     return out.astype(np.int64)
 
 
+class Merged(dict):
+    """Pieces and their packed ids, merged when first asked for."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) > 400_000:  # bounds memory
+            self.clear()
+        packed = self[piece] = np.array(self.merge(piece), dtype="<u2").tobytes()
+        return packed
+
+
 class Encoder:
-    """Byte-level BPE ids; distinct pieces of a task are merged once (a piece by itself is split no further)."""
+    """Byte-level BPE ids as little-endian pairs of bytes; distinct pieces of a task are merged once (a piece by itself is split no further).
+
+    Texts are split by the standard library's expressions, which know letters, decimal digits and spaces. Texts with other
+    number characters or with the separators that only the library counts as spaces go to the engine that reads the pattern as given.
+    """
 
     def __init__(self, ranks: bytes, pattern: str):
         import regex
         import tiktoken
 
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-        self.merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+        merge = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
+        quick = pattern.replace(r"\p{L}", r"[^\W\d_]").replace(r"\p{N}", r"\d").replace(r"[^\s[^\W\d_]\d]", r"(?:_|[^\w\s])")
+        self.quick = re.compile(quick).findall if r"\p" not in quick else None
+        self.special = regex.compile(r"[\p{No}\p{Nl}\x1c-\x1f]").search
+        self.cache = Merged(merge)
+
+    def packed(self, text: str) -> bytes:
+        split = self.split if self.quick is None or self.special(text) else self.quick
+        return b"".join(map(self.cache.__getitem__, split(text)))
 
     def ids(self, text: str) -> list[int]:
-        pieces, cache = self.split(text), self.cache
-        if len(cache) > 400_000:  # bounds memory
-            cache.clear()
-        for p in set(pieces).difference(cache):
-            cache[p] = self.merge(p)
-        return [i for p in pieces for i in cache[p]]
+        return np.frombuffer(self.packed(text), dtype="<u2").tolist()
 
 
 def _packed(ranks: bytes, pattern: str, separator: int, length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Full sequences of a task as matrices; the last is filled up with separators."""
-    encoder, rest = Encoder(ranks, pattern), np.zeros(0, dtype="<u2")
+    encoder, rest, end = Encoder(ranks, pattern), b"", separator.to_bytes(2, "little")
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             parts = [rest]
             for t in batch.column(0).slice(at, 256):
                 if text := t.as_py():
-                    parts += [np.array(encoder.ids(text), dtype="<u2"), np.array([separator], dtype="<u2")]
-            stream = np.concatenate(parts)
-            full = len(stream) // length * length
+                    parts += [encoder.packed(text), end]
+            stream = b"".join(parts)
+            full = len(stream) // (2 * length) * 2 * length
             if full:
-                yield stream[:full].reshape(-1, length)
+                yield np.frombuffer(stream[:full], dtype="<u2").reshape(-1, length)
             rest = stream[full:]
-    if len(rest):
-        yield np.concatenate([rest, np.full(length - len(rest), separator, dtype="<u2")]).reshape(1, length)
+    if rest:
+        yield np.frombuffer(rest + end * (length - len(rest) // 2), dtype="<u2").reshape(1, length)
 
 
 def write_shards(docs: DataFrame, path: str, ranks: bytes, pattern: str, separator: int = 50256, length: int = 256, per_shard: int = 16384,
