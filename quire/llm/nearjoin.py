@@ -289,7 +289,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     x, y = left.alias("x"), other.alias("y")
     between = x.join(y, F.col("x.sig") == F.col("y.sig")).where((F.col("x.root") != F.col("y.root")) & close("x", "y", folded)).select(
         F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    links = links.unionByName(verify(filtered(between).where(close("p", "q", whole)).select("a", "b"), docs, reps, size, percent))
+    links = links.unionByName(verify(filtered(between).where(possible("p", "q", F.least("p.shared", "q.shared")) & close("p", "q", whole)).select("a", "b"), docs, reps, size, percent))
     roots = components(links)
 
     wider, left = left, across(left.select("sig", "key"), roots)
