@@ -11,9 +11,11 @@ References travel with the tasks when all of them together are small (checked),
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,6 +35,10 @@ OUTSIDE_NAMES = set("ad ads advert adverts advertisement advertising adsense spo
                     "popup modal overlay comment comments disqus reply replies respond related share sharing social newsletter subscribe "
                     "signup login search".split())
 COMMENT_NAMES = {"comment", "comments", "reply", "replies", "disqus"}
+#: Below this length a row of the matching is a list, from it on an array; both hold the same numbers.
+SHORT = 48
+#: What equal text adds to a leaf's weight of 1: more than all nodes of a page together.
+EQUAL = 1 << 32
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -146,71 +152,164 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     return root, leaves
 
 
-def align(a: Node, b: Node, pairs: list[tuple[Node, Node]], cells: int = 400) -> None:
+def align(a: Node, b: Node, pairs: list[tuple[Node, Node]], memo: dict[tuple[int, int], int] | None = None) -> None:
     """Simple tree matching of two nodes with one label; matched leaves are appended to ``pairs``.
 
-    Child lists are matched in order by the largest sum of subtree matches. Equal ends are matched first; what is left of lists
-    whose product is above ``cells`` is matched in order by label.
+    Child lists are matched in order by the largest sum of subtree matches, at every length: first as many leaves of equal text as
+    there can be, then as many nodes.
     """
+    memo = {} if memo is None else memo
+    x, y, i, p, q = _trimmed(a, b)
+    for c, d in [*zip(x[:i], y[:i]), *zip(x[p:], y[q:])]:
+        _equal_leaves(c, d, pairs)
+    for c, d in _matched(x[i:p], y[i:q], memo):
+        if c.text is not None:
+            pairs.append((c, d))
+        else:
+            align(c, d, pairs, memo)
+
+
+def _trimmed(a: Node, b: Node) -> tuple[list[Node], list[Node], int, int, int]:
+    """Both child lists, the length of their equal start, and where their equal ends begin. No other matching of equal ends counts more."""
     x, y = a.children, b.children
-    i = 0
-    while i < len(x) and i < len(y) and x[i].label == y[i].label and x[i].text == y[i].text and x[i].text is not None:
-        pairs.append((x[i], y[i]))
+    i, p, q = 0, len(x), len(y)
+    while i < p and i < q and _same(x[i], y[i]):
         i += 1
-    p, q = len(x), len(y)
-    while p > i and q > i and x[p - 1].label == y[q - 1].label and x[p - 1].text == y[q - 1].text and x[p - 1].text is not None:
+    while p > i and q > i and _same(x[p - 1], y[q - 1]):
         p, q = p - 1, q - 1
-        pairs.append((x[p], y[q]))
-    x, y = x[i:p], y[i:q]
-    if not x or not y:
-        return
-    if len(x) * len(y) > cells:
-        j = 0
-        for c in x:
-            k = j
-            while k < len(y) and k < j + 8 and y[k].label != c.label:
-                k += 1
-            if k < len(y) and y[k].label == c.label:
-                _take(c, y[k], pairs)
-                j = k + 1
-        return
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    weight: dict[tuple[int, int], int] = {}
-    for i, c in enumerate(x):
-        row, above = best[i + 1], best[i]
-        for j, d in enumerate(y):
-            most = row[j] if row[j] > above[j + 1] else above[j + 1]
-            if c.label == d.label:
-                w = weight[i, j] = (2 if c.text == d.text else 1) if c.text is not None else 1 + _size(c, d)
-                if above[j] + w > most:
-                    most = above[j] + w
-            row[j + 1] = most
-    i, j = len(x), len(y)
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            _take(x[i], y[j], pairs)
+    return x, y, i, p, q
+
+
+def _same(c: Node, d: Node) -> bool:
+    return c.label == d.label and c.text == d.text and len(c.children) == len(d.children) and all(map(_same, c.children, d.children))
 
 
-def _take(c: Node, d: Node, pairs: list[tuple[Node, Node]]) -> None:
+def _equal_leaves(c: Node, d: Node, pairs: list[tuple[Node, Node]]) -> None:
     if c.text is not None:
         pairs.append((c, d))
-    else:
-        align(c, d, pairs)
+    for e, f in zip(c.children, d.children):
+        _equal_leaves(e, f, pairs)
+
+
+def _whole(c: Node) -> int:
+    return 1 + EQUAL if c.text is not None else 1 + sum(map(_whole, c.children))
+
+
+def _weight(c: Node, d: Node, memo: dict[tuple[int, int], int]) -> int:
+    """What two nodes with one label match; 0 for others."""
+    above = 0
+    while c.label == d.label:
+        if c.text is not None:
+            return above + (1 + EQUAL if c.text == d.text else 1)
+        above += 1
+        if not c.children or not d.children:
+            return above
+        if len(c.children) > 1 or len(d.children) > 1:
+            key = id(c), id(d)
+            if key not in memo:
+                x, y, i, p, q = _trimmed(c, d)
+                memo[key] = sum(map(_whole, x[:i])) + sum(map(_whole, x[p:])) + _best(x[i:p], y[i:q], memo)
+            return above + memo[key]
+        c, d = c.children[0], d.children[0]
+    return above
+
+
+def _best(x: list[Node], y: list[Node], memo: dict[tuple[int, int], int]) -> int:
+    if not x or not y:
+        return 0
+    if len(y) < SHORT:
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = _next(row, c, y, memo)
+        return row[-1]
+    weights, row = _Weights(y, memo), np.zeros(len(y) + 1, np.int64)
+    for c in x:
+        row = weights.next(row, c)
+    return int(row[-1])
+
+
+def _next(above: list[int], c: Node, y: list[Node], memo: dict[tuple[int, int], int]) -> list[int]:
+    row, most = [0], 0
+    for j, d in enumerate(y):
+        if above[j + 1] > most:
+            most = above[j + 1]
+        if c.label == d.label:
+            w = above[j] + _weight(c, d, memo)
+            if w > most:
+                most = w
+        row.append(most)
+    return row
+
+
+class _Weights:
+    """Rows of the programme over a long list: nodes that are one chain down to a leaf get their weights per shape, others per pair."""
+
+    def __init__(self, y: list[Node], memo: dict[tuple[int, int], int]):
+        self.y, self.memo = y, memo
+        shapes: dict[str, dict[tuple | None, list[int]]] = {}
+        texts: dict[tuple, list[int]] = {}
+        for j, d in enumerate(y):
+            shape, text = self.chain(d)
+            shapes.setdefault(d.label, {}).setdefault(shape, []).append(j)
+            if shape is not None:
+                texts.setdefault((shape, text), []).append(j)
+        self.shapes = {k: {s: np.array(js) for s, js in v.items()} for k, v in shapes.items()}
+        self.texts = {k: np.array(js) for k, js in texts.items()}
+
+    @staticmethod
+    def chain(d: Node) -> tuple[tuple | None, str | None]:
+        labels = [d.label]
+        while len(d.children) == 1:
+            d = d.children[0]
+            labels.append(d.label)
+        return (tuple(labels), d.text) if not d.children else (None, None)
+
+    def next(self, above: np.ndarray, c: Node) -> np.ndarray:
+        row = above.copy()
+        w = np.zeros(len(self.y), np.int64)
+        shape, text = self.chain(c)
+        for other, js in self.shapes.get(c.label, {}).items():
+            if shape is None or other is None:
+                w[js] = [_weight(c, self.y[j], self.memo) for j in js]
+            else:
+                w[js] = next((k for k, (s, t) in enumerate(zip(shape, other)) if s != t), min(len(shape), len(other)))
+        if shape is not None and text is not None and (shape, text) in self.texts:
+            w[self.texts[shape, text]] += EQUAL
+        np.maximum(row[1:], above[:-1] + w, out=row[1:])
+        return np.maximum.accumulate(row)
 
 
-def _size(c: Node, d: Node) -> int:
-    """Matched leaves below two nodes; lists of one are settled at once."""
-    if len(c.children) == 1 and len(d.children) == 1:
-        e, f = c.children[0], d.children[0]
-        return 0 if e.label != f.label else (2 if e.text == f.text else 1) if e.text is not None else 1 + _size(e, f)
+def _matched(x: list[Node], y: list[Node], memo: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """The pairs of the best matching in order. Every k-th row is kept, k the root of the length; rows between are made again on the way back."""
+    if not x or not y:
+        return []
+    if len(y) < SHORT:
+        row, step = [0] * (len(y) + 1), lambda above, c: _next(above, c, y, memo)
+    else:
+        row, step = np.zeros(len(y) + 1, np.int64), _Weights(y, memo).next
+    k = len(x) if len(x) < SHORT else math.isqrt(len(x))
+    kept = [row]
+    for i, c in enumerate(x[:(len(x) - 1) // k * k]):
+        row = step(row, c)
+        if (i + 1) % k == 0:
+            kept.append(row)
     found: list[tuple[Node, Node]] = []
-    align(c, d, found)
-    return sum(2 if e.text == f.text else 1 for e, f in found)
+    i, j = len(x), len(y)
+    while i and j:
+        first = (i - 1) // k * k
+        rows = [kept[first // k]]
+        for c in x[first:i]:
+            rows.append(step(rows[-1], c))
+        while i > first and j:
+            row, above = rows[i - first], rows[i - first - 1]
+            if row[j] == above[j]:
+                i -= 1
+            elif row[j] == row[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((x[i], y[j]))
+    return found[::-1]
 
 
 def main_text(leaves: list[Node], template: set[int]) -> str:

@@ -125,6 +125,57 @@ def test_template_blocks_go(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+def _tree(rnd, width, depth=2):
+    """Leaves, chains and nested blocks with few texts, so that many matchings tie."""
+    out = []
+    for _ in range(rnd.randint(width // 2, width)):
+        kind = rnd.random()
+        if kind < 0.4 or not depth:
+            out.append(f"<p>{rnd.choice('abcdefgh')}</p>")
+        elif kind < 0.6:
+            out.append(f"<ul><li>{rnd.choice('abc')}</li></ul>")
+        else:
+            out.append(f"<div>{_tree(rnd, 3, depth - 1)}</div>")
+    return "".join(out)
+
+
+def _best(a, b):
+    """Textbook matching: (equal leaves, nodes) of two child lists."""
+    best = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, c in enumerate(a):
+        for j, d in enumerate(b):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j])
+            if c.label == d.label:
+                e, n = _best(c.children, d.children) if c.text is None else (int(c.text == d.text), 0)
+                best[i + 1][j + 1] = max(best[i + 1][j + 1], (best[i][j][0] + e, best[i][j][1] + n + 1))
+    return best[-1][-1]
+
+
+@pytest.mark.parametrize("width", [4, 12, 60, 120])
+def test_matching_is_the_best_at_every_size(width):
+    for seed in range(4):
+        rnd = random.Random(seed)
+        a, b = (wrapper.parse(_tree(rnd, width))[0] for _ in range(2))
+        pairs = []
+        wrapper.align(a, b, pairs)
+        assert sum(x.text == y.text for x, y in pairs) == _best(a.children, b.children)[0]
+        for side in (0, 1):
+            order = [p[side].order for p in pairs]
+            assert len(set(order)) == len(order)
+        by_order = sorted(pairs, key=lambda p: p[0].order)
+        assert [p[1].order for p in by_order] == sorted(p[1].order for p in pairs)
+
+
+@pytest.mark.parametrize("before", [3, 25, 70])
+def test_notice_in_long_lists_is_found(spark, before):
+    def page(i):
+        rnd = random.Random(i)
+        words = [f"<p>text {i} {k}</p>" for k in range(before + 20)]
+        return "<article>" + "<h2>x</h2>" * 9 * (i % 2) + "".join(words[:before + rnd.randint(0, 4)]) + "<p>Call us now</p>" + "".join(words[before + 4:]) + "</article>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page(i)) for i in range(30)], "page_id long, url string, html string")
+    assert not [r.page_id for r in wrapper.extract(df).collect() if "Call us now" in r.text or f"text {r.page_id} 0" not in r.text]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
 def test_permutation(n):
     numbers = np.arange(n)
