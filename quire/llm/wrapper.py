@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a wrapper. One page of each host is its reference; every other page is aligned to it by simple tree
-matching over block nodes. Leaves that keep their text over the aligned pages are template, leaves whose text varies are slots.
+Pages of one host share a wrapper. One page of each frequent page type is a reference; the other pages are aligned to it by simple tree
+matching over block nodes. Leaves that keep their text over the aligned pages are template, leaves whose text varies are slots; blocks
+that recur over the pages of a host or of a type are template wherever the reference stands.
 A page's text is what lies in its article (or, without one, in its body), without containers that never hold the article and
 without template leaves.
 
@@ -10,6 +11,7 @@ References travel with the tasks when all of them together are small (checked),
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import math
 import re
@@ -35,6 +37,10 @@ OUTSIDE_NAMES = set("ad ads advert adverts advertisement advertising adsense spo
                     "popup modal overlay comment comments disqus reply replies respond related share sharing social newsletter subscribe "
                     "signup login search".split())
 COMMENT_NAMES = {"comment", "comments", "reply", "replies", "disqus"}
+#: Elements that hold text of a page and tell nothing of its type when they bear no name.
+TEXT_BLOCKS = set("p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption #text".split())
+#: Columns beside a page that do not go out.
+WORKING = ("_host", "_html", "_kind", "_reference", "_leaves", "_blocks")
 #: Below this length a row of the matching is a list, from it on an array; both hold the same numbers.
 SHORT = 48
 #: What equal text adds to a leaf's weight of 1: more than all nodes of a page together.
@@ -312,112 +318,212 @@ def _matched(x: list[Node], y: list[Node], memo: dict[tuple[int, int], int]) ->
     return found[::-1]
 
 
+def _inside(leaves: list[Node]) -> list[Node]:
+    return [x for x in leaves if x.article and not x.outside] or [x for x in leaves if not x.outside]
+
+
 def main_text(leaves: list[Node], template: set[int]) -> str:
     """Blocks of the article (of the body when there is none) that are neither in an outside container nor template."""
-    inside = [x for x in leaves if x.article and not x.outside] or [x for x in leaves if not x.outside]
-    return "\n".join(x.text for x in inside if x.order not in template)
+    return "\n".join(x.text for x in _inside(leaves) if x.order not in template)
 
 
-class _References:
-    """Parsed reference pages of the last hosts of a task."""
+def _number(*parts: str) -> int:
+    return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _kind(page: Node) -> int:
+    """The page type: labels of the outer containers, whatever text blocks stand between them."""
+    found: set[str] = set()
+
+    def walk(node: Node, path: str, depth: int) -> None:
+        for c in node.children:
+            if c.text is None and c.label not in TEXT_BLOCKS:
+                found.add(f"{path}/{c.label}")
+                if depth:
+                    walk(c, f"{path}/{c.label}", depth - 1)
+
+    walk(page, "", 2)
+    return _number(*sorted(found))
+
+
+def _key(leaves: list[Node]) -> int:
+    """Equal for pages with the same text, whatever stands around it: such pages count once."""
+    return _number(main_text(leaves, set()))
+
 
-    def __init__(self, texts: dict[str, str] | None):
-        self.texts, self.trees = texts, {}
+def _blocks(page: Node, leaves: list[Node]) -> Iterator[tuple[Node, int]]:
+    """Leaves that may be text of the page, each with a number of its labels from the root and its text."""
+    inside = {x.order for x in _inside(leaves)}
+    ahead = [(page, "")]
+    while ahead:
+        node, path = ahead.pop()
+        for c in node.children:
+            if c.text is None:
+                ahead.append((c, f"{path}/{c.label}"))
+            elif c.order in inside:
+                yield c, _number(path, c.text)
 
-    def tree(self, host: str, html: str | None) -> Node | None:
-        if host not in self.trees:
+
+class _References:
+    """Parsed reference pages of the last hosts and page types of a task."""
+
+    def __init__(self, texts: dict[tuple[str, int], str] | None, usual: dict[str, int] | None):
+        self.texts, self.usual, self.trees = texts, usual, {}
+
+    def tree(self, host: str, page: Node, kind: int | None, html: str | None) -> tuple[int | None, Node | None, int | None]:
+        """The page type of the reference, its tree and key."""
+        if self.texts is not None:
+            kind = _kind(page)
+            if (host, kind) not in self.texts:
+                kind = self.usual.get(host)
+            html = self.texts.get((host, kind))
+        if html is None:
+            return None, None, None
+        if (host, kind) not in self.trees:
             if len(self.trees) > 256:
                 self.trees.clear()
-            html = self.texts.get(host) if self.texts is not None else html
-            self.trees[host] = parse(html)[0] if html is not None else None
-        return self.trees[host]
+            tree, leaves = parse(html)
+            self.trees[host, kind] = tree, _key(leaves)
+        return kind, *self.trees[host, kind]
+
+
+def _columns(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names])
+
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page type or NULL for the whole host, block or NULL for the page, key, hash of a page) of pages that have text."""
+    for batch in batches:
+        rows: dict[tuple, int] = {}
+        for host, html, hashed in _columns(batch, "_host", "_html", "_hash"):
+            page, leaves = parse(html)
+            if not _inside(leaves):
+                continue
+            kind, key = _kind(page), _key(leaves)
+            for block in [None, *{b for _, b in _blocks(page, leaves)}]:
+                for k in (None, kind):
+                    row = host, k, block, key
+                    rows[row] = min(hashed, rows.get(row, hashed))
+        columns = list(zip(*rows)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]], pa.array(list(rows.values()), pa.int64())],
+                                         ["host", "kind", "block", "key", "hash"])
 
-def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*[batch.column(batch.schema.get_field_index(c)) for c in ("_host", "_html", "_reference")])
 
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([_kind(parse(h)[0]) for h, in _columns(batch, "_html")], pa.int64())], [*batch.schema.names, "_kind"])
 
-def _evidence(texts):
+
+def _evidence(texts, usual):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references = _References(texts.value if texts is not None else None)
+        references = _References(texts and texts.value, usual and usual.value)
         for batch in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
-            for host, html, reference in _columns(batch):
-                host, html = host.as_py(), html.as_py()
-                tree = references.tree(host, reference.as_py())
-                if tree is None:
-                    continue
+            sums: dict[tuple[str, int, int], list[int]] = {}
+            for host, html, kind, reference in _columns(batch, "_host", "_html", "_kind", "_reference"):
                 page, leaves = parse(html)
+                kind, tree, key = references.tree(host, page, kind, reference)
+                if tree is None or not _inside(leaves) or _key(leaves) == key:
+                    continue  # a copy of the reference tells nothing
                 pairs: list[tuple[Node, Node]] = []
                 align(tree, page, pairs)
-                if pairs and all(x.text == y.text for x, y in pairs) and len(pairs) == len(leaves):
-                    continue  # a copy of the reference tells nothing
                 for x, y in pairs:
-                    s = sums.setdefault((host, x.order), [0, 0])
+                    s = sums.setdefault((host, kind, x.order), [0, 0])
                     s[0] += 1
                     s[1] += x.text == y.text
+            columns = list(zip(*sums)) or [()] * 3
             yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int32()),
-                pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["host", "leaf", "seen", "same"])
+                pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
+                pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["host", "kind", "leaf", "seen", "same"])
     return run
 
 
-def _extraction(texts, templates):
+def _extraction(texts, usual, templates, recurring):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        references = _References(texts.value if texts is not None else None)
+        references = _References(texts and texts.value, usual and usual.value)
         for batch in batches:
             out = []
-            leaf_column = batch.schema.get_field_index("_leaves")
-            given = batch.column(leaf_column) if leaf_column >= 0 else None
-            for k, (host, html, reference) in enumerate(_columns(batch)):
-                page, leaves = parse(html.as_py())
-                host = host.as_py()
-                constant = templates.value.get(host) if templates is not None else given[k].as_py()
+            for host, html, kind, reference, given, known in _columns(batch, "_host", "_html", "_kind", "_reference", "_leaves", "_blocks"):
+                page, leaves = parse(html)
                 dropped: set[int] = set()
-                tree = references.tree(host, reference.as_py()) if constant else None
-                if tree is not None:
+                kind, tree, _ = references.tree(host, page, kind, reference)
+                constant = templates.value.get((host, kind)) if templates else given
+                if tree is not None and constant:
                     constant, pairs = set(constant), []
                     align(tree, page, pairs)
                     dropped = {y.order for x, y in pairs if x.order in constant and x.text == y.text}
+                known = recurring.value.get(host) if recurring else known
+                if known:
+                    own = {b["block"] for b in known if b["kind"] is None or b["kind"] == _kind(page)}
+                    dropped |= {x.order for x, b in _blocks(page, leaves) if b in own}
                 out.append(main_text(leaves, dropped))
-            kept = [c for c in batch.schema.names if c not in ("_host", "_html", "_reference", "_leaves")]
+            kept = [c for c in batch.schema.names if c not in WORKING]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())],
                                              [*kept, "text", "n_chars"])
     return run
 
 
-def extract(pages: DataFrame, min_pages: int = 20, min_share: float = 0.9, small: int = 4 << 20) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, min_share: float = 0.9, small: int = 4 << 20, often: float = 0.4) -> DataFrame:
     """Adds text and n_chars to pages (page_id, url, html, others); html goes, columns named text or n_chars too.
 
-    A reference leaf is template when it is matched in ``min_pages`` pages of its host that are no copies of the reference and keeps
-    its text in ``min_share`` of them. NULL html counts as empty; pages with a NULL url form one host; repeated rows stay; an empty
-    table gives none. References of all hosts together up to ``small`` bytes are broadcast, beyond that joined.
+    A block is template in either of two cases. It recurs: the same labels from the root and the same text stand on ``min_pages``
+    different texts and on the share ``often`` of all texts of its host, or of the host's pages of one type. Or it is constant: pages
+    are aligned to the reference of their type (of the host's most frequent type when theirs has under ``min_pages`` texts), and the
+    reference leaf keeps its text in ``min_share`` of the pages where it is matched; these are 20, or on smaller hosts the share
+    ``often``, ``min_pages`` at least. Pages of equal text count once for blocks, and those equal to the reference never for leaves.
+
+    NULL html counts as empty; pages with a NULL url form one host; repeated rows stay; an empty table gives none. References and
+    recurring blocks of all hosts together up to ``small`` bytes are broadcast, beyond that joined.
     """
     kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
     host = F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#:]+)", 1), F.lit(""))
     df = pages.select(*kept, F.lower(host).alias("_host"), F.coalesce(F.col("html"), F.lit("")).alias("_html"))
-    first = stored(df.groupBy("_host").agg(F.min(F.struct(F.xxhash64("_html").alias("h"), F.length("_html").alias("n"))).alias("m")).select(
-        F.col("_host").alias("r_host"), F.col("m.h").alias("r_hash"), F.col("m.n").alias("r_length")), "wrapper-hosts")
-    size = first.agg(F.count("*").alias("hosts"), F.coalesce(F.sum("r_length"), F.lit(0)).alias("chars")).first()
-    light = size["chars"] * 4 + size["hosts"] * 64 <= small
-    chosen = F.broadcast(first) if light else first
-    references = stored(df.join(chosen, (F.col("_host") == F.col("r_host")) & (F.xxhash64("_html") == F.col("r_hash"))).groupBy("r_host").agg(
+    hashed = F.xxhash64("_html")
+    counts = df.select("_host", "_html", hashed.alias("_hash")).mapInArrow(_counted, "host string, kind bigint, block bigint, key bigint, hash bigint")
+    counts = counts.groupBy("host", "kind", "block", "key").agg(F.min("hash").alias("hash")).groupBy("host", "kind", "block").agg(
+        F.count("*").alias("n"), F.min("hash").alias("hash"))
+    counts = stored(counts.where((F.col("n") >= min_pages) | F.col("block").isNull()), "wrapper-counts")
+    totals = counts.where("block is null").select(F.col("host").alias("t_host"), F.col("kind").alias("t_kind"), F.col("n").alias("total"), "hash")
+    blocks = counts.where("block is not null").join(totals, (F.col("host") == F.col("t_host")) & F.col("kind").eqNullSafe(F.col("t_kind"))).where(
+        F.col("n") >= often * F.col("total"))
+    blocks = stored(blocks.groupBy("host").agg(F.collect_list(F.struct("kind", "block")).alias("_blocks")), "wrapper-blocks")
+    typed = totals.where("t_kind is not null")
+    most = typed.groupBy("t_host").agg(F.max_by("t_kind", F.struct("total", "t_kind")).alias("usual"))
+    first = stored(typed.join(most, "t_host").where((F.col("total") >= min_pages) | (F.col("t_kind") == F.col("usual"))).select(
+        F.col("t_host").alias("r_host"), F.col("t_kind").alias("r_kind"), F.col("usual").alias("r_usual"), F.col("hash").alias("r_hash")), "wrapper-hosts")
+    near = F.broadcast(first) if first.count() * 128 <= small else first
+    references = stored(df.join(near, (F.col("_host") == F.col("r_host")) & (hashed == F.col("r_hash"))).groupBy("r_host", "r_kind", "r_usual").agg(
         F.min("_html").alias("_reference")), "wrapper-references")
+    size = references.agg(F.coalesce(F.sum(F.length("_reference") * 4 + 64), F.lit(0)).alias("n")).first()["n"]
+    size += blocks.agg(F.coalesce(F.sum(F.size("_blocks") * 32 + 64), F.lit(0)).alias("n")).first()["n"]
     context = pages.sparkSession.sparkContext
-    texts = None
-    if light:
-        texts = context.broadcast({r["r_host"]: r["_reference"] for r in references.collect()})
-        beside = df.withColumn("_reference", F.lit(None).cast("string"))
+    texts = usual = templates = recurring = None
+    if size <= small:
+        found = references.collect()
+        texts = context.broadcast({(r["r_host"], r["r_kind"]): r["_reference"] for r in found})
+        usual = context.broadcast({r["r_host"]: r["r_usual"] for r in found})
+        recurring = context.broadcast({r["host"]: r["_blocks"] for r in blocks.collect()})
+        beside = df.withColumns({"_kind": F.lit(None).cast("long"), "_reference": F.lit(None).cast("string")})
     else:
-        beside = df.join(references, F.col("_host") == F.col("r_host")).drop("r_host")
-    counted = beside.select("_host", "_html", "_reference").mapInArrow(_evidence(texts), "host string, leaf int, seen bigint, same bigint")
-    constant = counted.groupBy("host", "leaf").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same")).where(
-        (F.col("seen") >= min_pages) & (F.col("same") >= F.col("seen") * min_share))
-    constant = stored(constant.groupBy("host").agg(F.collect_list("leaf").alias("_leaves")), "wrapper-templates")
-    templates = None
-    if light:  # a template is no longer than its reference
-        templates = context.broadcast({r["host"]: r["_leaves"] for r in constant.collect()})
+        beside = df.mapInArrow(_kinds, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", _kind bigint")
+        usually = references.select(F.col("r_host").alias("u_host"), F.col("r_usual").alias("u_kind")).distinct()
+        owned = references.select(F.col("r_host").alias("o_host"), F.col("r_kind").alias("o_kind"))
+        beside = beside.join(usually, F.col("_host") == F.col("u_host"), "left").join(
+            owned, (F.col("_host") == F.col("o_host")) & (F.col("_kind") == F.col("o_kind")), "left").withColumn(
+            "_kind", F.coalesce("o_kind", "u_kind")).drop("u_host", "u_kind", "o_host", "o_kind")
+        beside = beside.join(references.drop("r_usual"), (F.col("_host") == F.col("r_host")) & (F.col("_kind") == F.col("r_kind")), "left").drop("r_host", "r_kind")
+    matched = beside.select("_host", "_html", "_kind", "_reference").mapInArrow(
+        _evidence(texts, usual), "host string, kind bigint, leaf int, seen bigint, same bigint")
+    matched = matched.groupBy("host", "kind", "leaf").agg(F.sum("seen").alias("seen"), F.sum("same").alias("same"))
+    enough = F.least(F.lit(20), F.greatest(F.lit(min_pages), F.ceil(F.col("total") * often)))
+    constant = matched.join(totals.where("t_kind is null"), F.col("host") == F.col("t_host")).where(
+        (F.col("seen") >= enough) & (F.col("same") >= F.col("seen") * min_share))
+    constant = stored(constant.groupBy("host", "kind").agg(F.collect_list("leaf").alias("_leaves")), "wrapper-templates")
+    if size <= small:  # a template is no longer than its reference
+        templates = context.broadcast({(r["host"], r["kind"]): r["_leaves"] for r in constant.collect()})
+        beside = beside.withColumns({"_leaves": F.lit(None).cast("array<int>"), "_blocks": F.lit(None).cast(blocks.schema["_blocks"].dataType)})
     else:
-        beside = beside.join(constant, F.col("_host") == F.col("host"), "left").drop("host")
+        constant = constant.select(F.col("host").alias("c_host"), F.col("kind").alias("c_kind"), "_leaves")
+        beside = beside.join(constant, (F.col("_host") == F.col("c_host")) & (F.col("_kind") == F.col("c_kind")), "left").drop("c_host", "c_kind").join(
+            blocks, F.col("_host") == F.col("host"), "left").drop("host")
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*kept).schema.fields)
-    return beside.mapInArrow(_extraction(texts, templates), schema + "text string, n_chars bigint")
+    return beside.mapInArrow(_extraction(texts, usual, templates, recurring), schema + "text string, n_chars bigint")

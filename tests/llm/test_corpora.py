@@ -176,6 +176,26 @@ def test_notice_in_long_lists_is_found(spark, before):
     assert not [r.page_id for r in wrapper.extract(df).collect() if "Call us now" in r.text or f"text {r.page_id} 0" not in r.text]
 
 
+@pytest.mark.parametrize("small", [4 << 20, 0])
+def test_template_is_found_over_all_pages_of_a_host(spark, small):
+    rows = [(i, f"http://small.org/{i}", f"<p>Call us now</p><p>own text of {i}</p>") for i in range(8)]
+    rows += [(100 + i, f"http://odd.org/{i}", "" if i < 3 else f"<p>Call us now</p><p>own text of {100 + i}</p>") for i in range(40)]
+    rows += [(200 + i, f"http://most.org/{i}", ("<p>Call us now</p>" if i % 10 < 7 else "") + f"<p>own text of {200 + i}</p>") for i in range(40)]
+    rows += [(300 + i, f"http://two.org/{i}", f"<p>{('Call us now', 'Call us today')[i % 2]}</p><p>own text of {300 + i}</p>") for i in range(40)]
+    rows += [(400 + i, f"http://types.org/{i}", f"<div class=news><p>own text of {400 + i}</p></div>" if i % 5 else
+              f"<div class=goods><p>own text of {400 + i}</p><p>Call us now</p></div>") for i in range(60)]
+    rows += [(500 + i, f"http://copies.org/{i}", f"<div class=ad>{i}</div><p>Call us now</p><p>own text of 500</p>") for i in range(30)]
+    rows += [(600 + i, f"http://few.org/{i}", f"<p>Call us now</p><p>own text of {600 + i}</p>") for i in range(4)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrapper.extract(df, small=small).collect()}
+    assert len(got) == len(rows)
+    for i, _, html in rows:
+        if i >= 500:
+            assert got[i].startswith("Call us now\nown text of ")
+        else:
+            assert got[i] == (f"own text of {i}" if html else "")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 4097])
 def test_permutation(n):
     numbers = np.arange(n)
