@@ -36,6 +36,10 @@ OUTSIDE_NAMES = set("ad ads advert adverts advertisement advertising adsense spo
                     "breadcrumb breadcrumbs pagination pager sidebar footer header masthead topbar cookie cookies consent gdpr notice notices "
                     "popup modal overlay comment comments disqus reply replies respond related share sharing social newsletter subscribe "
                     "signup login search".split())
+#: Parts that may stand beside such names in one word (site-footer), and elements whose names say nothing about them.
+BESIDE_NAMES = set("site global top bottom left right primary secondary widget bar box list links buttons inner wrap wrapper container block area".split())
+UNNAMED_TAGS = set("h1 h2 h3 h4 h5 h6 p".split())
+HEADER_NAMES = {"header", "masthead"}
 COMMENT_NAMES = {"comment", "comments", "reply", "replies", "disqus"}
 #: Elements that hold text of a page and tell nothing of its type when they bear no name.
 TEXT_BLOCKS = set("p ul ol li dl dt dd h1 h2 h3 h4 h5 h6 table thead tbody tfoot tr td th caption blockquote pre figure figcaption #text".split())
@@ -47,43 +51,84 @@ SHORT = 48
 EQUAL = 1 << 32
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Node:
     """A block element, or a leaf with the text of one block."""
 
-    __slots__ = ("label", "children", "text", "outside", "article", "order")
+    __slots__ = ("label", "children", "text", "outside", "article", "order", "own", "parent")
 
-    def __init__(self, label: str, text: str | None, outside: bool, article: bool, order: int = -1):
+    def __init__(self, label: str, text: str | None, outside: bool, article: bool, order: int = -1, own: int = 0, parent: Node | None = None):
         self.label, self.children, self.text, self.outside, self.article, self.order = label, [], text, outside, article, order
+        self.own, self.parent = own, parent
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> tuple[bool, str]:
-    names, role = "", ""
-    if attributes and "=" in attributes:
+def _named(word: str, in_article: bool) -> bool:
+    """Whether a whole class or id is a name from the list, alone or with other such names, numbers and parts that say no more."""
+    parts = {x for x in SPLIT.split(word) if x and not x.isdigit()}
+    found = parts & OUTSIDE_NAMES
+    return bool(found - HEADER_NAMES if in_article else found) and parts <= OUTSIDE_NAMES | BESIDE_NAMES
+
+
+def _outside(tag: str, attributes: str, in_article: bool) -> tuple[int, str]:
+    """0 for an element that may hold the article, 1 for one that only its names speak against, 2 for others; and its names."""
+    names, role, unseen = "", "", False
+    if attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "role":
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if name == "role":
                 role = value
-            else:
+            elif name in ("class", "id"):
                 names += " " + value
-    parts = set(SPLIT.split(names)) if names else set()
+            elif name == "hidden":
+                unseen |= value.strip() != "until-found"
+            elif name == "style":
+                unseen |= bool(UNSEEN.search(value))
     if tag in ("html", "body"):
-        return False, names
+        return 0, names
     if tag in ("article", "main"):
-        return bool(parts & COMMENT_NAMES), names
-    if tag in OUTSIDE_TAGS or tag == "header" and not in_article or role in OUTSIDE_ROLES or parts & OUTSIDE_NAMES:
-        return True, names
-    return bool(attributes) and bool(HIDDEN.search(attributes)), names
+        return 2 if any(_named(w, False) and set(SPLIT.split(w)) & COMMENT_NAMES for w in names.split()) else 0, names
+    if tag in OUTSIDE_TAGS or tag == "header" and not in_article or set(role.split()) & OUTSIDE_ROLES or unseen:
+        return 2, names
+    return int(bool(names) and tag not in UNNAMED_TAGS and any(_named(w, in_article) for w in names.split())), names
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Names do not put out an element around most of the text of the page that has its title, its article or paragraphs."""
+    if not any(x.own == 1 for x in nodes):
+        return
+    hard: set[int] = set()
+    for x in nodes:
+        if x.own == 2 or x.parent is not None and id(x.parent) in hard:
+            hard.add(id(x))
+    sums = {id(x): [0, 0] for x in nodes}
+    for x in reversed(nodes):  # parents stand before their children
+        if id(x) in hard:
+            continue
+        mine, tag = sums[id(x)], x.label.split(" ", 1)[0]
+        mine[0] += len(x.text or "")
+        mine[1] += 2 if tag in ("article", "main", "h1") else tag == "p"
+        if x.parent is not None:
+            above = sums[id(x.parent)]
+            above[0] += mine[0]
+            above[1] += mine[1]
+    whole = sums[id(nodes[0])][0]
+    around = [x for x in nodes if x.own == 1 and id(x) not in hard and 2 * sums[id(x)][0] > whole and sums[id(x)][1] > 1 and not COMMENT_NAMES & set(SPLIT.split(x.label))]
+    for x in around:
+        x.own = 0
+    for x in nodes[1:] if around else ():
+        x.outside = x.parent.outside or x.own > 0
+        x.article = (x.parent.article or x.label.split(" ", 1)[0] in ("article", "main")) and not x.own
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
     """The block tree of a page and its leaves in page order. Broken markup is read as far as it goes."""
     root = Node("#root", None, False, False)
     leaves: list[Node] = []
+    nodes = [root]
     stack: list[tuple[str, Node]] = [("#root", root)]
     parts: list[str] = []
 
@@ -96,8 +141,9 @@ def parse(html: str) -> tuple[Node, list[Node]]:
             text = " ".join(text.split())
             if text:
                 top = stack[-1][1]
-                leaf = Node("#text", text, top.outside, top.article, len(leaves))
+                leaf = Node("#text", text, top.outside, top.article, len(leaves), 0, top)
                 top.children.append(leaf)
+                nodes.append(leaf)
                 leaves.append(leaf)
 
     def close(tag: str) -> None:
@@ -151,10 +197,14 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 break
         top = stack[-1][1]
         out, names = _outside(tag, attributes, top.article)
-        node = Node(tag + names, None, top.outside or out, (top.article or tag in ("article", "main")) and not out)
+        node = Node(tag + names, None, top.outside or out > 0, (top.article or tag in ("article", "main")) and not out, -1, out, top)
         top.children.append(node)
+        nodes.append(node)
         stack.append((tag, node))
     flush()
+    _settle(nodes)
+    for x in nodes:
+        x.parent = None  # no cycles, so that a page goes as soon as it is done with
     return root, leaves
 
 

@@ -125,6 +125,19 @@ def test_template_blocks_go(spark):
     assert wrapper.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("body,want", [
+    ("<article><div style='overflow:hidden'><p>a</div><p class=hidden-xs>b<p aria-hidden=false>c<p data-style='display:none'>d</article>", "a\nb\nc\nd"),
+    ("<article><p hidden>a<p hidden=until-found>b<div style='color:red; display : none'>c</div><p>d</article>", "b\nd"),
+    ("<article><div class=entry-header><h1>T</h1></div><div class=header><h2>U</h2></div><h2 id=related-work>R</h2><h2 id=search>S</h2><p class=notice>p</article>",
+     "T\nU\nR\nS\np"),
+    ("<div class='content has-sidebar'><h1>T</h1><p>p</div><div class='site-footer'>f</div><div class='ad-2'>buy</div><div id=comments><p>hi</div>", "T\np"),
+    ("<div class='page search'><h1>T</h1><p>the text of the page</div><div class='sidebar'><p>s</div>", "T\nthe text of the page"),
+    ("<div class=modal><article><p>the text of the page</p><div class=share>tell</div></article></div><div>x</div>", "the text of the page"),
+])
+def test_rules_drop_nothing_else(body, want):
+    assert wrapper.main_text(wrapper.parse(PAGE % body)[1], set()) == want
+
+
 def _tree(rnd, width, depth=2):
     """Leaves, chains and nested blocks with few texts, so that many matchings tie."""
     out = []
