@@ -37,6 +37,12 @@ def release(*tables: DataFrame) -> None:
             df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(files[0].rsplit("/", 1)[0])
 
 
+def bounded(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
+    """``df`` marked for broadcast where its measured size, as JSON, is at most ``limit`` bytes; else as it is, for a shuffled join."""
+    size = df.select(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def word_list(text: Column) -> Column:
     """The words of a text in order; none for NULL."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
