@@ -81,7 +81,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def term_counts(docs: DataFrame, least: int) -> DataFrame:
     """(lang, term, total, entries): the kept terms with their count and (source, n) for the sources that hold them."""
     partial = collapsed(docs).mapInArrow(_count, "lang string, source string, term string, n long, docs long")
-    entries = partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # dealt by term, both sums below stay in their task; a term brings at most a row per source and table of a task, already added up
+    entries = partial.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     whole = entries.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.collect_list(F.struct("source", "n")).alias("entries"))
     return whole.where(F.col("docs") >= least).select("lang", "term", "total", "entries")
 
