@@ -114,10 +114,11 @@ def judge(pages: DataFrame, host_rules: DataFrame, patterns: DataFrame) -> DataF
     """(page_id, url) -> (page_id, host, path, rule, verdict, pattern), a row for every page; ``pattern`` is what decided where no host rule fits."""
     urls = stored(pages.select(F.coalesce("url", F.lit("")).alias("url")).distinct(), "urls")
     by_host = stored(host_verdicts(urls, host_rules), "url-hosts")
-    rest = urls.join(by_host, "url", "left_anti").withColumn("low", lowered(F.col("url")))
+    # verdicts grow with the table: never broadcast, however small their files look
+    rest = urls.join(by_host.hint("merge"), "url", "left_anti").withColumn("low", lowered(F.col("url")))
     verdicts = by_host.withColumn("pattern", F.lit(None).cast("string")).unionByName(pattern_verdicts(rest, patterns), allowMissingColumns=True)
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"))
-    return rows.join(verdicts, "url", "left").select(
+    return rows.join(verdicts.hint("merge"), "url", "left").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "rule",
         F.when(F.coalesce("allow", F.lit(True)), "allow").otherwise("block").alias("verdict"), "pattern")
 
