@@ -11,7 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import bullet_content, filled, section_key, strip
+from quire.operators.forest import linearise, resolve
 from quire.operators.scan import running, tile_of
+from quire.session import stored
 
 BODY = ("paragraph", "bullet_list")
 # Text-highlight fields that an edit makes stale.
@@ -24,13 +26,20 @@ SECTION_INSTRUCTION = "Summarise one section from the paragraph summaries below.
 SECTION_INSTRUCTION_ZH = "Summarise one section in Traditional Chinese from the paragraph summaries below. Answer with one JSON object holding \"summary\"."
 
 
-def judge_edits(edits: DataFrame, elements: DataFrame) -> DataFrame:
-    """E-13: every edit with the reason it is rejected, or NULL."""
-    known = elements.select("element_id", F.col("type").alias("_type"), F.col("section_title").alias("section_title"), F.col("element_index").alias("anchor_index"))
-    joined = edits.join(known, "element_id", "left")
+def _targets(edits: DataFrame, elements: DataFrame) -> DataFrame:
+    """What an edit may name: stored elements, born before the batch, and the rows that its insertions make."""
+    known = elements.select("element_id", F.col("doc_id").alias("_doc"), F.col("type").alias("_type"), "section_title", F.col("element_index").alias("anchor_index"), F.lit(0).cast("long").alias("_born"))
+    made = edits.where(F.col("op") == "insert").select(
+        (-F.col("edit_seq")).alias("element_id"), F.lit("paragraph").alias("_type"), F.col("edit_seq").cast("long").alias("_born"))
+    return known.unionByName(made, allowMissingColumns=True)
+
+
+def _judged(edits: DataFrame, targets: DataFrame) -> DataFrame:
+    """Reasons as far as an edit and its own target tell."""
+    joined = edits.join(targets, "element_id", "left")
     op, kind = F.col("op"), F.col("_type")
     reason = (
-        F.when(kind.isNull(), "missing_element")
+        F.when(kind.isNull() | (F.col("_born") >= F.col("edit_seq")), "missing_element")
         .when((op == "update") & (kind != "paragraph"), "not_a_paragraph").when((op == "bullets") & (kind != "bullet_list"), "not_a_bullet_list")
         .when(op.isin("insert", "delete") & ~kind.isin(*BODY), "not_editable").when((op == "insert") & filled(F.col("text")).isNull(), "blank_text")
     )
@@ -40,6 +49,36 @@ def judge_edits(edits: DataFrame, elements: DataFrame) -> DataFrame:
         "reason", F.when(F.col("reason").isNull() & (F.col("edit_seq") > F.col("_gone")), "deleted_before").otherwise(F.col("reason"))).drop("_gone")
 
 
+def _names_insertions(edits: DataFrame) -> bool:
+    """Whether an edit names a row that the batch itself inserts; reads the log alone."""
+    made = edits.where(F.col("op") == "insert").select((-F.col("edit_seq")).alias("element_id"))
+    return not edits.where("element_id < 0").join(made, "element_id", "left_semi").isEmpty()
+
+
+def judge_edits(edits: DataFrame, elements: DataFrame) -> DataFrame:
+    """E-13: every edit with the reason it is rejected, or NULL, and the stored element ``root_id`` that its row stands behind (or is).
+
+    ``doc_id`` is that of the stored element where there is one.
+    Edits are judged as if they were served one by one: those on a row that the batch inserted count where the insertion comes earlier and was
+    itself accepted, along the whole chain of insertions.
+    """
+    root = F.col("element_id").alias("root_id")
+    finish = lambda df: df.withColumn("doc_id", F.coalesce("_doc", "doc_id")).drop("_born", "_doc")
+    if not _names_insertions(edits):
+        return _judged(edits, _targets(edits.limit(0), elements)).select("*", root).transform(finish)
+    judged = stored(_judged(edits, _targets(edits, elements)), "judged-edits")
+    on_insert = F.col("_born") > 0
+    inserts = judged.where((F.col("op") == "insert") & (F.coalesce("_born", F.lit(0)) < F.col("edit_seq")))
+    chains = resolve(inserts.select("edit_seq", F.when(on_insert, -F.col("element_id")).alias("parent"), F.col("reason").isNull().alias("ok")))
+    tops = inserts.where(~on_insert).select(F.col("edit_seq").alias("top"), root, F.col("section_title").alias("_title"), F.col("anchor_index").alias("_index"), F.col("_doc").alias("_home"))
+    made = chains.join(tops, "top", "left").select((-F.col("edit_seq")).alias("element_id"), "whole", F.col("root_id").alias("_root"), "_title", "_index", "_home")
+    direct, chained = judged.where(~F.coalesce(on_insert, F.lit(False))), judged.where(on_insert)
+    reason = F.when(F.coalesce("whole", F.lit(False)), F.col("reason")).otherwise("missing_element")
+    settled = chained.drop("section_title", "anchor_index", "_doc").join(made, "element_id", "left").withColumn("reason", reason)
+    settled = settled.withColumnsRenamed({"_title": "section_title", "_index": "anchor_index", "_root": "root_id", "_home": "_doc"}).drop("whole")
+    return direct.select("*", root).unionByName(settled).transform(finish)
+
+
 def accepted(edits: DataFrame, elements: DataFrame) -> DataFrame:
     return judge_edits(edits, elements).where(F.col("reason").isNull()).drop("reason")
 
@@ -95,29 +134,52 @@ def delete_elements(elements: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def inserted_rows(edits: DataFrame, like: DataFrame) -> DataFrame:
-    """E-3: the new paragraphs, placed behind their anchor; the latest insertion comes first.
+    """E-3: the new paragraphs, with the section of the stored element above them and its index until ``places`` numbers them.
 
     The id of a new element is the negated edit number (edits count from 1), which no stored element has.
     """
     new = edits.where(F.col("op") == "insert").select(
         "doc_id", (-F.col("edit_seq")).alias("element_id"), F.col("anchor_index").alias("element_index"), F.lit("paragraph").alias("type"), "section_title",
-        strip(F.col("text")).alias("text"), strip(F.col("text")).alias("content"), F.lit(True).alias("dirty"), F.col("edit_seq").alias("_seq"))
+        strip(F.col("text")).alias("text"), strip(F.col("text")).alias("content"), F.lit(True).alias("dirty"))
     missing = [f for f in like.schema.fields if f.name not in new.columns]
     return new.select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in missing])
 
 
-def reindex(rows: DataFrame) -> DataFrame:
-    """E-5: dense numbering by (old index, insertions behind their anchor, latest first)."""
-    order = rows.withColumns({"_ins": F.col("_seq").isNotNull(), "_rev": -F.coalesce("_seq", F.lit(0)), "_old": F.col("element_index")})
-    spine = running(order.select("doc_id", "element_id", "_old", "_ins", "_rev"), ["doc_id"], ["_old", "_ins", "_rev"], tile_of("_old"), sums={"_n": F.lit(1)})
-    return rows.drop("element_index", "_seq").join(spine.select("element_id", (F.col("_n") - 1).cast("int").alias("element_index")), "element_id")
+def places(elements: DataFrame, edits: DataFrame) -> DataFrame:
+    """E-5: (element_id, element_index), the dense numbering after accepted edits; later insertions behind an anchor come first.
+
+    The stored elements are the only rows that are counted through; what stands behind one of them adds its size there, and inserted rows find
+    their place from it. Deleted rows weigh nothing but keep the place of what was inserted behind them.
+    """
+    gone = edits.where(F.col("op") == "delete").select("element_id", F.lit(0).alias("_w")).distinct()
+    weight = F.coalesce("_w", F.lit(1)).alias("weight")
+    nodes = edits.where(F.col("op") == "insert").select("edit_seq", F.col("element_id").alias("anchor"), "root_id", (-F.col("edit_seq")).alias("_id")).join(
+        gone.withColumnRenamed("element_id", "_id"), "_id", "left")
+    parent = F.when(F.col("anchor") != F.col("root_id"), -F.col("anchor")).alias("parent")
+    nodes = linearise(stored(nodes.select("edit_seq", "anchor", parent, "root_id", weight), "inserts"))
+    behind = nodes.groupBy(F.col("root_id").alias("element_id")).agg(F.sum("weight").alias("_behind"))
+    spine = elements.select("doc_id", "element_id", "element_index").join(gone, "element_id", "left").join(behind, "element_id", "left").select(
+        "doc_id", "element_id", "element_index", weight, (F.coalesce("_w", F.lit(1)) + F.coalesce("_behind", F.lit(0))).alias("_n"))
+    counted = stored(running(spine, ["doc_id"], ["element_index", "element_id"], tile_of("element_index"), sums={"_base": F.col("_n")}, inclusive=False).select(
+        "element_id", "weight", "_base"), "element-places")
+    number = lambda c: c.cast("int").alias("element_index")
+    old = counted.where("weight = 1").select("element_id", number(F.col("_base")))
+    above = counted.select(F.col("element_id").alias("root_id"), (F.col("_base") + F.col("weight")).alias("_first"))
+    new = nodes.where("weight = 1").join(above, "root_id").select((-F.col("edit_seq")).alias("element_id"), number(F.col("_first") + F.col("place")))
+    return old.unionByName(new)
 
 
 def apply_edits(elements: DataFrame, edits: DataFrame) -> DataFrame:
     """E-1..E-5 in one pass: the next snapshot of the element table."""
-    good = accepted(edits, elements)
-    kept = delete_elements(update_bullets(update_paragraphs(elements, good), good), good)
-    return reindex(kept.withColumn("_seq", F.lit(None).cast("long")).unionByName(inserted_rows(good, kept)))
+    return apply_accepted(elements, stored(accepted(edits, elements), "accepted-edits"))
+
+
+def apply_accepted(elements: DataFrame, good: DataFrame) -> DataFrame:
+    """``apply_edits`` for edits that are judged already."""
+    base = _with_dirty(elements)
+    rows = base.unionByName(inserted_rows(good, base))
+    kept = delete_elements(update_bullets(update_paragraphs(rows, good), good), good)
+    return kept.drop("element_index").join(places(elements, good), "element_id")
 
 
 def touched_sections(edits: DataFrame) -> DataFrame:

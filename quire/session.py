@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +46,10 @@ def materialize(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """Cut lineage at a stage border with a Parquet table in the shared folder; later reads are pruned to their columns."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
