@@ -32,12 +32,21 @@ def number_batches(elements: DataFrame, size: int = BATCH) -> DataFrame:
     return spine.select("doc_id", "element_index", F.floor((F.col("n") - 1) / size).cast("int").alias("batch_no"))
 
 
-def translation_batches(elements: DataFrame, size: int = BATCH) -> DataFrame:
-    """X-1: one payload per batch, its elements in order."""
+def _entry() -> Column:
+    """One element as it is sent."""
     clean = lambda c: F.when(F.col(c).isNotNull(), sanitize_text(F.col(c))).alias(c)
     listed = lambda c: _sanitized_list(F.col(c)).alias(c)
-    entry = F.struct(F.col("element_index").cast("string").alias("id"), clean("type"), clean("level"), clean("text"), clean("summary"), listed("key_points"), listed("items"))
-    rows = elements.join(number_batches(elements, size), ["doc_id", "element_index"]).select("doc_id", "batch_no", "element_index", entry.alias("entry"))
+    return F.struct(F.col("element_index").cast("string").alias("id"), clean("type"), clean("level"), clean("text"), clean("summary"), listed("key_points"), listed("items"))
+
+
+def single_batches(elements: DataFrame) -> DataFrame:
+    """X-1 for elements that are sent one by one: ``batch_no`` is the element's index."""
+    return elements.select("doc_id", F.col("element_index").alias("batch_no"), F.lit(1).alias("n_elements"), F.to_json(F.array(_entry()), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def translation_batches(elements: DataFrame, size: int = BATCH) -> DataFrame:
+    """X-1: one payload per batch, its elements in order."""
+    rows = elements.join(number_batches(elements, size), ["doc_id", "element_index"]).select("doc_id", "batch_no", "element_index", _entry().alias("entry"))
     return rows.groupBy("doc_id", "batch_no").agg(
         F.count("*").cast("int").alias("n_elements"),
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("element_index", "entry"))), lambda x: x["entry"]), {"ignoreNullFields": "false"}).alias("payload"))

@@ -10,6 +10,7 @@ from quire.plans import derived as V
 from quire.plans import duck as D
 from quire.plans.q_highlights import HIGHLIGHTS_CTE, PDF_CTE, pdf_highlights, text_highlights
 from quire.plans.q_overview import SECTIONS
+from quire.session import stored
 from quire.sources.tables import table
 
 BASE = f"WITH {V.PAPER_ELEMENTS}"
@@ -37,12 +38,12 @@ edited AS (SELECT e.doc_id, e.element_id, e.element_index, e.type, e.section_tit
   CASE WHEN u.element_id IS NULL AND b.element_id IS NULL THEN e.summary END AS summary, CASE WHEN u.element_id IS NULL AND b.element_id IS NULL THEN e.summary_zh END AS summary_zh,
   u.element_id IS NOT NULL OR b.element_id IS NOT NULL AS dirty, u.element_id IS NOT NULL AS was_updated, b.element_id IS NOT NULL AS was_bullets
   FROM based e LEFT JOIN upd u ON u.element_id = e.element_id LEFT JOIN bul b ON b.element_id = e.element_id),
-snapshot AS (SELECT doc_id, element_id, type, section_title, text, intro_text, content, summary, dirty, row_number() OVER (PARTITION BY doc_id ORDER BY old, is_new, rev) - 1 AS element_index FROM (
-  SELECT doc_id, element_id, type, section_title, text, intro_text, content, summary, dirty, element_index AS old, 0 AS is_new, 0 AS rev FROM edited WHERE element_id NOT IN (SELECT element_id FROM del)
-  UNION ALL SELECT doc_id, -edit_seq, 'paragraph', section_title, text, NULL, text, NULL, true, anchor_index, 1, -edit_seq FROM ins)),
+snapshot AS (SELECT doc_id, element_id, type, section_title, text, intro_text, content, summary, summary_zh, dirty, row_number() OVER (PARTITION BY doc_id ORDER BY old, is_new, rev) - 1 AS element_index FROM (
+  SELECT doc_id, element_id, type, section_title, text, intro_text, content, summary, summary_zh, dirty, element_index AS old, 0 AS is_new, 0 AS rev FROM edited WHERE element_id NOT IN (SELECT element_id FROM del)
+  UNION ALL SELECT doc_id, -edit_seq, 'paragraph', section_title, text, NULL, text, NULL, NULL, true, anchor_index, 1, -edit_seq FROM ins)),
 touched AS (SELECT DISTINCT doc_id, section_title FROM good WHERE trim(coalesce(section_title, '')) <> ''),
 refresh AS (SELECT e.doc_id, e.section_title, list({D.strip('summary')} ORDER BY element_index) FILTER (WHERE {D.strip('summary')} <> '') AS en, list({D.strip('summary_zh')} ORDER BY element_index) FILTER (WHERE {D.strip('summary_zh')} <> '') AS zh0
-  FROM paper_elements e JOIN touched t ON t.doc_id = e.doc_id AND t.section_title = e.section_title WHERE type <> 'heading' GROUP BY 1, 2),
+  FROM snapshot e JOIN touched t ON t.doc_id = e.doc_id AND t.section_title = e.section_title WHERE type <> 'heading' GROUP BY 1, 2),
 refreshed AS (SELECT doc_id, section_title, en, CASE WHEN len(coalesce(zh0, [])) > 0 THEN zh0 ELSE en END AS zh FROM refresh WHERE len(coalesce(en, [])) > 0)"""
 
 
@@ -65,7 +66,8 @@ def good(spark, folder):
 
 
 def _refresh(spark, folder):
-    return E.section_refresh_source(elements(spark, folder), E.touched_sections(good(spark, folder)))
+    judged = stored(good(spark, folder), "accepted-edits")
+    return E.section_refresh_source(E.apply_accepted(elements(spark, folder), judged), E.touched_sections(judged))
 
 
 def section_lists(spark, folder):

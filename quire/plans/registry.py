@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["q_text", "q_blocks", "q_segment", "q_elements", "q_quality", "q_align", "q_overview", "q_translate",
-           "q_edits", "q_highlights", "q_tables"]
+           "q_edits", "q_highlights", "q_tables", "q_jobs"]
 
 
 def load() -> tuple[dict, dict]:

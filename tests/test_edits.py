@@ -9,13 +9,13 @@ from quire.operators import edits as E
 from quire.operators import scan
 
 ELEMENT = ("doc_id long, element_id long, element_index int, type string, section_title string, text string, intro_text string, items array<string>, "
-           "summary string, key_points array<string>, text_zh string, summary_zh string, key_points_zh array<string>, items_zh array<string>")
+           "summary string, key_points array<string>, text_zh string, summary_zh string, key_points_zh array<string>, items_zh array<string>, level string")
 EDIT = "edit_seq long, doc_id long, element_id long, op string, text string, intro_text string, items array<string>"
 
 
 def documents(n_docs, n):
     kinds = ["heading", "paragraph", "paragraph", "bullet_list"]
-    return [(d, d * 100000 + i, i, kinds[i % 4], f"S{i // 4}", f"text {i}", None, None, "s", None, "z", "z", None, None) for d in range(n_docs) for i in range(n)]
+    return [(d, d * 100000 + i, i, kinds[i % 4], f"S{i // 4}", f"text {i}", None, None, "s", None, "z", "z", None, None, None) for d in range(n_docs) for i in range(n)]
 
 
 def served(elements, edits):
