@@ -14,6 +14,7 @@ from quire.plans.q_overview import OVERVIEWS, overviews
 from quire.plans.q_segment import CHUNKS, structured
 from quire.operators.segment import chunk_rows
 from quire.session import shared_dir
+from quire.sources import snapshots as S
 from quire.sources import tables as T
 from quire.sources import views as W
 
@@ -73,19 +74,20 @@ def _upserted(spark, folder):
 
 
 def _written(spark, folder):
-    """All documents, then every third again with other texts and without its headings; the stored table is read back."""
-    base = f"{shared_dir(spark)}/elements-{uuid.uuid4().hex}"
+    """All documents, then every third again with other texts and without its headings, then some whose elements are all gone; the table is read back."""
+    path = f"{shared_dir(spark)}/elements-{uuid.uuid4().hex}"
     elements = V.paper_elements(spark, folder)
-    W.write_elements(elements, f"{base}/table", f"{base}/first", buckets=16)
+    S.write_elements(elements, path, buckets=16)
     again = elements.where((F.col("doc_id") % 3 == 0) & (F.col("type") != "heading")).withColumn("text", F.concat(F.lit("again "), F.coalesce("text", F.lit(""))))
-    W.write_elements(again, f"{base}/table", f"{base}/second")
-    return spark.read.parquet(f"{base}/table").select("doc_id", "element_index", "content")
+    S.write_elements(again, path)
+    S.write_elements(elements.limit(0), path, documents=T.table(spark, folder, "documents").where("doc_id % 7 = 0"))
+    return S.read_elements(spark, path).select("doc_id", "element_index", "content")
 
 
 def _stages(spark, folder):
     path = f"{shared_dir(spark)}/stages-{uuid.uuid4().hex}"
     W.write_stages(structured(spark, folder), path, "parquet")
-    return spark.read.parquet(path).where("stage IN ('raw_blocks', 'chunks')").select("doc_id", "stage", "ord", "text")
+    return spark.read.parquet(path).select("doc_id", "stage", "ord", "text")
 
 
 QUERIES = {
@@ -112,8 +114,12 @@ ORACLES = {
     "render_chunk_dump": f"""{CHUNKS} SELECT doc_id, chunk_index, '[Chunk ' || chunk_index || ']' || chr(10) || 'section_title: ' || section_title || chr(10) || 'source_block_indices_in_section: [' ||
       replace(source_block_indices, ',', ', ') || ']' || chr(10) || chr(10) || '<<< TEXT >>>' || chr(10) || text || chr(10) || chr(10) || repeat('-', 80) || chr(10) AS dump FROM chunks""",
     "write_elements": f"""{BASE} SELECT doc_id, element_index, CASE WHEN type = 'bullet_list' THEN array_to_string(list_concat(CASE WHEN coalesce(intro_text, '') <> '' THEN [intro_text] ELSE [] END, items), chr(10))
-      WHEN doc_id % 3 = 0 THEN 'again ' || coalesce(text, '') ELSE coalesce(text, '') END AS content FROM paper_elements WHERE doc_id % 3 <> 0 OR type <> 'heading'""",
+      WHEN doc_id % 3 = 0 THEN 'again ' || coalesce(text, '') ELSE coalesce(text, '') END AS content FROM paper_elements WHERE doc_id % 7 <> 0 AND (doc_id % 3 <> 0 OR type <> 'heading')""",
     "write_stages": f"""{CHUNKS} SELECT doc_id, 'raw_blocks' AS stage, block_index AS ord, block AS text FROM blocks
+      UNION ALL SELECT doc_id, role, row_number() OVER (PARTITION BY doc_id, role ORDER BY block_index) - 1, block FROM roles WHERE role IN ('front', 'caption', 'removed')
+      UNION ALL SELECT doc_id, 'body_before_merge', pos - 1, block FROM body
+      UNION ALL SELECT doc_id, 'body_after_merge', merged_index, block FROM merged
+      UNION ALL SELECT doc_id, 'sections', section_id, section_title FROM sections
       UNION ALL SELECT doc_id, 'chunks', chunk_index, text FROM chunks""",
     "upsert_overview": "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'old' ELSE 'new' END AS overall_summary FROM documents d LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) l ON l.doc_id = d.doc_id",
     "list_papers": f"WITH {PAPERS} SELECT doc_id, title, strftime(zh_started_at, '%Y-%m-%dT%H:%M:%S') AS zh_started_at FROM papers ORDER BY doc_id DESC",

@@ -1,12 +1,10 @@
-"""Stored tables: writers, upserts, cascades and read views (IO-4..IO-16)."""
+"""Stored tables: stage writer, upserts, cascades and read views (IO-4, IO-5, IO-7..IO-16)."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quire.functions.text import filled
-from quire.operators.edits import with_content
 
 LIST_OF_TEXT = "array<string>"
 SECTION_LIST = "array<struct<section_key:string,section_title:string,summary:string>>"
@@ -35,39 +33,6 @@ def render_chunk_dump(chunks: DataFrame) -> DataFrame:
         F.array_join(F.col("source_block_indices").cast(LIST_OF_TEXT), ", "), F.lit("]\n\n<<< TEXT >>>\n"), F.col("text"), F.lit(f"\n\n{rule}\n")).alias("dump"))
 
 
-def _stored_buckets(spark: SparkSession, path: str) -> int | None:
-    """Bucket count of an element table, None where there is none yet."""
-    try:
-        return spark.read.parquet(f"{path}/_buckets").first()["buckets"]
-    except AnalysisException:
-        return None
-
-
-def write_elements(elements: DataFrame, path: str, staging: str, buckets: int = 256) -> None:
-    """IO-6: replace the rows of the documents in ``elements``; all other documents stay.
-
-    A table is cut into buckets of documents; their number is set by the first write and stored with it (about one
-    file of useful size per bucket). Only touched buckets are read: their other documents are joined with
-    the new rows, the merged buckets are written to ``staging`` (a new folder beside the table) and then swapped
-    in bucket by bucket. A write that breaks off leaves every bucket old or new, and doing it again ends it.
-    """
-    spark = elements.sparkSession
-    known = _stored_buckets(spark, path)
-    count = known or buckets
-    rows = with_content(elements).withColumn("doc_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("int"))
-    if known is None:
-        rows.repartition(count, "doc_bucket").write.mode("overwrite").partitionBy("doc_bucket").parquet(path)
-        spark.range(1).select(F.lit(count).alias("buckets")).write.mode("overwrite").parquet(f"{path}/_buckets")
-        return
-    rows.write.parquet(f"{staging}/new")
-    new = spark.read.parquet(f"{staging}/new")
-    touched = [r["doc_bucket"] for r in new.select("doc_bucket").distinct().collect()]
-    stay = spark.read.parquet(path).where(F.col("doc_bucket").isin(touched)).join(new.select("doc_id").distinct(), "doc_id", "left_anti")
-    stay.unionByName(new, allowMissingColumns=True).repartition(count, "doc_bucket").write.parquet(f"{staging}/merged")
-    merged = spark.read.parquet(f"{staging}/merged")
-    merged.repartition(count, "doc_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc_bucket").parquet(path)
-
-
 def upsert_overview(overviews: DataFrame, new: DataFrame) -> DataFrame:
     """IO-7: the new row of a document replaces its old one."""
     return overviews.join(new.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)

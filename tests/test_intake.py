@@ -2,13 +2,16 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators.drafting import infer
 from quire.operators.segment import structure
 from quire.plans.corpus import process_corpus
 from quire.plans.derived import paper_docs
-from quire.sources.views import write_elements, write_stages
+from quire.sources import snapshots
+from quire.sources.snapshots import read_elements, vacuum, write_elements, written_documents
+from quire.sources.views import write_stages
 from quire.streaming.intake import ingest_stream
 
 from conftest import DATA
@@ -49,17 +52,64 @@ def test_writers(spark):
     assert {r.stage for r in spark.read.json(f"{base}/stages").select("stage").distinct().collect()} >= {"raw_blocks", "chunks", "sections"}
     rows = spark.createDataFrame([(1, 0, "paragraph", "t", None, None)], "doc_id long, element_index int, type string, text string, intro_text string, items array<string>")
     for text in ("a", "b"):
-        write_elements(rows.withColumn("text", F.lit(text)), f"{base}/elements", f"{base}/staging-{text}")
-    assert [r.content for r in spark.read.parquet(f"{base}/elements").collect()] == ["b"]
+        write_elements(rows.withColumn("text", F.lit(text)), f"{base}/elements")
+    assert [r.content for r in read_elements(spark, f"{base}/elements").collect()] == ["b"]
 
 
-def test_writing_one_document_leaves_the_others(spark):
-    base = tempfile.mkdtemp(prefix="quire-write-")
-    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit(0).alias("element_index"), F.lit("paragraph").alias("type"), F.lit("old").alias("text"),
+def small_elements(spark):
+    return spark.range(100).select(F.col("id").alias("doc_id"), F.lit(0).alias("element_index"), F.lit("paragraph").alias("type"), F.lit("old").alias("text"),
                                    F.lit(None).cast("string").alias("intro_text"), F.lit(None).cast("array<string>").alias("items"))
-    write_elements(rows, f"{base}/elements", f"{base}/first", buckets=4)
-    write_elements(rows.where("doc_id = 7").withColumn("text", F.lit("new")), f"{base}/elements", f"{base}/second", buckets=9)
-    stored = {r.doc_id: r.content for r in spark.read.parquet(f"{base}/elements").collect()}
-    assert stored == {i: "new" if i == 7 else "old" for i in range(100)}
-    files = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{base}/elements").select("path").collect()]
-    assert sum("doc_bucket=" in f for f in files) == 4
+
+
+def test_writing_one_document_leaves_the_others(spark, tmp_path):
+    path, rows = f"{tmp_path}/elements", small_elements(spark)
+    assert write_elements(rows, path, buckets=4) == 0
+    assert write_elements(rows.where("doc_id = 7").withColumn("text", F.lit("new")).withColumn("more", F.lit(1)), path, buckets=9) == 1
+    assert write_elements(rows.limit(0), path, documents=spark.createDataFrame([(8,), (500,), (None,)], "doc_id long")) == 2
+    read = lambda v=None: {r.doc_id: r.content for r in read_elements(spark, path, v).collect()}
+    assert read() == {i: "new" if i == 7 else "old" for i in range(100) if i != 8}
+    assert read(0) == dict.fromkeys(range(100), "old") and read(1)[8] == "old"
+    assert sorted(r.doc_id for r in written_documents(spark, path).collect()) == [*range(100), 500]
+    assert any("staged" in f for f in vacuum(spark, path, keep=1)) and vacuum(spark, path, keep=1) == []
+    assert read() == {i: "new" if i == 7 else "old" for i in range(100) if i != 8}
+
+
+@pytest.mark.parametrize("first", [True, False])
+@pytest.mark.parametrize("step", ["_stage", "_merge", "_commit"])
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_broken_write_loses_nothing(spark, tmp_path, monkeypatch, first, step, when):
+    """A write that stops between any two steps leaves the version before it, and doing it again ends it."""
+    path, rows = f"{tmp_path}/elements", small_elements(spark)
+    if not first:
+        write_elements(rows, path, buckets=3)
+    plain = getattr(snapshots, step)
+
+    def broken(*args):
+        if when == "after":
+            plain(*args)
+        raise KeyboardInterrupt
+
+    new = rows.where("doc_id % 10 = 7").withColumn("text", F.lit("new"))
+    monkeypatch.setattr(snapshots, step, broken)
+    with pytest.raises(KeyboardInterrupt):
+        write_elements(new, path, buckets=3)
+    monkeypatch.setattr(snapshots, step, plain)
+    done = step == "_commit" and when == "after"
+    old = {} if first else dict.fromkeys(range(100), "old")
+    want = old | {i: "new" for i in range(7, 100, 10)}
+    if first and not done:
+        with pytest.raises(ValueError):
+            read_elements(spark, path)
+    else:
+        assert {r.doc_id: r.content for r in read_elements(spark, path).collect()} == (want if done else old)
+    write_elements(new, path, buckets=3)
+    assert {r.doc_id: r.content for r in read_elements(spark, path).collect()} == want
+
+
+def test_two_writers_are_noticed(spark, tmp_path):
+    path, rows = f"{tmp_path}/elements", small_elements(spark)
+    write_elements(rows, path, buckets=2)
+    for write in ("a", "b"):
+        snapshots._commit(spark, snapshots._manifest(spark, path, 0), set(), path, write, 2)
+    with pytest.raises(RuntimeError):
+        read_elements(spark, path)
