@@ -1,10 +1,9 @@
 """Alignment of element texts with page boxes (A-1..A-18, A-22).
 
-Work is done on distinct (doc_id, text) targets, so repeated texts are matched once. A page
-is one row with its boxes as an array. Pages that can hold a target are found by key
-joins - word trigrams for containment, the longest tokens for token overlap - and not by
-pairing every text with every page of its document. Scoring and box picking are array
-expressions on the (target, page) row. Only the last, rare tier leaves the JVM.
+Work is done on distinct texts of a document, so repeated ones are matched once; rows meet on (doc_id, tkey), the hash of the text, never on the
+text. A page is one row with its boxes as an array. Pages that can hold a text are found through narrow posting lists (doc_id, gram, page_number):
+each text probes its rarest gram alone, and what it meets is verified once. Scoring and box picking are array expressions on the
+(target, page) row. Only the last, rare tier leaves the JVM.
 """
 
 from __future__ import annotations
@@ -13,12 +12,12 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from quire.functions import boxes as B
 from quire.functions.arrays import inline_rows, let
 from quire.functions.text import normalize_for_match, token_share, words
-from quire.session import materialize
+from quire.session import stored
 
 PAGES_PER_TILE = 32
 MIN_PAGE_SCORE = 0.20
@@ -68,9 +67,18 @@ def index_pages(pages: DataFrame) -> DataFrame:
     return body.withColumns({"stream": _stream_text(F.col("boxes")), "body_text": _stream_text(F.col("body"))})
 
 
+def text_key(t: Column | str = "t") -> Column:
+    return F.unhex(F.md5(t))
+
+
 def targets_of(texts: DataFrame, text: str = "text") -> DataFrame:
-    """Distinct comparable texts per document."""
-    return texts.select("doc_id", normalize_for_match(F.col(text)).alias("t")).where(F.col("t") != "").distinct()
+    """Distinct comparable texts per document, with their key."""
+    rows = texts.select("doc_id", normalize_for_match(F.col(text)).alias("t")).where(F.col("t") != "")
+    return rows.withColumn("tkey", text_key()).dropDuplicates(["doc_id", "tkey"])
+
+
+def _keyed(targets: DataFrame) -> DataFrame:
+    return targets if "tkey" in targets.columns else targets.withColumn("tkey", text_key())
 
 
 def _trigrams(tokens: Column) -> Column:
@@ -96,72 +104,118 @@ def _anchor_score(t: Column, stream: Column) -> Column:
             .when(long_enough & F.contains(stream, suffix), 0.88))
 
 
-def best_page(targets: DataFrame, pages: DataFrame) -> DataFrame:
-    """A-3: (doc_id, t, best_page, score); the page is NULL when no page scores enough.
+def _char_grams(text: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
+    """Hashes of all runs of so many characters, from an array of characters: a substring would be sought from the start of the text each time."""
+    def runs(chars: Column, n: int) -> Column:
+        starts = F.when(F.size(chars) >= n, F.sequence(F.lit(0), F.size(chars) - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(chars, i + j) for j in range(n)]))
+
+    return F.array_distinct(let(F.split(text, ""), lambda chars: F.concat(*[runs(chars, n) for n in sizes])))
 
-    Three disjoint ways cover all targets exactly:
 
-    * containment - a page that contains the text's first (or last) 220 characters contains
-      their inner words as whole tokens, so one inner trigram of each end finds all pages;
-    * overlap - a page reaching the minimum score must share one of any n-k+1 of the n
-      tokens, where k is the least overlap count; the longest tokens are used as keys;
-    * texts too short to have an inner trigram are compared in-row with tiles of pages.
+def _needle_grams(needle: Column) -> Column:
+    """The runs of three characters of a needle, or the whole of a shorter one."""
+    return F.when(F.length(needle) >= 3, _char_grams(needle, (3,))).when(F.length(needle) == 2, _char_grams(needle, (2,))).otherwise(_char_grams(needle, (1,)))
+
+
+def _pages_of_rarest(probes: DataFrame, postings: DataFrame) -> DataFrame:
+    """(doc_id, tkey, part, gram) x (doc_id, gram, page_number) -> (doc_id, tkey, page_number): the pages that hold the rarest gram of each part.
+
+    A part of which one gram is on no page meets nothing.
     """
-    prefix, suffix = words(F.substring("t", 1, 220)), words(F.right("t", F.lit(220)))
-    streams = pages.select("doc_id", "page_number", "stream").where(F.col("stream") != "")
-    split = targets.withColumns({"_p": prefix, "_s": suffix}).withColumn("_short", (F.size("_p") < 5) | (F.size("_s") < 5))
-
-    long = split.where(~F.col("_short"))
-    ends = F.array(F.slice("_p", 2, 3), F.slice("_s", -4, 3))
-    probes = long.select("doc_id", "t", F.explode(F.array_distinct(F.transform(ends, lambda w: F.xxhash64(F.get(w, F.lit(0)), F.get(w, F.lit(1)), F.get(w, F.lit(2)))))).alias("gram"))
-    grams = streams.select("doc_id", "page_number", F.explode(_trigrams(words(F.col("stream")))).alias("gram"))
-    found = probes.join(grams, ["doc_id", "gram"]).select("doc_id", "t", "page_number")
-    scored = found.join(streams, ["doc_id", "page_number"]).select("doc_id", "t", "page_number", _anchor_score(F.col("t"), F.col("stream")).alias("score"))
-    anchored = materialize(_top(scored.where(F.col("score").isNotNull())))
-
-    rest = long.select("doc_id", "t").join(anchored.select("doc_id", "t"), ["doc_id", "t"], "left_anti")
-    tokens = rest.withColumn("tokens", F.array_distinct(words(F.col("t"))))
-    need = F.greatest(F.floor(F.size("tokens") * (MIN_PAGE_SCORE / OVERLAP_WEIGHT)).cast("int"), F.lit(1))
-    by_length = F.sort_array(F.transform("tokens", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
-    keys = tokens.select("doc_id", "t", F.explode(F.slice(by_length, F.lit(1), F.size("tokens") - need + 1)).alias("k")).select("doc_id", "t", F.col("k.w").alias("token"))
+    wanted = probes.select("doc_id", "gram").distinct()
+    lists = stored(postings.join(wanted, ["doc_id", "gram"], "left_semi"), "postings")
+    counts = lists.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    rarest = probes.join(counts, ["doc_id", "gram"], "left").groupBy("doc_id", "tkey", "part").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    keys = rarest.where(F.col("r.n") > 0).select("doc_id", "tkey", F.col("r.gram").alias("gram")).distinct()
+    return keys.join(lists, ["doc_id", "gram"]).select("doc_id", "tkey", "page_number").distinct()
+
+
+def pages_with(needles: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pages that may contain a needle: (doc_id, tkey, needle) x (doc_id, page_number, text) -> (doc_id, tkey, page_number), none missing."""
+    probes = needles.where(F.col("needle") != "").select("doc_id", "tkey", F.lit(0).alias("part"), F.explode(_needle_grams(F.col("needle"))).alias("gram"))
+    own = texts.join(needles.select("doc_id").distinct(), "doc_id", "left_semi")
+    return _pages_of_rarest(probes, own.select("doc_id", "page_number", F.explode(_char_grams(F.col("text"))).alias("gram")))
+
+
+def _overlapping(rest: DataFrame, streams: DataFrame) -> DataFrame:
+    """The page of the greatest token overlap of each text, where it can reach the minimum score.
+
+    A page that shares k of a text's n tokens holds one of any n - k + 1 of them; the rarest are probed. The shared tokens among those and the k - 1
+    others bound the overlap from both sides, so that only pages that can still be the best are compared in full.
+    """
+    tokens = rest.withColumn("tokens", F.array_distinct(words(F.col("t")))).select("doc_id", "tkey", "tokens", F.size("tokens").alias("n"))
+    need = F.greatest(F.floor(F.col("n") * (MIN_PAGE_SCORE / OVERLAP_WEIGHT)).cast("int"), F.lit(1))
     page_tokens = streams.select("doc_id", "page_number", F.array_distinct(words(F.col("stream"))).alias("page_tokens"))
-    pairs = keys.join(page_tokens.select("doc_id", "page_number", F.explode("page_tokens").alias("token")), ["doc_id", "token"]).select(
-        "doc_id", "t", "page_number").distinct()
-    share = token_share(F.array_distinct(words(F.col("t"))), F.col("page_tokens")) * OVERLAP_WEIGHT
-    overlapping = _top(pairs.join(page_tokens, ["doc_id", "page_number"]).select("doc_id", "t", "page_number", share.alias("score")))
+    long = tokens.select("doc_id", "tkey", "n", need.alias("k"), F.explode("tokens").alias("token"))
+    postings = page_tokens.select("doc_id", "page_number", F.explode("page_tokens").alias("token"))
+    lists = stored(postings.join(long.select("doc_id", "token").distinct(), ["doc_id", "token"], "left_semi"), "token-postings")
+    counts = lists.groupBy("doc_id", "token").agg(F.count("*").alias("pages"))
+    order = W.partitionBy("doc_id", "tkey").orderBy(F.coalesce("pages", F.lit(0)), "token")
+    probes = long.join(counts, ["doc_id", "token"], "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("n") - F.col("k") + 1)
+    met = stored(probes.join(lists, ["doc_id", "token"]).groupBy("doc_id", "tkey", "page_number").agg(F.count("*").alias("c"), F.first("k").alias("k")), "overlaps")
+    best = met.groupBy("doc_id", "tkey").agg(F.max("c").alias("best"))
+    able = met.join(best, ["doc_id", "tkey"]).where((F.col("c") + F.col("k") - 1 >= F.col("k")) & (F.col("c") + F.col("k") - 1 >= F.col("best")))
+    share = token_share(F.col("tokens"), F.col("page_tokens")) * OVERLAP_WEIGHT
+    return able.select("doc_id", "tkey", "page_number").join(tokens, ["doc_id", "tkey"]).join(page_tokens, ["doc_id", "page_number"]).select("doc_id", "tkey", "page_number", share.alias("score"))
+
 
-    def rate(t: Column, x: Column) -> Column:
-        share = token_share(F.array_distinct(words(t)), F.array_distinct(words(x["stream"]))) * OVERLAP_WEIGHT
-        return F.struct(F.coalesce(_anchor_score(t, x["stream"]), share).alias("score"), (-x["page_number"]).alias("rev"))
+def best_page(targets: DataFrame, pages: DataFrame) -> DataFrame:
+    """A-3: the targets with best_page and page_score; both NULL when no page scores enough.
 
-    tiled = split.where("_short").select("doc_id", "t").join(page_tiles(streams, "stream"), "doc_id")
-    short = tiled.select("doc_id", "t", F.array_max(F.transform("tile", lambda x: rate(F.col("t"), x))).alias("top")).groupBy("doc_id", "t").agg(F.max("top").alias("top"))
+    Two ways cover all targets exactly:
 
-    every = anchored.unionByName(overlapping).unionByName(short)
-    enough = every.where(F.col("top.score") >= MIN_PAGE_SCORE).select(
-        "doc_id", "t", (-F.col("top.rev")).alias("best_page"), F.col("top.score").alias("page_score"))
-    return targets.join(enough, ["doc_id", "t"], "left")
+    * containment - a page that contains the text's first (or last) 220 characters contains their inner words as whole tokens, so it holds each
+      inner word trigram of that end; texts too short to have one go by character trigrams;
+    * overlap - for texts that no page contains.
+    """
+    every = stored(_keyed(targets), "targets")
+    streams = pages.select("doc_id", "page_number", "stream").where(F.col("stream") != "")
+    split = every.select("doc_id", "tkey", F.col("t").alias("needle"), words(F.substring("t", 1, 220)).alias("p"), words(F.right("t", F.lit(220))).alias("s"))
+    short = (F.size("p") < 5) | (F.size("s") < 5)
+
+    inner = lambda c: _trigrams(F.slice(c, F.lit(2), F.size(c) - 2))
+    ends = F.when(F.length("needle") > 220, F.array(inner("p"), inner("s"))).otherwise(F.array(inner("p")))
+    probes = split.where(~short).select("doc_id", "tkey", F.posexplode(ends).alias("part", "grams")).select("doc_id", "tkey", "part", F.explode("grams").alias("gram"))
+    postings = streams.select("doc_id", "page_number", F.explode(_trigrams(words(F.col("stream")))).alias("gram"))
+    found = _pages_of_rarest(probes, postings).unionByName(
+        pages_with(split.where(short).select("doc_id", "tkey", "needle"), streams.withColumnRenamed("stream", "text")))
+    verified = found.join(every, ["doc_id", "tkey"]).join(streams, ["doc_id", "page_number"]).select(
+        "doc_id", "tkey", "page_number", _anchor_score(F.col("t"), F.col("stream")).alias("score"))
+    anchored = stored(_top(verified.where(F.col("score").isNotNull())), "anchored")
+
+    rest = every.join(anchored.select("doc_id", "tkey"), ["doc_id", "tkey"], "left_anti")
+    top = anchored.unionByName(_top(_overlapping(rest, streams)))
+    enough = top.where(F.col("top.score") >= MIN_PAGE_SCORE).select(
+        "doc_id", "tkey", (-F.col("top.rev")).alias("best_page"), F.col("top.score").alias("page_score"))
+    return every.join(enough, ["doc_id", "tkey"], "left")
 
 
 def _top(scored: DataFrame) -> DataFrame:
-    return scored.groupBy("doc_id", "t").agg(F.max(F.struct("score", (-F.col("page_number")).alias("rev"))).alias("top"))
+    return scored.groupBy("doc_id", "tkey").agg(F.max(F.struct("score", (-F.col("page_number")).alias("rev"))).alias("top"))
 
 
-def candidate_pages(located: DataFrame, pages: DataFrame, *columns: str, back: int = 1, fwd: int = 2, holding: Column | None = None) -> DataFrame:
+def candidate_pages(located: DataFrame, pages: DataFrame, *columns: str, back: int = 1, fwd: int = 2, headed: bool = False) -> DataFrame:
     """A-4: target rows with each page to search, keyed by (doc_id, page_number).
 
-    A located text is looked for around its page by an equi-join on four page numbers. A
-    text without a page is compared with tiles of pages and keeps those that pass ``holding``
-    (a condition on ``t`` and the page columns).
+    A located text is looked for around its page by an equi-join on four page numbers, a text without a page on all pages of its document. With
+    ``headed`` only pages whose body contains the text's ``head`` count (``columns`` must hold ``body_text``): those of the latter then come from
+    posting lists, and nothing is paired with all pages.
     """
     near = located.where(F.col("best_page").isNotNull()).withColumn(
         "page_number", F.explode(F.sequence(F.col("best_page") - back, F.col("best_page") + fwd)))
     payload = pages.select("doc_id", "page_number", *columns)
+    lost = located.where(F.col("best_page").isNull())
+    if headed:
+        heads = lost.select("doc_id", "tkey", F.col("head").alias("needle"))
+        bodies = pages.select("doc_id", "page_number", F.col("body_text").alias("text")).where(F.col("text") != "")
+        lost = lost.join(pages_with(heads, bodies), ["doc_id", "tkey"])
+        return near.unionByName(lost).join(payload, ["doc_id", "page_number"]).where(F.contains("body_text", F.col("head")))
     known = near.join(payload, ["doc_id", "page_number"])
-    lost = located.where(F.col("best_page").isNull()).join(page_tiles(pages, *columns), "doc_id")
-    spread = lost.select(*located.columns, F.explode("tile").alias("x")).select(*located.columns, "x.page_number", *[f"x.{c}" for c in columns])
-    rows = known.unionByName(spread)
-    return rows if holding is None else rows.where(holding)
+    spread = lost.join(page_tiles(pages, *columns), "doc_id").select(*located.columns, F.explode("tile").alias("x")).select(
+        *located.columns, "x.page_number", *[f"x.{c}" for c in columns])
+    return known.unionByName(spread)
 
 
 def _summary(picked: Column, target_words: Column) -> Column:
@@ -224,18 +278,28 @@ def head_tail_match(candidates: DataFrame) -> DataFrame:
 
     pairs = F.flatten(F.transform("heads", lambda h: F.transform(
         F.filter("tails", lambda e: (e["i"] > h["i"]) | ((e["i"] == h["i"]) & (e["last"] >= h["first"]))), lambda e: rate(h, e))))
-    best = _best_row(ready, pairs, "doc_id", "t", "page_number", "body", "target_words")
+    best = _best_row(ready, pairs, "doc_id", "tkey", "t", "page_number", "body", "target_words")
     run = F.slice(body, 1 - F.col("a"), F.col("a") - F.col("b") + 1)
-    return best.select("doc_id", "t", "page_number", "score", _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
+    return best.select("doc_id", "tkey", "t", "page_number", "score", _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
 
 
 def with_next_boxes(pages: DataFrame, max_boxes: int) -> DataFrame:
-    """Attach the first body boxes of the next two pages, for texts that run on (A-13)."""
-    first = pages.select("doc_id", "page_number", _slim(F.slice("body", 1, max_boxes), F.col("page_number")).alias("lead"))
-    out = pages
-    for k in (1, 2):
-        out = out.join(first.select("doc_id", (F.col("page_number") - k).alias("page_number"), F.col("lead").alias(f"next{k}")), ["doc_id", "page_number"], "left")
-    return out
+    """Attach the first body boxes of the next two pages, for texts that run on (A-13).
+
+    Every page sends its first boxes to the two pages before it; one grouping by page brings them together with the page itself.
+    """
+    names = [c for c in pages.columns if c not in ("doc_id", "page_number")]
+    lead = _slim(F.slice("body", 1, max_boxes), F.col("page_number"))
+    own = F.struct(*names)
+
+    def parcel(k: int) -> Column:
+        what = [own if k == 0 else F.lit(None), *[lead if k == j else F.lit(None) for j in (1, 2)]]
+        return F.struct((F.col("page_number") - k).alias("page_number"), *[c.alias(n) for c, n in zip(what, ("own", "next1", "next2"))])
+
+    sent = inline_rows(pages, F.array(*[parcel(k) for k in (0, 1, 2)]), "doc_id", key="page_number")
+    one = lambda c: F.first(c, ignorenulls=True).alias(c)
+    return sent.groupBy("doc_id", "page_number").agg(one("own"), one("next1"), one("next2")).where(F.col("own").isNotNull()).select(
+        "doc_id", "page_number", "own.*", "next1", "next2")
 
 
 def _until(boxes: Column, already: Column, goal: Column) -> Column:
@@ -268,14 +332,14 @@ def head_only_match(candidates: DataFrame, max_boxes: int = 8) -> DataFrame:
         return F.struct(score.alias("score"), (-h["i"]).alias("a"), run.alias("run"))
 
     rated = F.transform("heads", lambda h: let(collect(h), lambda run: rate(run, h)))
-    best = _best_row(ready, rated, "doc_id", "t", "page_number", "target_words")
-    return best.select("doc_id", "t", "page_number", "score", _summary(F.col("run"), F.col("target_words")).alias("match"))
+    best = _best_row(ready, rated, "doc_id", "tkey", "t", "page_number", "target_words")
+    return best.select("doc_id", "tkey", "t", "page_number", "score", _summary(F.col("run"), F.col("target_words")).alias("match"))
 
 
 def _best_of_pages(matches: DataFrame) -> DataFrame:
     """The match with the best confidence, on the earliest page."""
     rank = F.struct(B.confidence_rank(F.col("match.match_confidence")), -F.col("page_number"))
-    return matches.groupBy("doc_id", "t").agg(F.max_by("match", rank).alias("match"))
+    return matches.groupBy("doc_id", "tkey").agg(F.max_by("match", rank).alias("match"))
 
 
 WINDOW = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
@@ -309,8 +373,8 @@ def fuzzy_window_match(located: DataFrame, pages: DataFrame) -> DataFrame:
     scored = rows.withColumn("w", best_window("t", F.transform("body", lambda b: b["norm"])))
     run = F.slice("body", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
     picked = scored.where(F.col("w.score") >= 0.35).select(
-        "doc_id", "t", F.struct(F.col("w.score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
-    best = picked.groupBy("doc_id", "t").agg(F.max_by("match", "rank").alias("match"))
+        "doc_id", "tkey", "t", F.struct(F.col("w.score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
+    best = picked.groupBy("doc_id", "tkey").agg(F.max_by(F.struct("t", "match"), "rank").alias("b")).select("doc_id", "tkey", "b.*")
     return best.withColumn("match", _at_most_medium(F.col("match")))
 
 
@@ -332,36 +396,35 @@ def match_bullet_boxes(located: DataFrame, pages: DataFrame) -> DataFrame:
 
     single = F.transform("bullets", lambda _, i: rate(i, 1))
     double = F.transform(F.slice("bullets", F.lit(2), F.size("bullets")), lambda _, i: rate(i, 2))
-    best = _best_row(rows, F.concat(single, double), "doc_id", "t", "page_number", "bullets", "target_words").where(F.col("score") >= 0.35)
+    best = _best_row(rows, F.concat(single, double), "doc_id", "tkey", "page_number", "bullets", "target_words").where(F.col("score") >= 0.35)
     run = F.slice("bullets", 1 - F.col("a"), -F.col("b"))
-    picked = best.select("doc_id", "t", F.struct(F.col("score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
-    return picked.groupBy("doc_id", "t").agg(F.max_by("match", "rank").alias("match")).withColumn("match", _at_most_medium(F.col("match")))
+    picked = best.select("doc_id", "tkey", F.struct(F.col("score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
+    return picked.groupBy("doc_id", "tkey").agg(F.max_by("match", "rank").alias("match")).withColumn("match", _at_most_medium(F.col("match")))
 
 
 def locate(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """Targets with their page estimate, word count and head anchor."""
     head = F.substring(F.col("t"), F.lit(1), B.head_length(F.length("t")))
-    return best_page(targets, pages).select("doc_id", "t", "best_page", F.size(words(F.col("t"))).alias("target_words"), head.alias("head"))
+    return best_page(targets, pages).select("doc_id", "tkey", "t", "best_page", F.size(words(F.col("t"))).alias("target_words"), head.alias("head"))
 
 
 def match_targets(targets: DataFrame, pages: DataFrame, *, max_boxes: int = 8, bullets: bool = False) -> DataFrame:
-    """A-15 (or A-16 with ``bullets``): (doc_id, t, match) through the tiers, cheapest first.
+    """A-15 (or A-16 with ``bullets``): (doc_id, tkey, match) through the tiers, cheapest first.
 
     Each tier sees only what the tiers before it left over.
     """
-    pages = materialize(pages)
-    located = materialize(locate(targets, pages))
-    has_head = F.contains("body_text", F.col("head"))
-    near = candidate_pages(located, with_next_boxes(pages, max_boxes), "body", "body_text", "next1", "next2", holding=has_head)
-    keys = ["doc_id", "t"]
+    pages = stored(pages, "pages")
+    located = stored(locate(targets, pages), "located")
+    near = candidate_pages(located, with_next_boxes(pages, max_boxes), "body", "body_text", "next1", "next2", headed=True)
+    keys = ["doc_id", "tkey"]
     # The tiers are written out once; every later tier anti-joins the finished ones.
-    anchored = materialize(_best_of_pages(head_tail_match(near)))
-    headed = materialize(_best_of_pages(head_only_match(near.join(anchored.select(*keys), keys, "left_anti"), max_boxes)))
+    anchored = stored(_best_of_pages(head_tail_match(near)), "head-tail")
+    headed = stored(_best_of_pages(head_only_match(near.join(anchored.select(*keys), keys, "left_anti"), max_boxes)), "head-only")
     done = anchored.unionByName(headed)
-    fuzzy = fuzzy_window_match(located.join(done.select(*keys), keys, "left_anti"), pages)
+    fuzzy = fuzzy_window_match(located.join(done.select(*keys), keys, "left_anti"), pages).drop("t")
     if not bullets:
         return done.unionByName(fuzzy)
-    done = materialize(done.unionByName(fuzzy))
+    done = stored(done.unionByName(fuzzy), "matched")
     return done.unionByName(match_bullet_boxes(located.join(done.select(*keys), keys, "left_anti"), pages))
 
 
@@ -372,17 +435,17 @@ def no_match() -> Column:
 
 def match_paragraphs(elements: DataFrame, pages: DataFrame, text: str = "text") -> DataFrame:
     """A-15: every element row with its ``match``."""
-    keyed = elements.withColumn("t", normalize_for_match(F.col(text)))
+    keyed = elements.withColumn("tkey", text_key(normalize_for_match(F.col(text))))
     found = match_targets(targets_of(elements, text), pages)
-    return keyed.join(found, ["doc_id", "t"], "left").withColumn("match", F.coalesce("match", no_match())).drop("t")
+    return keyed.join(found, ["doc_id", "tkey"], "left").withColumn("match", F.coalesce("match", no_match())).drop("tkey")
 
 
 def match_bullet_lists(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """A-17: (doc_id, element_index, match) for lists; the weakest item sets the confidence."""
-    items = elements.select("doc_id", "element_index", F.posexplode("items").alias("item", "text")).withColumn("t", normalize_for_match(F.col("text"))).where(
+    items = elements.select("doc_id", "element_index", F.posexplode("items").alias("item", "text")).withColumn("tkey", text_key(normalize_for_match(F.col("text")))).where(
         F.regexp_replace("text", r"(?U)\s", "") != "")
     found = match_targets(targets_of(items), pages, max_boxes=4, bullets=True)
-    rows = items.join(found, ["doc_id", "t"], "left").withColumn("match", F.coalesce("match", no_match()))
+    rows = items.join(found, ["doc_id", "tkey"], "left").withColumn("match", F.coalesce("match", no_match()))
     gathered = rows.groupBy("doc_id", "element_index").agg(
         F.sort_array(F.collect_list(F.struct("item", "match"))).alias("ms"), F.min(B.confidence_rank(F.col("match.match_confidence"))).alias("weakest"))
     rects = B.dedupe_rects(F.flatten(F.transform("ms", lambda m: m["match"]["pdf_rects"])))

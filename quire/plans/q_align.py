@@ -11,7 +11,7 @@ from quire.operators import align as A
 from quire.plans import derived as V
 from quire.plans import duck as D
 from quire.plans.q_text import BLOCKS, blocks
-from quire.session import materialize
+from quire.session import stored
 from quire.sources.tables import load_page_boxes
 
 NORM = D.normalize_for_match("block")
@@ -122,17 +122,17 @@ head_only AS (SELECT *, {conf('cw', 'pw')} AS confidence FROM picked WHERE rn =
 
 
 def _pages(spark, folder):
-    return materialize(V.pages(spark, folder))
+    return stored(V.pages(spark, folder), "pages")
 
 
 def _targets(spark, folder):
-    return materialize(A.targets_of(V.align_texts(spark, folder)))
+    return A.targets_of(V.align_texts(spark, folder))
 
 
-def _near(spark, folder, *columns):
+def _near(spark, folder, headed=True):
     pages = _pages(spark, folder)
     located = A.locate(_targets(spark, folder), pages)
-    return A.candidate_pages(located, A.with_next_boxes(pages, 8), "body", "body_text", "next1", "next2")
+    return A.candidate_pages(located, A.with_next_boxes(pages, 8), "body", "body_text", "next1", "next2", headed=headed)
 
 
 def _match_columns(df):
@@ -217,7 +217,7 @@ QUERIES = {
     "page_streams": lambda spark, folder: _pages(spark, folder).select("doc_id", "page_number", "stream", "body_text"),
     "best_page": lambda spark, folder: A.best_page(_targets(spark, folder), _pages(spark, folder)).select(
         "doc_id", "t", F.coalesce("best_page", F.lit(-1)).alias("best_page"), F.round(F.coalesce("page_score", F.lit(0.0)), 6).alias("score")),
-    "candidate_pages": lambda spark, folder: _near(spark, folder).select("doc_id", "t", "page_number"),
+    "candidate_pages": lambda spark, folder: _near(spark, folder, headed=False).select("doc_id", "t", "page_number"),
     "text_match_score": lambda spark, folder: _pairs(spark, folder).select("doc_id", "block_index", F.round(B.text_match_score(F.col("t"), F.col("c")), 6).alias("score")),
     "ratio_size_score": lambda spark, folder: _pairs(spark, folder).select(
         "doc_id", "block_index", F.round(B.ratio_size_score(F.col("cw"), F.col("tw"), F.col("block_index") % 10), 6).alias("score")),
@@ -226,7 +226,7 @@ QUERIES = {
         "doc_id", "block_index", B.head_length(F.length("t")).alias("head_len"), B.tail_length(F.length("t")).alias("tail_len")),
     "positions": lambda spark, folder: _pairs(spark, folder).select(
         "doc_id", "block_index", F.array_join(B.occurrences(F.col("t"), F.substring("t", 2, 3)).cast("array<string>"), ",").alias("places")),
-    "box_at": lambda spark, folder: _near(spark, folder).where(F.contains("body_text", F.col("head"))).select("doc_id", "t", "page_number", F.array_join(F.transform(
+    "box_at": lambda spark, folder: _near(spark, folder).select("doc_id", "t", "page_number", F.array_join(F.transform(
         A._boxes_starting(F.col("body"), F.col("body_text"), F.col("head")), lambda x: x["i"].cast("string")), ",").alias("boxes")),
     "head_tail_match": lambda spark, folder: _match_columns(A.head_tail_match(_near(spark, folder))),
     "head_only_match": lambda spark, folder: _match_columns(A.head_only_match(_near(spark, folder))),

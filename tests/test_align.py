@@ -88,3 +88,24 @@ def test_no_pairing_plans(spark):
     targets = A.targets_of(spark.createDataFrame([(1, "x y")], "doc_id long, text string"))
     plan = A.best_page(targets, pages_frame(spark, DOCS))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_rows_grow_with_the_document(spark, monkeypatch):
+    """Twice the pages and twice the texts of one document give about twice the rows between the steps, never four times; short texts take part."""
+    sizes = []
+    plain = A.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[-1][name] = sizes[-1].get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(A, "stored", counted)
+    for n in (20, 40):
+        sizes.append({})
+        pages = [[sentence(p * 3 + b) + " with the usual words" for b in range(3)] for p in range(n)]
+        rows = [(1, t) for p in range(n) for t in (pages[p][1], " ".join(pages[p][2].split()[2:4]), "the other " + pages[p][0].replace("a", "o"))]
+        targets = A.targets_of(spark.createDataFrame(rows, "doc_id long, text string"))
+        got = {r.t: r.best_page for r in A.best_page(targets, pages_frame(spark, {1: pages})).collect()}
+        assert got == {t: brute_page(t, pages) for _, t in rows}
+    assert all(sizes[1][k] <= 2.7 * v for k, v in sizes[0].items() if v > 20), sizes
