@@ -11,11 +11,11 @@ sums, the most frequent per language are kept, and only that bounded table reach
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from quire.llm.common import stored
@@ -23,7 +23,8 @@ from quire.llm.common import stored
 #: Fixed value: the language of a text without letters.
 NONE = "und"
 ORDERS = 4
-TOKEN = re.compile(r"[^\W\d_]+")
+#: Letters as in learning: number characters are none.
+TOKEN = regex.compile(r"\p{L}+")
 
 
 def learnable(text: Column, lang: Column) -> Column:

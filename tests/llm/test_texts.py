@@ -1,5 +1,6 @@
 """Pieces, languages, quality statistics, word hashes."""
 
+import math
 import random
 import re
 
@@ -82,6 +83,33 @@ def test_language_held_out(spark):
     assert [(r.doc_id, r.lang_pred) for r in langid.identify(odd, model).orderBy("doc_id").collect()] == [(1, "und"), (2, "und"), (3, "und"), (4, "en")]
 
 
+def test_language_of_number_characters(spark):
+    """Number characters are no letters; an ordinal indicator is one."""
+    model = {"langs": ["a"], "words": {"ª": [-1.0]}, "grams": {}}
+    texts = spark.createDataFrame([(t,) for t in ("½ ²", "Ⅻ ①②", "٣ _", "ª")], "text string")
+    assert [r.lang_pred for r in langid.identify(texts.coalesce(1), model).collect()] == ["und", "und", "und", "a"]
+
+
+def test_language_counts_equal_plain_ones(spark):
+    """Word and n-gram log frequencies, and predictions, against a plain version."""
+    rows = [("Der Hund, der Ⅻ 12 läuft_schnell", "de"), ("the dog the end½", "en"), ("der the", "de"), ("", "en"), (None, "en"), ("x", None)]
+    model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    for i, lang in enumerate(model["langs"]):
+        found = [w for t, l in rows if t and l == lang for w in letters(t)]
+        for word in set(found):
+            assert math.isclose(model["words"][word][i], math.log(found.count(word) / len(found)))
+        for k in range(1, 5):
+            pieces_of = [f"<{w}>"[j:j + k] for w in found for j in range(len(w) + 3 - k)]
+            for piece in set(pieces_of):
+                assert math.isclose(model["grams"][piece][i], math.log(pieces_of.count(piece) / len(pieces_of)))
+    text = "the hund xq"
+    sums = [sum(langid.word_scores(model, w)[i] for w in letters(text)) / 3 for i in range(2)]
+    best = max(range(2), key=lambda i: sums[i])
+    got = langid.identify(spark.createDataFrame([(text,)], "text string"), model).first()
+    assert got["lang_pred"] == model["langs"][best] and math.isclose(got["score"], 1 / sum(math.exp(s - sums[best]) for s in sums))
+
+
 def test_language_without_examples(spark):
     none = spark.createDataFrame([(None, "en"), ("words", None)], "text string, lang string")
     model = langid.learn(none)
