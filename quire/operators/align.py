@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from quire.functions import boxes as B
 from quire.functions.arrays import inline_rows, let
-from quire.functions.text import normalize_for_match, token_share, words
+from quire.functions.text import normalize_for_match, strip, token_share, words
 from quire.session import stored
 
 PAGES_PER_TILE = 32
@@ -343,39 +343,115 @@ def _best_of_pages(matches: DataFrame) -> DataFrame:
 
 
 WINDOW = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])
+WINDOW_BOXES = 4
+MIN_RATIO = 0.35
+#: Characters that are counted apart for the bound; all others count as one.
+COUNTED = ["e", "t", "a", "o", "i", "n", "s", "r", "h", "l", "d", "c", "u", "m", "p", "f", "g", " ", "0123456789"]
 
 
 @F.pandas_udf(WINDOW)
-def best_window(targets: pd.Series, norms: pd.Series) -> pd.DataFrame:
-    """A-14 on one page: the most similar run of one to four boxes; the earliest on ties.
+def best_window(targets: pd.Series, norms: pd.Series, windows: pd.Series, floors: pd.Series) -> pd.DataFrame:
+    """A-14 on one page: the most similar of the given runs of boxes, the earliest on ties; none (score -1) if all are below ``floor``.
 
-    The cheap upper bounds of the ratio only skip runs that cannot win.
+    Runs come with an upper bound of their ratio and are compared best bound first, until the bounds fall below the best ratio.
     """
     rows = []
-    for target, boxes in zip(targets, norms):
-        best, place = -1.0, (-1, -1)
-        for first in range(len(boxes)):
+    for target, boxes, runs, floor in zip(targets, norms, windows, floors):
+        best, place, found = floor, (len(boxes), 0), False
+        for run in sorted(runs, key=lambda r: (-r["bound"], r["first"], r["last"])):
+            at = (run["first"], run["last"])
+            if run["bound"] < best:
+                break
+            if run["bound"] == best and at > place:
+                continue
             text = ""
-            for last in range(first, min(first + 4, len(boxes))):
-                text = f"{text} {boxes[last]}".strip()
-                matcher = SequenceMatcher(None, target, text)
-                if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
-                    ratio = matcher.ratio()
-                    if ratio > best:
-                        best, place = ratio, (first, last)
-        rows.append((best, *place))
+            for norm in boxes[run["first"]:run["last"] + 1]:
+                text = f"{text} {norm}".strip()
+            matcher = SequenceMatcher(None, target, text)
+            quick = matcher.quick_ratio()
+            if quick < best or (quick == best and at > place):
+                continue
+            ratio = matcher.ratio()
+            if ratio > best or (ratio == best and at < place):
+                best, place, found = ratio, at, True
+        rows.append((best, *place) if found else (-1.0, -1, -1))
     return pd.DataFrame(rows, columns=["score", "first", "last"])
 
 
+def _profile(text: Column) -> Column:
+    """How often a text has each of the counted characters, and all others together."""
+    counts = [F.length(text) - F.length(F.translate(text, c, "")) for c in COUNTED]
+    rest = F.length(text)
+    for c in counts:
+        rest = rest - c
+    return F.array(*counts, rest)
+
+
+def _windows(body: Column) -> Column:
+    """All runs of one to ``WINDOW_BOXES`` boxes with their length and profile."""
+    def run(i: Column, k: Column) -> Column:
+        text = strip(F.array_join(F.transform(F.slice(body, i + 1, k + 1), lambda b: b["norm"]), " "))
+        return let(text, lambda x: F.struct(i.alias("first"), (i + k).alias("last"), F.length(x).alias("n"), _profile(x).alias("profile")))
+
+    return F.flatten(F.transform(body, lambda _, i: F.transform(F.sequence(F.lit(0), F.least(F.lit(WINDOW_BOXES - 1), F.size(body) - 1 - i)), lambda k: run(i, k))))
+
+
+def _bounded(windows: Column, length: Column, profile: Column) -> Column:
+    """Runs that can reach the least ratio, with the bound: no more characters match than both texts have of each kind."""
+    def rate(w: Column) -> Column:
+        shared = F.aggregate(F.zip_with(w["profile"], profile, lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
+        return F.struct(w["first"].alias("first"), w["last"].alias("last"), (shared * 2.0 / (w["n"] + length)).alias("bound"))
+
+    return F.filter(F.transform(windows, rate), lambda w: w["bound"] >= MIN_RATIO)
+
+
+def window_candidates(located: DataFrame, pages: DataFrame, back: int = 1, fwd: int = 2) -> DataFrame:
+    """(doc_id, tkey, page_number, windows): the runs on each page to search that the bound lets through; no text is moved."""
+    narrow = pages.select("doc_id", "page_number", "body").where(F.size("body") > 0).select("doc_id", "page_number", _windows(F.col("body")).alias("windows"))
+    sought = located.select("doc_id", "tkey", "best_page", F.length("t").alias("n"), _profile(F.col("t")).alias("profile"))
+    near = sought.where(F.col("best_page").isNotNull()).withColumn("page_number", F.explode(F.sequence(F.col("best_page") - back, F.col("best_page") + fwd)))
+    lost = sought.where(F.col("best_page").isNull())
+    rows = near.join(narrow, ["doc_id", "page_number"]).unionByName(lost.join(narrow, "doc_id"))
+    return inline_rows(rows, F.filter(F.array(F.struct("page_number", _bounded(F.col("windows"), F.col("n"), F.col("profile")).alias("windows"))), lambda x: F.size(x["windows"]) > 0),
+                       "doc_id", "tkey", key="page_number")
+
+
+def best_windows(located: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, tkey, page_number, score, first, last): the most similar run of each page that can still hold a text's best.
+
+    Filter and verify: bounds are computed in the JVM; the run with the greatest bound of each text is compared first, and then only those whose bound
+    is not below its ratio.
+    """
+    candidates = stored(window_candidates(located, pages), "windows")
+    texts = located.select("doc_id", "tkey", "t")
+    bodies = pages.select("doc_id", "page_number", F.transform("body", lambda b: b["norm"]).alias("norms"))
+    spark = located.sparkSession
+    # comparing costs far more than the size of the rows tells, so they are spread by number, not by bytes
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        whole = rows.join(texts, ["doc_id", "tkey"]).join(bodies, ["doc_id", "page_number"]).repartition(tasks, "doc_id", "tkey", "page_number")
+        return stored(whole.select("doc_id", "tkey", "page_number", best_window("t", "norms", "windows", "floor").alias("w")).select("doc_id", "tkey", "page_number", "w.*"), name)
+
+    top = F.array_max(F.transform("windows", lambda w: F.struct(w["bound"].alias("bound"), (-w["first"]).alias("a"), (-w["last"]).alias("b"))))
+    seeds = candidates.groupBy("doc_id", "tkey").agg(F.max(F.struct(top.alias("top"), (-F.col("page_number")).alias("rev"))).alias("s")).select(
+        "doc_id", "tkey", (-F.col("s.rev")).alias("page_number"), F.lit(-1.0).alias("floor"),
+        F.array(F.struct((-F.col("s.top.a")).alias("first"), (-F.col("s.top.b")).alias("last"), F.col("s.top.bound").alias("bound"))).alias("windows"))
+    reached = compared(seeds, "seed-windows")
+    floors = reached.select("doc_id", "tkey", F.col("page_number").alias("_page"), F.col("score").alias("floor"), F.col("first").alias("_first"), F.col("last").alias("_last"))
+    still = F.expr("filter(windows, w -> w.bound >= floor AND NOT (page_number = _page AND w.first = _first AND w.last = _last))")
+    able = candidates.join(floors, ["doc_id", "tkey"]).withColumn("windows", still).where(F.size("windows") > 0).drop("_page", "_first", "_last")
+    return reached.unionByName(compared(stored(able, "open-windows"), "compared-windows").where("score >= 0"))
+
+
 def fuzzy_window_match(located: DataFrame, pages: DataFrame) -> DataFrame:
     """A-14: similarity of box runs around the estimated page, for texts no anchor found."""
-    rows = candidate_pages(located, pages, "body").where(F.size("body") > 0)
-    scored = rows.withColumn("w", best_window("t", F.transform("body", lambda b: b["norm"])))
-    run = F.slice("body", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
-    picked = scored.where(F.col("w.score") >= 0.35).select(
-        "doc_id", "tkey", "t", F.struct(F.col("w.score"), -F.col("page_number")).alias("rank"), _summary(_slim(run, F.col("page_number")), F.col("target_words")).alias("match"))
-    best = picked.groupBy("doc_id", "tkey").agg(F.max_by(F.struct("t", "match"), "rank").alias("b")).select("doc_id", "tkey", "b.*")
-    return best.withColumn("match", _at_most_medium(F.col("match")))
+    place = F.struct("score", -F.col("page_number"), -F.col("first"), -F.col("last"))
+    best = best_windows(located, pages).where(F.col("score") >= MIN_RATIO).groupBy("doc_id", "tkey").agg(
+        F.max_by(F.struct("page_number", "first", "last"), place).alias("w")).select("doc_id", "tkey", "w.*")
+    run = F.slice("body", F.col("first") + 1, F.col("last") - F.col("first") + 1)
+    whole = best.join(located.select("doc_id", "tkey", "t", "target_words"), ["doc_id", "tkey"]).join(pages.select("doc_id", "page_number", "body"), ["doc_id", "page_number"])
+    return whole.select("doc_id", "tkey", "t", _at_most_medium(_summary(_slim(run, F.col("page_number")), F.col("target_words"))).alias("match"))
 
 
 def _at_most_medium(match: Column) -> Column:

@@ -109,3 +109,57 @@ def test_rows_grow_with_the_document(spark, monkeypatch):
         got = {r.t: r.best_page for r in A.best_page(targets, pages_frame(spark, {1: pages})).collect()}
         assert got == {t: brute_page(t, pages) for _, t in rows}
     assert all(sizes[1][k] <= 2.7 * v for k, v in sizes[0].items() if v > 20), sizes
+
+
+def brute_window(target, pages):
+    """The best run over all pages, by comparing every one of them."""
+    best = (0.0, None)
+    for number, texts in enumerate(pages):
+        for first in range(len(texts)):
+            for last in range(first, min(first + 4, len(texts))):
+                ratio = SequenceMatcher(None, target, " ".join(texts[first:last + 1])).ratio()
+                if ratio > best[0]:
+                    best = (ratio, (number, first, last))
+    return best if best[0] >= 0.35 else None
+
+
+def test_windows_equal_brute_force(spark, monkeypatch):
+    """Every text against every run of its document, with and without a page estimate; few runs are compared in Python."""
+    import random
+
+    rnd = random.Random(3)
+    sizes = {}
+    plain = A.stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("windows", "open-windows"):
+            sizes[name] = out.select(F.sum(F.size("windows"))).first()[0] or 0
+        return out
+
+    monkeypatch.setattr(A, "stored", counted)
+    docs = {d: [[" ".join(rnd.choices(WORDS, k=rnd.randint(1, 9))) for _ in range(rnd.randint(1, 6))] for _ in range(3)] for d in range(3)}
+    rows = []
+    for d, pages in docs.items():
+        for _ in range(25):
+            words = " ".join(rnd.choice(pages)).split()
+            rnd.shuffle(words[:4])
+            text = " ".join(w if rnd.random() < 0.7 else rnd.choice(WORDS) for w in words[rnd.randint(0, 3):] or ["zz"])
+            rows.append((d, text))
+    rows += [(0, "qqq"), (1, docs[1][0][0]), (2, docs[2][0][0] + "x")]
+    targets = A.targets_of(spark.createDataFrame(rows, "doc_id long, text string"))
+    lost = targets.select("doc_id", "tkey", "t", F.lit(None).cast("int").alias("best_page"), F.lit(5).alias("target_words"))
+    found, names = {}, {(r.doc_id, bytes(r.tkey)): r.t for r in targets.collect()}
+    for r in A.best_windows(lost, pages_frame(spark, docs)).collect():
+        key, place = (r.doc_id, names[r.doc_id, bytes(r.tkey)]), (r.page_number, r["first"], r["last"])
+        rank = (r.score, *[-x for x in place])
+        if r.score >= 0.35 and (key not in found or rank > found[key][0]):
+            found[key] = (rank, place)
+    bodies = {d: [[b.norm for b in r.body] for r in sorted(pages_frame(spark, {d: p}).collect(), key=lambda r: r.page_number)] for d, p in docs.items()}
+    want = {}
+    for d, t in set(rows):
+        best = brute_window(t, bodies[d])
+        if best:
+            want[d, t] = ((best[0], *[-x for x in best[1]]), best[1])
+    assert found == want
+    assert sizes["open-windows"] < 0.6 * sizes["windows"]
