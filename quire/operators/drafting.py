@@ -43,8 +43,9 @@ def chunk_prompts(chunks: DataFrame) -> DataFrame:
 def infer(prompts: DataFrame, fn: BatchFn, *, attempts: int = 3, pause: float = 1.0, batch: int = 16) -> DataFrame:
     """L-2: call ``fn`` on batches of prompts; failures become an empty answer with an error text.
 
-    Every prompt has ``attempts`` calls at most. A failed batch is the first call of each of its prompts; the others are made
-    prompt by prompt with a growing pause, so one bad prompt costs no other its answer. Prompts with an answer are not asked again.
+    Every prompt has ``attempts`` calls at most, besides one for its batch where that is all there are. A failed batch is the first call of each of its
+    prompts; the others are made prompt by prompt with a growing pause, so one bad prompt costs no other its answer. Prompts with an
+    answer are not asked again.
     """
     keys = [c for c in prompts.columns if c != "prompt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields if f.name != "prompt")
@@ -56,10 +57,10 @@ def infer(prompts: DataFrame, fn: BatchFn, *, attempts: int = 3, pause: float =
                 raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
             return [(content or "", int(used_in), int(used_out), None) for content, used_in, used_out in answers]
         except Exception as error:  # the caller's function may raise anything
-            if used + 1 >= attempts:
+            if used + 1 >= attempts and len(texts) == 1:
                 return [("", 0, 0, f"{type(error).__name__}: {error}")] * len(texts)
         time.sleep(pause * (used + 1))
-        return [call([text], used + 1)[0] for text in texts]
+        return [call([text], min(used + 1, attempts - 1))[0] for text in texts]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -46,7 +46,12 @@ def single_batches(elements: DataFrame) -> DataFrame:
 
 def translation_batches(elements: DataFrame, size: int = BATCH) -> DataFrame:
     """X-1: one payload per batch, its elements in order."""
-    rows = elements.join(number_batches(elements, size), ["doc_id", "element_index"]).select("doc_id", "batch_no", "element_index", _entry().alias("entry"))
+    return batch_payloads(elements.join(number_batches(elements, size), ["doc_id", "element_index"]))
+
+
+def batch_payloads(numbered: DataFrame) -> DataFrame:
+    """One payload per (doc_id, batch_no) of the given rows."""
+    rows = numbered.select("doc_id", "batch_no", "element_index", _entry().alias("entry"))
     return rows.groupBy("doc_id", "batch_no").agg(
         F.count("*").cast("int").alias("n_elements"),
         F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("element_index", "entry"))), lambda x: x["entry"]), {"ignoreNullFields": "false"}).alias("payload"))
@@ -56,6 +61,25 @@ def translation_prompts(batches: DataFrame) -> DataFrame:
     return batches.select("doc_id", "batch_no", F.concat(F.lit(f"{INSTRUCTION}\n\nElements:\n"), F.col("payload")).alias("prompt"))
 
 
+OVERVIEW_INSTRUCTION = (
+    "Translate the overview below from English to Traditional Chinese. Answer with one JSON object of the same shape; keep every list as long as "
+    "it is, every element_id and every section_key."
+)
+OVERVIEW_FIELDS = ("abstract_summary string, overall_summary string, overall_key_points array<string>, "
+                   "highlights array<struct<element_id:int,title:string,summary:string>>, sections array<struct<section_key:string,section_title:string,summary:string>>")
+
+
+def overview_translation_prompts(overviews: DataFrame) -> DataFrame:
+    """X-5: one request per overview."""
+    payload = F.to_json(F.struct("abstract_summary", "overall_summary", "overall_key_points", "highlights", "sections"), {"ignoreNullFields": "false"})
+    return overviews.select("doc_id", F.concat(F.lit(f"{OVERVIEW_INSTRUCTION}\n\nOverview:\n"), payload).alias("prompt"))
+
+
+def parse_overview_translations(responses: DataFrame) -> DataFrame:
+    """X-5: the fields of an answer; what is missing or of another kind is NULL."""
+    return responses.select("doc_id", F.from_json(extract_json(F.col("content")), OVERVIEW_FIELDS).alias("t")).select("doc_id", "t.*")
+
+
 def parse_translations(responses: DataFrame) -> DataFrame:
     """Answers to long rows; entries without a usable id drop out, the last one wins on repeats."""
     found = member_list(F.parse_json(extract_json(F.col("content"))), "elements")

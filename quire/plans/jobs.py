@@ -1,4 +1,4 @@
-"""Composed jobs that carry a change through all that depends on it (E-1..E-13 with L-9, X-1..X-4)."""
+"""Composed jobs: edits with all that follows from them, and translation of whole documents (E-1..E-13, L-9, X-1..X-7)."""
 
 from __future__ import annotations
 
@@ -113,3 +113,67 @@ def edit_job(elements: DataFrame, overviews: DataFrame, text_highlights: DataFra
         .unionByName(entry(pdf_highlights.join(marks, "highlight_id", "left_anti"), "pdf_highlight", "highlight_id", "removed"))
     )
     return Edited(after, next_overviews, texts, marks, E.rejected(edits, elements), changes)
+
+
+class Translated(NamedTuple):
+    elements: DataFrame
+    overviews: DataFrame
+    papers: DataFrame
+    work: DataFrame
+
+
+def translate_batches(elements: DataFrame, fn: BatchFn, store: str | None = None, size: int = X.BATCH, **how) -> tuple[DataFrame, DataFrame]:
+    """X-1..X-3: (translations, work) of elements in batches; a failed batch is halved until the bad element stands alone.
+
+    Every round is one job over the rows that are still open: those of failed batches, in batches of half the size. An element whose own call
+    fails keeps its source. ``work`` holds (doc_id, element_index, batch_size, state) with the size of the batch that settled the element.
+    """
+    numbered = stored(elements.join(X.number_batches(elements, 1), ["doc_id", "element_index"]).withColumnRenamed("batch_no", "_n"), "translation-work")
+    rows, found, states = numbered, [], []
+    key = ["doc_id", "batch_no"]
+    while True:
+        batched = rows.withColumn("batch_no", F.floor(F.col("_n") / size).cast("int"))
+        answers = stored(ask(X.translation_prompts(X.batch_payloads(batched)), fn, store, **how), "translation-answers")
+        given = X.parse_translations(answers.where("error IS NULL")).join(batched.select(*key, "element_index"), [*key, "element_index"], "left_semi")
+        found.append(X.merge_translations(rows, given.drop("batch_no")))
+        failed = answers.where("error IS NOT NULL").select(*key)
+        settled = batched.join(failed, key, "left_anti").select("doc_id", "element_index", F.lit(size).alias("batch_size"), F.lit("answered").alias("state"))
+        states.append(settled)
+        lost = batched.join(failed, key, "left_semi").drop("batch_no")
+        if size == 1:
+            found.append(X.translation_fallback(rows, lost))
+            states.append(lost.select("doc_id", "element_index", F.lit(1).alias("batch_size"), F.lit("source kept").alias("state")))
+            break
+        rows, size = stored(lost, "translation-work"), max(size // 2, 1)
+        if rows.isEmpty():
+            break
+    both = []
+    for parts in (found, states):
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.unionByName(more)
+        both.append(stored(out, "translated"))
+    return both[0], both[1]
+
+
+def translation_job(papers: DataFrame, elements: DataFrame, overviews: DataFrame, now: Column, fn: BatchFn, store: str | None = None, **how) -> Translated:
+    """Translate the papers whose status allows it (X-6, X-7): their elements in batches, their overviews whole.
+
+    A paper whose overview call fails is ``failed`` and keeps all its rows as they were; the others are ``completed``. Papers that are completed or
+    under way, or have no overview, stay as they are. Answers lie in ``store``, so a repeated run asks only for what failed.
+    """
+    judged = stored(X.translation_decision(papers, overviews, now), "translation-decisions")
+    due = judged.where("decision = 'run'").select("doc_id")
+    texts = ask(X.overview_translation_prompts(overviews.join(due, "doc_id", "left_semi")), fn, store, **how)
+    answers = stored(texts, "overview-answers")
+    good = stored(answers.where("error IS NULL").select("doc_id").distinct(), "translated-papers")
+    translations, work = translate_batches(elements.join(good, "doc_id", "left_semi"), fn, store, **how)
+    own = overviews.join(good, "doc_id", "left_semi")
+    zh = [c for c in overviews.columns if c.endswith("_zh")]
+    merged = X.merge_overview_translation(own.drop(*zh), X.parse_overview_translations(answers.where("error IS NULL")))
+    status = F.when(F.col("decision") != "run", F.col("zh_status")).when(F.col("_ok"), "completed").otherwise("failed")
+    ran = F.col("decision") == "run"
+    next_papers = judged.join(good.withColumn("_ok", F.lit(True)), "doc_id", "left").withColumn("zh_status", status).withColumn(
+        "zh_started_at", F.when(ran, now).otherwise(F.col("zh_started_at"))).withColumn(
+        "zh_finished_at", F.when(ran & F.col("_ok"), now).when(~ran, F.col("zh_finished_at"))).drop("_ok", "decision")
+    return Translated(X.apply_translations(elements, translations), overviews.join(good, "doc_id", "left_anti").unionByName(merged, allowMissingColumns=True), next_papers, work)

@@ -81,3 +81,21 @@ def test_failed_rows_wait(spark, tmp_path):
     rows = {r["element_id"]: r for r in done.elements.where(F.col("element_id").isin(1, 2)).collect()}
     assert rows[1]["dirty"] and rows[1]["summary"] is None and not rows[2]["dirty"] and rows[2]["summary"].startswith("sum ")
     assert {r["key"]: r["state"] for r in done.changes.where("level = 'element'").collect()} == {"1": "waiting", "2": "regenerated"}
+
+
+def test_failed_batches_are_halved(spark, tmp_path):
+    """One bad element of eleven: nobody else loses an answer, and only open rows are asked for again."""
+    from quire.plans.jobs import translate_batches
+
+    model, store = Counting(tmp_path / "log", "text 5"), str(tmp_path / "store")
+    elements = spark.createDataFrame(documents(1, 11), ELEMENT)
+    found, work = translate_batches(elements, model, store, attempts=1, pause=0.0)
+    state = {r["element_index"]: (r["batch_size"], r["state"]) for r in work.collect()}
+    assert state == {**{i: (4, "answered") for i in range(4)}, 4: (1, "answered"), 5: (1, "source kept"), 6: (2, "answered"), 7: (2, "answered"), **{i: (8, "answered") for i in range(8, 11)}}
+    zh = {r["element_index"]: r["text_zh"] for r in found.collect()}
+    assert zh == {i: "text 5" if i == 5 else f"zh text {i}" for i in range(11)}
+    n = len(model.asked())
+    assert n == 4
+    model.refuse = ""
+    again = {r["element_index"]: r["text_zh"] for r in translate_batches(elements, model, store, attempts=1, pause=0.0)[0].collect()}
+    assert again[5] == "zh text 5" and len(model.asked()) == n + 1  # the batch of the bad element; the other one is known
