@@ -113,6 +113,14 @@ def section_prompts(elements: DataFrame) -> DataFrame:
         F.lit(f"{SECTION_INSTRUCTION}\n\nSection: "), F.col("section_title"), F.lit("\n\nEvidence:\n"), F.coalesce("source", F.lit(""))).alias("prompt"))
 
 
+def abstract_prompts(elements: DataFrame) -> DataFrame:
+    """O-7: one request per document that has abstract elements, in the form of a section's."""
+    rows = abstract_elements(elements)
+    source = _joined_lines(rows, ["doc_id"], _evidence("[SUMMARY] ", "[KEYPOINT] "), "source")
+    return rows.select("doc_id").distinct().join(source, "doc_id", "left").select("doc_id", F.concat(
+        F.lit(f"{SECTION_INSTRUCTION}\n\nSection: ABSTRACT\n\nEvidence:\n"), F.coalesce("source", F.lit(""))).alias("prompt"))
+
+
 def section_summaries(elements: DataFrame, responses: DataFrame | None = None) -> DataFrame:
     """O-6: the model's summary, else the section's first two summaries; empty ones drop out."""
     keys = ["doc_id", "section_no", "section_title"]

@@ -1,4 +1,4 @@
-"""Composed jobs: edits with all that follows from them, and translation of whole documents (E-1..E-13, L-9, X-1..X-7)."""
+"""Composed jobs: edits with all that follows from them, overviews, and translation of whole documents (E-1..E-13, L-9, O-1..O-8, X-1..X-7)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.jsontext import extract_json, member_text
 from quire.functions.text import strip
 from quire.operators import edits as E
+from quire.operators import overview as O
 from quire.operators import translate as X
 from quire.operators.answers import ask
 from quire.operators.drafting import BatchFn, bullet_prompts, bullet_source, paragraph_prompts, parse_fields
@@ -177,3 +178,31 @@ def translation_job(papers: DataFrame, elements: DataFrame, overviews: DataFrame
         "zh_started_at", F.when(ran, now).otherwise(F.col("zh_started_at"))).withColumn(
         "zh_finished_at", F.when(ran & F.col("_ok"), now).when(~ran, F.col("zh_finished_at"))).drop("_ok", "decision")
     return Translated(X.apply_translations(elements, translations), overviews.join(good, "doc_id", "left_anti").unionByName(merged, allowMissingColumns=True), next_papers, work)
+
+
+def overview_job(elements: DataFrame, documents: DataFrame, fn: BatchFn, store: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+    """O-8: (overviews, failures) of ``documents`` (``doc_id``): section, abstract and document summaries, then their translation.
+
+    Every level asks through the answer store: a repeated run, or one after a lost one, asks only for what has no answer yet. ``failures`` holds
+    (doc_id, reason): ``no_elements``, ``overview_failed`` or ``translation_failed``; such documents get no new row. A section or abstract whose own
+    call failed falls back to its first summaries.
+    """
+    wanted = stored(documents.select("doc_id").where("doc_id IS NOT NULL").distinct(), "overview-documents")
+    own = stored(elements.join(wanted, "doc_id", "left_semi"), "overview-elements")
+    asked = lambda prompts, name: stored(ask(prompts, fn, store, **how), name)
+    overall = asked(O.overview_prompts(own), "overview-answers")
+    sections = asked(O.section_prompts(own), "section-answers")
+    abstracts = asked(O.abstract_prompts(own), "abstract-answers")
+    answered = overall.where("error IS NULL").select("doc_id", "content")
+    good = own.join(answered.select("doc_id"), "doc_id", "left_semi")
+    fresh = stored(O.regenerate_overviews(good, answered, sections.select("doc_id", "section_no", "content"), abstracts.select("doc_id", "content")), "overviews")
+    texts = asked(X.overview_translation_prompts(fresh), "overview-translations")
+    done = texts.where("error IS NULL").select("doc_id", "content")
+    overviews = X.merge_overview_translation(fresh.join(done.select("doc_id"), "doc_id", "left_semi"), X.parse_overview_translations(done))
+    reason = lambda df, text: df.select("doc_id", F.lit(text).alias("reason"))
+    failures = (
+        reason(wanted.join(own.select("doc_id").distinct(), "doc_id", "left_anti"), "no_elements")
+        .unionByName(reason(overall.where("error IS NOT NULL"), "overview_failed"))
+        .unionByName(reason(texts.where("error IS NOT NULL"), "translation_failed"))
+    )
+    return overviews, failures
