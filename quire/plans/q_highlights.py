@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quire.operators import highlights as H
 from quire.plans import derived as V
+from quire.plans.q_overview import OVERVIEWS, overviews
 from quire.sources.tables import table
+from quire.sources.views import displayed_texts
 
 HIGHLIGHTS_CTE = """,
 text_highlights AS (SELECT event_id AS highlight_id, event_id // 10 AS doc_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id // 10) * 1000000 + 1 + 5 * (event_id % 2) END AS element_id,
@@ -25,9 +27,24 @@ walk AS (SELECT *, true AS keep, end_offset AS last FROM ranked WHERE pos = 1
   UNION ALL SELECT r.*, r.start_offset >= w.last, CASE WHEN r.start_offset >= w.last THEN r.end_offset ELSE w.last END FROM walk w JOIN ranked r
   ON r.doc_id = w.doc_id AND r.element_id IS NOT DISTINCT FROM w.element_id AND r.scope = w.scope AND r.field_name = w.field_name AND r.item_index IS NOT DISTINCT FROM w.item_index AND r.language = w.language AND r.pos = w.pos + 1),
 kept AS (SELECT * FROM walk WHERE keep),
-texts AS (SELECT doc_id, element_id, 'paragraph' AS scope, f AS field_name, NULL::BIGINT AS item_index, 'en' AS language, CASE f WHEN 'text' THEN text ELSE summary END AS text
-  FROM paper_elements, (VALUES ('text'), ('summary')) v(f) WHERE CASE f WHEN 'text' THEN text ELSE summary END IS NOT NULL)"""
-BASE = f"WITH RECURSIVE {V.PAPER_ELEMENTS}"
+zh_overviews AS (SELECT *, doc_id % 2 = 0 AS even FROM overviews),
+langs AS (SELECT doc_id, element_id, type, intro_text, 'en' AS language, text, summary, key_points, items FROM paper_elements WHERE type <> 'heading'
+  UNION ALL SELECT doc_id, element_id, type, intro_text, 'zh', coalesce(nullif(text_zh, ''), text), coalesce(nullif(summary_zh, ''), summary), coalesce(key_points_zh, key_points), coalesce(items_zh, items) FROM paper_elements WHERE type <> 'heading'),
+panels AS (SELECT doc_id, 'en' AS language, coalesce(abstract_summary, '') AS abstract_summary, coalesce(overall_summary, '') AS overall_summary, coalesce(overall_key_points, []) AS points,
+    list_transform(sections, lambda s: s.summary) AS sums, list_transform(highlights, lambda s: s.summary) AS marks FROM zh_overviews
+  UNION ALL SELECT doc_id, 'zh', CASE WHEN even AND abstract_summary <> '' THEN 'zh ' || abstract_summary ELSE coalesce(abstract_summary, '') END, coalesce(overall_summary, ''), CASE WHEN even THEN ['zh'] ELSE coalesce(overall_key_points, []) END,
+    list_transform(sections, lambda s: s.summary), list_transform(highlights, lambda s: s.summary) FROM zh_overviews),
+texts AS (SELECT doc_id, element_id, 'paragraph' AS scope, 'key_points' AS field_name, (generate_subscripts(key_points, 1) - 1)::BIGINT AS item_index, language, unnest(key_points) AS text FROM langs
+  UNION ALL SELECT doc_id, element_id, 'paragraph', 'item', generate_subscripts(items, 1) - 1, language, unnest(items) FROM langs WHERE type = 'bullet_list'
+  UNION ALL SELECT doc_id, element_id, 'paragraph', 'summary', NULL, language, summary FROM langs WHERE summary <> ''
+  UNION ALL SELECT doc_id, element_id, 'paragraph', 'text', NULL, language, coalesce(nullif(text, ''), '—') FROM langs WHERE type = 'paragraph'
+  UNION ALL SELECT doc_id, element_id, 'paragraph', 'intro_text', NULL, language, intro_text FROM langs WHERE type = 'bullet_list' AND intro_text <> ''
+  UNION ALL SELECT doc_id, NULL, 'overview', 'abstract_summary', NULL, language, abstract_summary FROM panels WHERE abstract_summary <> ''
+  UNION ALL SELECT doc_id, NULL, 'overview', 'overall_summary', NULL, language, overall_summary FROM panels
+  UNION ALL SELECT doc_id, NULL, 'overview', 'overall_key_points', generate_subscripts(points, 1) - 1, language, unnest(points) FROM panels
+  UNION ALL SELECT doc_id, NULL, 'overview', 'section_summary', generate_subscripts(sums, 1) - 1, language, unnest(sums) FROM panels
+  UNION ALL SELECT doc_id, NULL, 'overview', 'highlight_summary', generate_subscripts(marks, 1) - 1, language, unnest(marks) FROM panels)"""
+BASE = OVERVIEWS.replace("WITH ", "WITH RECURSIVE ", 1)
 KEY = "coalesce(element_id, -1) AS element_id, scope, field_name, coalesce(item_index, -1) AS item_index, language"
 SAME = ("h.doc_id = t.doc_id AND h.element_id IS NOT DISTINCT FROM t.element_id AND h.scope = t.scope AND h.field_name = t.field_name "
         "AND h.item_index IS NOT DISTINCT FROM t.item_index AND h.language = t.language")
@@ -57,9 +74,12 @@ def valid(spark, folder):
 
 
 def texts(spark, folder):
-    both = F.array(F.struct(F.lit("text").alias("field_name"), F.col("text").alias("text")), F.struct(F.lit("summary").alias("field_name"), F.col("summary").alias("text")))
-    rows = V.paper_elements(spark, folder).select("doc_id", "element_id", F.lit("paragraph").alias("scope"), F.lit(None).cast("int").alias("item_index"), F.lit("en").alias("language"), F.inline(both))
-    return rows.where(F.col("text").isNotNull())
+    own = overviews(spark, folder)
+    even = F.col("doc_id") % 2 == 0
+    zh = own.withColumns({
+        "abstract_summary_zh": F.when(even & (F.col("abstract_summary") != ""), F.concat(F.lit("zh "), F.col("abstract_summary"))), "overall_summary_zh": F.lit(None).cast("string"),
+        "overall_key_points_zh": F.when(even, F.array(F.lit("zh"))), "highlights_zh": F.col("highlights"), "sections_zh": F.when(even, F.col("sections"))})
+    return displayed_texts(V.paper_elements(spark, folder), zh)
 
 
 def _shown(df):
@@ -101,8 +121,9 @@ QUERIES = {
     "missing_highlights": lambda spark, folder: H.missing_highlights(valid(spark, folder), V.documents(spark, folder).select((F.col("doc_id") * 3).alias("highlight_id"))).select("highlight_id"),
     "relevant_highlights": lambda spark, folder: H.relevant_highlights(valid(spark, folder), texts(spark, folder)).select("highlight_id", "doc_id", "field_name", "start_offset"),
     "non_overlapping": _kept_rows,
-    "segments": lambda spark, folder: H.segments(texts(spark, folder), H.non_overlapping(valid(spark, folder))).select(
-        "doc_id", "element_id", "field_name", "segment", "kind", "piece", F.coalesce("highlight_id", F.lit(-1)).alias("highlight_id")),
+    "displayed_texts": lambda spark, folder: _shown(texts(spark, folder)),
+    "segments": lambda spark, folder: _shown(H.segments(texts(spark, folder), H.non_overlapping(valid(spark, folder)))).select(
+        "doc_id", "element_id", "scope", "field_name", "item_index", "language", "segment", "kind", "piece", F.coalesce("highlight_id", F.lit(-1)).alias("highlight_id")),
     "toggle_highlights": _toggle,
     "locations_by_page": _by_page,
     "user_rects_by_page": lambda spark, folder: H.user_rects_by_page(H.validate_pdf_highlights(pdf_highlights(spark, folder))),
@@ -119,15 +140,16 @@ ORACLES = {
     "missing_highlights": f"{BASE}{VALID} SELECT doc_id * 3 AS highlight_id FROM documents WHERE doc_id * 3 NOT IN (SELECT highlight_id FROM valid)",
     "relevant_highlights": f"{BASE}{VALID} SELECT h.highlight_id, h.doc_id, h.field_name, h.start_offset FROM valid h WHERE EXISTS (SELECT 1 FROM texts t WHERE {SAME})",
     "non_overlapping": f"{BASE}{VALID} SELECT doc_id, {KEY}, highlight_id FROM kept",
+    "displayed_texts": f"{BASE}{VALID} SELECT doc_id, {KEY}, text FROM texts",
     "segments": f"""{BASE}{VALID},
-      hl AS (SELECT t.doc_id, t.element_id, t.field_name, t.text, h.highlight_id, h.start_offset AS s, h.end_offset AS e,
-        coalesce(lag(h.end_offset) OVER (PARTITION BY t.doc_id, t.element_id, t.field_name ORDER BY h.start_offset), 0) AS c FROM texts t JOIN kept h ON {SAME}),
+      addressed AS (SELECT row_number() OVER () AS tid, * FROM texts),
+      hl AS (SELECT t.tid, t.text, h.highlight_id, h.start_offset AS s, h.end_offset AS e, coalesce(lag(h.end_offset) OVER (PARTITION BY t.tid ORDER BY h.start_offset), 0) AS c FROM addressed t JOIN kept h ON {SAME}),
       pieces AS (
-        SELECT doc_id, element_id, field_name, s AS o, 0 AS z, 'plain' AS kind, substr(text, c + 1, s - c) AS piece, -1 AS highlight_id FROM hl WHERE s > c
-        UNION ALL SELECT doc_id, element_id, field_name, s, 1, 'highlight', substr(text, s + 1, e - s), highlight_id FROM hl
-        UNION ALL SELECT t.doc_id, t.element_id, t.field_name, 1000000000, 2, 'plain', substr(t.text, coalesce(m, 0) + 1), -1 FROM texts t
-          LEFT JOIN (SELECT doc_id, element_id, field_name, max(e) AS m FROM hl GROUP BY 1, 2, 3) x ON x.doc_id = t.doc_id AND x.element_id = t.element_id AND x.field_name = t.field_name WHERE m IS NULL OR m < length(t.text))
-      SELECT doc_id, element_id, field_name, row_number() OVER (PARTITION BY doc_id, element_id, field_name ORDER BY o, z) - 1 AS segment, kind, piece, highlight_id FROM pieces""",
+        SELECT tid, s AS o, 0 AS z, 'plain' AS kind, substr(text, c + 1, s - c) AS piece, -1 AS highlight_id FROM hl WHERE s > c
+        UNION ALL SELECT tid, s, 1, 'highlight', substr(text, s + 1, e - s), highlight_id FROM hl
+        UNION ALL SELECT t.tid, 1000000000, 2, 'plain', substr(t.text, coalesce(m, 0) + 1), -1 FROM addressed t
+          LEFT JOIN (SELECT tid, max(e) AS m FROM hl GROUP BY 1) x ON x.tid = t.tid WHERE m IS NULL OR m < length(t.text))
+      SELECT doc_id, {KEY}, row_number() OVER (PARTITION BY p.tid ORDER BY o, z) - 1 AS segment, kind, piece, highlight_id FROM pieces p JOIN addressed t ON t.tid = p.tid""",
     "toggle_highlights": f"""{BASE}{VALID},
       sel AS (SELECT highlight_id AS selection_id, doc_id, element_id, scope, field_name, item_index, language, start_offset AS s, CASE WHEN highlight_id % 2 = 0 THEN end_offset ELSE start_offset + 2 END AS e FROM valid),
       hit AS (SELECT t.selection_id, max(CASE WHEN h.start_offset = t.s AND h.end_offset = t.e THEN h.highlight_id END) AS exact_id, bool_or(t.e > h.start_offset AND t.s < h.end_offset) AS over FROM sel t LEFT JOIN kept h ON {SAME} GROUP BY 1)

@@ -78,6 +78,47 @@ def overview_view(overviews: DataFrame, lang: str = "en") -> DataFrame:
                             F.coalesce("highlight_ids", F.array().cast("array<int>")).alias("highlight_ids"), listed("highlights", HIGHLIGHT_LIST), listed("sections", SECTION_LIST))
 
 
+#: Fixed value: what stands for a paragraph without text.
+NO_TEXT = "—"
+
+
+def displayed_texts(elements: DataFrame, overviews: DataFrame, langs: tuple[str, ...] = ("en", "zh")) -> DataFrame:
+    """Every text on display under its address (doc_id, element_id, scope, field_name, item_index, language): what H-4, H-6 and narration share.
+
+    Paragraphs and lists show their fields in each language with the fall-backs of ``elements_for_lang``, overviews those of ``overview_view``. Parts of
+    a list carry their place in ``item_index``. Headings, blank summaries, intros and abstracts are not shown as texts.
+    """
+    none = F.array().cast("array<struct<field_name:string,item_index:int,language:string,text:string>>")
+
+    def entry(field: str, lang: str, text: Column, index: Column | None = None) -> Column:
+        return F.struct(F.lit(field).alias("field_name"), (F.lit(None) if index is None else index).cast("int").alias("item_index"), F.lit(lang).alias("language"), text.alias("text"))
+
+    one = lambda field, lang, text, shown: F.when(shown, F.array(entry(field, lang, text))).otherwise(none)
+    each = lambda field, lang, texts: F.coalesce(F.transform(texts, lambda x, i: entry(field, lang, x, i)), none)
+    there = lambda c: F.coalesce(c, F.lit("")) != ""
+
+    def of_element(lang: str) -> list[Column]:
+        zh = lang == "zh"
+        text, summary = (_or_else(f"{c}_zh", c) if zh else F.col(c) for c in ("text", "summary"))
+        points, items = (F.coalesce(f"{c}_zh", c) if zh else F.col(c) for c in ("key_points", "items"))
+        bullets = F.col("type") == "bullet_list"
+        return [each("key_points", lang, points), one("summary", lang, summary, there(summary)), one("text", lang, F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_TEXT)), F.col("type") == "paragraph"),
+                one("intro_text", lang, F.col("intro_text"), bullets & there(F.col("intro_text"))), each("item", lang, F.when(bullets, items))]
+
+    def of_overview(lang: str) -> DataFrame:
+        view = overview_view(overviews, lang)
+        part = lambda name: F.transform(name, lambda x: x["summary"])
+        parts = [one("abstract_summary", lang, F.col("abstract_summary"), there(F.col("abstract_summary"))), F.array(entry("overall_summary", lang, F.col("overall_summary"))),
+                 each("overall_key_points", lang, F.col("overall_key_points")), each("section_summary", lang, part("sections")), each("highlight_summary", lang, part("highlights"))]
+        return view.select("doc_id", F.lit(None).cast("long").alias("element_id"), F.lit("overview").alias("scope"), F.inline(F.concat(*parts)))
+
+    body = elements.where(F.col("type").isin("paragraph", "bullet_list"))
+    texts = body.select("doc_id", "element_id", F.lit("paragraph").alias("scope"), F.inline(F.concat(*[c for lang in langs for c in of_element(lang)])))
+    for lang in langs:
+        texts = texts.unionByName(of_overview(lang))
+    return texts.where(F.col("text").isNotNull())
+
+
 def highlights_view(text_highlights: DataFrame, pdf_highlights: DataFrame, lang: str = "en") -> DataFrame:
     """IO-12: text highlights of one language and all page highlights, in one long view."""
     texts = text_highlights.where(F.col("language") == lang).select("doc_id", F.lit("text").alias("kind"), "highlight_id", "element_id", "field_name", "start_offset", "end_offset",
