@@ -531,18 +531,40 @@ def match_bullet_lists(elements: DataFrame, pages: DataFrame) -> DataFrame:
     return merged.select("doc_id", "element_index", F.when(F.size("rects") > 0, match.cast(MATCH)).otherwise(no_match()).alias("match"))
 
 
-def heading_candidates(headings: DataFrame, pages: DataFrame) -> DataFrame:
-    """Heading boxes that can still reach the limit with a nearness bonus."""
-    own = pages.withColumn("hs", F.filter("boxes", lambda b: b["is_heading"])).where(F.size("hs") > 0)
-    titles = targets_of(headings).withColumn("roman", F.nullif(F.regexp_extract("t", B.ROMAN_PREFIX, 1), F.lit("")))
+HEADING_SCORE, HEADING_LIMIT = 0.72, 0.75
+
+
+def _boxes_with_all_tokens(titles: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc_id, tkey, page_number) of boxes that may hold all tokens of a title: those with its rarest one."""
+    probes = titles.select("doc_id", "tkey", F.lit(0).alias("part"), F.explode(F.array_distinct(words(F.col("t")))).alias("gram"))
+    return _pages_of_rarest(probes, boxes.select("doc_id", "page_number", F.explode(F.array_distinct(words(F.col("text")))).alias("gram")))
+
 
-    def rate(page: Column, b: Column) -> Column:
-        return F.struct(page.alias("page"), b["block_index"].alias("block"), b["bbox"].alias("bbox"), F.when(
-            F.col("roman").isNull() | (F.regexp_extract(b["norm"], B.ROMAN_PREFIX, 1) == F.col("roman")), B.text_match_score(F.col("t"), b["norm"])).otherwise(0.0).alias("score"))
+def heading_candidates(headings: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, tkey, page, block, bbox, score): heading boxes that can still reach the limit with a nearness bonus, one row each.
 
-    rows = titles.join(page_tiles(own, "hs"), "doc_id").select("doc_id", "t", F.explode(F.filter(F.flatten(F.transform(
-        "tile", lambda x: F.transform(x["hs"], lambda b: rate(x["page_number"], b)))), lambda c: c["score"] >= 0.72)).alias("c"))
-    return rows.groupBy("doc_id", "t").agg(F.sort_array(F.collect_list("c")).alias("candidates"))
+    Such a score needs one of: the box contains the title or, of a long one, its first or last 180 characters; the title contains the box;
+    the box has all tokens of the title. Each way finds its boxes by the rarest gram, so no title meets all boxes.
+    """
+    rows = inline_rows(pages, F.transform(F.filter("boxes", lambda b: b["is_heading"]), lambda b: F.struct(
+        F.col("page_number").alias("page"), b["block_index"].alias("block"), b["bbox"].alias("bbox"), b["norm"].alias("text"))), "doc_id", key="page")
+    # a box takes the part of a page in the searches below
+    boxes = stored(rows.withColumn("page_number", F.col("page").cast("long") * (1 << 31) + F.col("block")).where("text <> ''"), "heading-boxes")
+    titles = stored(targets_of(headings), "titles")
+    t, texts = F.col("t"), boxes.select("doc_id", "page_number", "text")
+    needle = lambda df, c: df.select("doc_id", "tkey", c.alias("needle"))
+    long = titles.where(F.length("t") > 40)
+    inside = texts.where(F.length("text") > 60).select("doc_id", F.col("page_number").alias("tkey"), F.col("text").alias("needle"))
+    # the other way round: titles that contain a box
+    within = pages_with(inside, titles.select("doc_id", F.col("tkey").alias("page_number"), t.alias("text"))).select(
+        "doc_id", F.col("page_number").alias("tkey"), F.col("tkey").alias("page_number"))
+    pairs = _boxes_with_all_tokens(titles, texts).unionByName(within)
+    for c, some in ((t, titles), (F.substring(t, 1, 180), long), (F.right(t, F.lit(180)), long)):
+        pairs = pairs.unionByName(pages_with(needle(some, c), texts))
+    met = pairs.distinct().join(titles, ["doc_id", "tkey"]).join(boxes, ["doc_id", "page_number"])
+    roman = F.nullif(F.regexp_extract("t", B.ROMAN_PREFIX, 1), F.lit(""))
+    fits = roman.isNull() | (F.regexp_extract("text", B.ROMAN_PREFIX, 1) == roman)
+    return met.where(fits).select("doc_id", "tkey", "page", "block", "bbox", B.text_match_score(t, F.col("text")).alias("score")).where(F.col("score") >= HEADING_SCORE)
 
 
 HEADING_RESULT = "doc_id long, element_index int, page_number int, bbox array<double>"
@@ -551,39 +573,46 @@ HEADING_RESULT = "doc_id long, element_index int, page_number int, bbox array<do
 def pick_headings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A-18: headings in reading order take the best unused box on the last page or later.
 
-    The state is one page number and the boxes used on pages still in reach; rows stream
-    through in (doc_id, element_index) order, so no document is held in memory.
+    Rows are candidates in the order of (doc_id, element_index, page, block) and stream through; the state is one heading's best so far, the last page and
+    the boxes used there, so neither a document nor a heading's candidates are held in memory.
     """
-    doc, last, used = None, None, set()
+    doc, last, used, heading, best = None, None, set(), None, None
+
+    def settle(out: list) -> None:
+        nonlocal last, used
+        if best is not None and best[0] >= HEADING_LIMIT:
+            _, page, block, bbox = best
+            used = (used if last == page else set()) | {block}
+            last = page
+            out.append((doc, heading, page, [float(v) for v in bbox]))
+
     for frame in frames:
         out = []
         for row in frame.itertuples(index=False):
-            if row.doc_id != doc:
-                doc, last, used = row.doc_id, None, set()
-            best, best_score = None, 0.0
-            for c in (row.candidates if row.candidates is not None else []):
-                key = (c["page"], c["block"])
-                if key in used or (last is not None and c["page"] < last):
-                    continue
-                bonus = 0.0 if last is None else {0: 0.03, 1: 0.02}.get(c["page"] - last, 0.0)
-                if c["score"] + bonus > best_score:
-                    best, best_score = c, c["score"] + bonus
-            if best is None or best_score < 0.75:
+            if (row.doc_id, row.element_index) != (doc, heading):
+                settle(out)
+                if row.doc_id != doc:
+                    last, used = None, set()
+                doc, heading, best = row.doc_id, row.element_index, None
+            if last is not None and (row.page < last or (row.page == last and row.block in used)):
                 continue
-            last = int(best["page"])
-            used = {k for k in used if k[0] >= last} | {(best["page"], best["block"])}
-            out.append((row.doc_id, row.element_index, last, [float(v) for v in best["bbox"]]))
+            score = row.score + (0.0 if last is None else {0: 0.03, 1: 0.02}.get(row.page - last, 0.0))
+            if best is None or score > best[0]:
+                best = (score, int(row.page), row.block, row.bbox)
         yield pd.DataFrame(out, columns=["doc_id", "element_index", "page_number", "bbox"])
+    out = []
+    settle(out)
+    yield pd.DataFrame(out, columns=["doc_id", "element_index", "page_number", "bbox"])
 
 
 def match_headings(headings: DataFrame, pages: DataFrame) -> DataFrame:
     """A-18: (doc_id, element_index, match) for heading rows.
 
-    Sequential by nature: one sorted stream per document of headings that have candidates.
+    Sequential by nature: one sorted stream of narrow candidate rows per document.
     """
-    keyed = headings.select("doc_id", "element_index", normalize_for_match(F.col("text")).alias("t"))
-    ordered = keyed.join(heading_candidates(headings, pages), ["doc_id", "t"]).select("doc_id", "element_index", "candidates")
-    picked = ordered.repartition("doc_id").sortWithinPartitions("doc_id", "element_index").mapInPandas(pick_headings, HEADING_RESULT)
+    keyed = headings.select("doc_id", "element_index", text_key(normalize_for_match(F.col("text"))).alias("tkey"))
+    ordered = keyed.join(heading_candidates(headings, pages), ["doc_id", "tkey"]).select("doc_id", "element_index", "page", "block", "bbox", "score")
+    picked = ordered.repartition("doc_id").sortWithinPartitions("doc_id", "element_index", "page", "block").mapInPandas(pick_headings, HEADING_RESULT)
     match = F.struct(F.col("page_number"), F.array("bbox").alias("pdf_rects"), F.array(F.struct(F.col("page_number").alias("page"), F.col("bbox"))).alias("pdf_locations"),
                      F.lit("high").alias("match_confidence"))
     return picked.select("doc_id", "element_index", match.cast(MATCH).alias("match"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import boxes as B
+from quire.functions.blocks import section_title
 from quire.functions.arrays import inline_rows
 from quire.functions.text import normalize_for_match
 from quire.operators import align as A
 from quire.plans import derived as V
 from quire.plans import duck as D
+from quire.plans.q_blocks import FACTS
 from quire.plans.q_text import BLOCKS, blocks
 from quire.session import stored
 from quire.sources.tables import load_page_boxes
@@ -202,9 +204,28 @@ def _lists(spark, folder):
 
 
 def _headings(spark, folder):
-    headings = blocks(spark, folder).where(F.col("block").startswith("## ")).select(
+    """Every block with a section title."""
+    headings = blocks(spark, folder).where(section_title(F.col("block")).isNotNull()).select(
         "doc_id", F.col("block_index").alias("element_index"), F.col("block").alias("text"))
-    return A.match_headings(headings, _pages(spark, folder)).select("doc_id", "element_index", "match.page_number")
+    return A.match_headings(headings, _pages(spark, folder)).select(
+        "doc_id", "element_index", "match.page_number", F.get(F.get("match.pdf_rects", F.lit(0)), F.lit(0)).alias("x0"), F.get(F.get("match.pdf_rects", F.lit(0)), F.lit(1)).alias("y0"))
+
+
+# Headings walk in reading order: a list of candidates each, the last page and the boxes used on it.
+_HEADINGS = FACTS.replace("WITH ", "WITH RECURSIVE ", 1) + INDEXED[len(BLOCKS):] + f""",
+titles AS (SELECT doc_id, block_index AS element_index, {D.normalize_for_match('block')} AS t FROM facts WHERE section_title IS NOT NULL),
+rivals AS (SELECT h.doc_id, h.element_index, h.t, b.page_number AS page, b.block_index AS block, b.x0, b.y0, {match_score('h.t', 'b.norm')} AS score,
+  nullif(regexp_extract(h.t, {D.q(ROMAN)}, 1), '') AS rt, regexp_extract(b.norm, {D.q(ROMAN)}, 1) AS rb FROM titles h JOIN indexed b ON b.doc_id = h.doc_id AND b.is_heading WHERE h.t <> ''),
+chosen AS (SELECT doc_id, element_index, list({{'page': page, 'block': block, 'x0': x0, 'y0': y0, 'score': score}}) AS cs FROM rivals WHERE score >= 0.72 AND (rt IS NULL OR rt = rb) GROUP BY 1, 2),
+queue AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY element_index) AS k FROM chosen),
+stepped AS (
+  SELECT doc_id, 0::BIGINT AS k, NULL::BIGINT AS element_index, -1::BIGINT AS page, []::BIGINT[] AS used, NULL::DOUBLE AS x0, NULL::DOUBLE AS y0, false AS hit FROM (SELECT DISTINCT doc_id FROM queue)
+  UNION ALL
+  SELECT doc_id, k, element_index, CASE WHEN hit THEN pick.page ELSE page END, CASE WHEN NOT hit THEN used WHEN pick.page = page THEN list_append(used, pick.block) ELSE [pick.block] END, pick.x0, pick.y0, hit
+  FROM (SELECT *, coalesce(-pick.s >= 0.75, false) AS hit FROM (
+    SELECT q.doc_id, q.k, q.element_index, w.page, w.used, (list_sort(list_transform(list_filter(q.cs, lambda c: c.page >= w.page AND NOT (c.page = w.page AND list_contains(w.used, c.block))),
+      lambda c: {{'s': -(c.score + CASE WHEN w.page >= 0 AND c.page = w.page THEN 0.03 WHEN w.page >= 0 AND c.page = w.page + 1 THEN 0.02 ELSE 0.0 END), 'page': c.page, 'block': c.block, 'x0': c.x0, 'y0': c.y0}})))[1] AS pick
+    FROM stepped w JOIN queue q ON q.doc_id = w.doc_id AND q.k = w.k + 1)))"""
 
 
 QUERIES = {
@@ -274,5 +295,6 @@ ORACLES = {
     "locations": f"{_MOVED} SELECT p.doc_id, p.page_number, coalesce(string_agg(printf('%.4f:%.4f', x0, y0), ',' ORDER BY k) FILTER (WHERE rn = 1), '') AS rects FROM all_pages p LEFT JOIN firsts f ON f.doc_id = p.doc_id AND f.page_number = p.page_number GROUP BY 1, 2",
     "primary_page": f"""{HEAD_ONLY}, per AS (SELECT c.doc_id, c.t, c.page_number, bp, count(*) AS n FROM collected c JOIN head_only h USING (doc_id, t, page_number, i) GROUP BY 1, 2, 3, 4)
       SELECT doc_id, t, page_number, arg_min(bp, (-n, bp)) AS primary_page FROM per GROUP BY 1, 2, 3""",
+    "match_headings": f"{_HEADINGS} SELECT doc_id, element_index, page AS page_number, x0, y0 FROM stepped WHERE hit",
     "match_summary": f"{HEAD_TAIL} SELECT doc_id, t, page_number, confidence, nb AS n_rects FROM head_tail",
 }
