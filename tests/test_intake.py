@@ -12,21 +12,50 @@ from quire.plans.derived import paper_docs
 from quire.sources import snapshots
 from quire.sources.snapshots import read_elements, vacuum, write_elements, written_documents
 from quire.sources.views import write_stages
-from quire.streaming.intake import ingest_stream
+from quire.operators.building import normalize_heading_levels
+from quire.streaming.intake import ingest_stream, read_intake
 
 from conftest import DATA
 
 
-def test_ingest_runs_once_per_document(spark):
-    base = tempfile.mkdtemp(prefix="quire-intake-")
+def test_ingest_runs_once_per_document(spark, tmp_path):
+    base = str(tmp_path)
     docs = paper_docs(spark, DATA)
-    docs.where("doc_id < 40").coalesce(2).write.parquet(f"{base}/in")
+    odd = spark.createDataFrame([(1000, None), (1001, " \n "), (None, "text"), (1002, "Some plain words that stand alone. " * 5)], "doc_id long, markdown string")
+    docs.where("doc_id < 40").unionByName(odd).coalesce(2).write.parquet(f"{base}/in")
     for _ in range(2):
-        ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/cp").awaitTermination()
+        ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/cp", files_per_batch=1).awaitTermination()
     docs.where("doc_id >= 20 and doc_id < 60").coalesce(1).write.mode("append").parquet(f"{base}/in")
     ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/cp").awaitTermination()
-    stored = spark.read.parquet(f"{base}/out/docs")
-    assert stored.count() == 60 and stored.select("doc_id").distinct().count() == 60
+    papers = {r.doc_id: r.parse_status for r in read_intake(spark, f"{base}/out", "papers").collect()}
+    assert read_intake(spark, f"{base}/out", "papers").count() == len(papers) == 63
+    assert papers[1000] == papers[1001] == "failed" and papers[1002] == "processed"
+    batch = normalize_heading_levels(process_corpus(docs.where("doc_id < 60").unionByName(odd.where("doc_id = 1002"))))
+    rows = lambda df: sorted(map(str, df.select("doc_id", "element_index", "type", "level", "section_title", "text", "summary").collect()))
+    assert rows(read_intake(spark, f"{base}/out", "elements")) == rows(batch)
+    assert read_intake(spark, f"{base}/out", "overviews").count() == batch.select("doc_id").distinct().count()
+
+
+def test_a_broken_batch_is_not_seen(spark, tmp_path, monkeypatch):
+    """A batch that stops before its commit shows nothing, and the next run of the stream does it once."""
+    from quire.streaming import intake
+
+    base, plain = str(tmp_path), intake._tables
+    paper_docs(spark, DATA).where("doc_id < 4").coalesce(1).write.parquet(f"{base}/in")
+
+    def broken(*args):
+        tables = plain(*args)
+        tables["overviews"] = tables["overviews"].select(F.raise_error(F.lit("lost")).alias("x"))
+        return tables
+
+    monkeypatch.setattr(intake, "_tables", broken)
+    with pytest.raises(Exception):
+        ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/cp").awaitTermination()
+    with pytest.raises(ValueError):
+        read_intake(spark, f"{base}/out", "elements")
+    monkeypatch.setattr(intake, "_tables", plain)
+    ingest_stream(spark, f"{base}/in", f"{base}/out", f"{base}/cp").awaitTermination()
+    assert read_intake(spark, f"{base}/out", "papers").count() == 4
 
 
 def test_infer_isolates_a_bad_prompt(spark):
