@@ -11,7 +11,7 @@ from quire.plans import derived as V
 from quire.plans import duck as D
 from quire.plans.q_blocks import CAPTION_NUMBERED
 from quire.plans.q_text import BLOCKS, blocks
-from quire.session import materialize
+from quire.session import stored
 
 NOT_WS = f"[^{D.SPACES}]"
 ALPHA = rf"^(?:[A-Z]\.|\([a-zA-Z]\)){D.WS}+{NOT_WS}"
@@ -136,7 +136,7 @@ def drafts(spark, folder):
 
 def _built(spark, folder):
     """Drafts are written out once, as model answers would be, because building reads them more than once."""
-    return _flat(building.build_elements(materialize(drafts(spark, folder))))
+    return _flat(building.build_elements(stored(drafts(spark, folder), "drafts")))
 
 
 def _flag(rule):

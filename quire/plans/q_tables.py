@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import functions as F
@@ -63,8 +64,26 @@ def _status(spark, folder):
 
 
 def _processed(spark, folder):
-    elements = process_corpus(V.paper_docs(spark, folder))
-    return elements.groupBy("type").agg(F.count("*").alias("n_elements"), F.countDistinct("doc_id").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
+    return process_corpus(V.paper_docs(spark, folder)).select("doc_id", "element_index", "type", "section_title", "text", "summary")
+
+
+def echo_model(prompts):
+    """Every passage comes back as one paragraph and, where it is long, its halves as a list."""
+    out = []
+    for prompt in prompts:
+        text = prompt.split("Passage:\n", 1)[1]
+        half = len(text) // 2
+        elements = [{"type": "paragraph", "text": text, "summary": text[:40], "key_points": [text[:20]]}]
+        if len(text) > 400:
+            elements.append({"type": "bullet_list", "intro_text": "", "items": [text[:half], text[half:]], "summary": "", "key_points": []})
+        out.append((json.dumps({"elements": elements}), len(prompt), 1))
+    return out
+
+
+def _aligned(spark, folder):
+    """The whole job: model answers, elements, and their places on the derived pages."""
+    rows = process_corpus(V.paper_docs(spark, folder), V.pages(spark, folder), echo_model)
+    return rows.select("doc_id", "element_index", "type", "text", "page_number", F.to_json("pdf_rects").alias("pdf_rects"), "match_confidence")
 
 
 def _upserted(spark, folder):
@@ -107,6 +126,7 @@ QUERIES = {
     "delete_papers": _deleted,
     "parse_status": _status,
     "process_corpus": _processed,
+    "process_and_align": _aligned,
 }
 ORACLES = {
     "intake": "SELECT page_id AS doc_id, 'f' || page_id || CASE page_id % 3 WHEN 0 THEN '.Pdf' ELSE '.pdf' END AS title, 'processing' AS parse_status, 'not_started' AS zh_status FROM pages WHERE page_id % 3 <> 1",
@@ -137,5 +157,5 @@ ORACLES = {
       UNION ALL SELECT 'pdf_highlights', count(*) FROM pdf_highlights WHERE doc_id NOT IN (SELECT doc_id FROM ids)""",
     "parse_status": f"WITH {PAPERS} SELECT doc_id, CASE WHEN doc_id IN (SELECT user_id FROM events WHERE event_type = 'error') THEN 'failed' ELSE 'processed' END AS parse_status FROM papers",
     "process_corpus": f"""{CHUNKS}{fallback_ctes('chunks', '')}, drafts AS (SELECT * FROM fallback_rows){building_ctes('chunks')}
-      SELECT type, count(*) AS n_elements, count(DISTINCT doc_id) AS n_docs, sum(length(text)) AS n_chars FROM built GROUP BY 1""",
+      SELECT doc_id, element_index, type, section_title, text, summary FROM built""",
 }

@@ -40,14 +40,6 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="quire-checkpoint-")
 
 
-def materialize(df):
-    """Cut lineage at a stage border with a reliable checkpoint in the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df, name: str):
     """Cut lineage at a stage border with a Parquet table in the shared folder; later reads are pruned to their columns."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quire/{name}-{uuid.uuid4().hex}"
