@@ -139,7 +139,18 @@ def _near(spark, folder, headed=True):
 
 def _match_columns(df):
     return df.select("doc_id", "t", "page_number", F.round("score", 6).alias("score"), F.col("match.match_confidence").alias("confidence"),
-                     F.size("match.pdf_locations").alias("n_locations"))
+                     F.size("match.pdf_locations").alias("n_locations"), _places().alias("places"))
+
+
+def _places():
+    """Page and corner of every location, in order."""
+    return F.array_join(F.transform("match.pdf_locations", lambda x: F.format_string("%d:%.4f:%.4f", x["page"], F.get(x["bbox"], F.lit(0)), F.get(x["bbox"], F.lit(1)))), ",")
+
+
+def _bullet_items(spark, folder):
+    pages, targets = _pages(spark, folder), _targets(spark, folder)
+    found = A.match_bullet_boxes(A.locate(targets, pages), pages)
+    return found.join(targets, ["doc_id", "tkey"]).select("doc_id", "t", F.col("match.page_number").alias("page_number"), F.col("match.match_confidence").alias("confidence"), _places().alias("places"))
 
 
 def _indexed(spark, folder):
@@ -264,10 +275,12 @@ QUERIES = {
     "match_paragraphs": _matched,
     "fuzzy_window_match": lambda spark, folder: A.fuzzy_window_match(A.locate(_targets(spark, folder), _pages(spark, folder)), _pages(spark, folder)).select(
         "doc_id", "t", "match.match_confidence", "match.page_number"),
+    "match_bullet_item": _bullet_items,
     "match_bullet_list": _lists,
     "match_headings": _headings,
 }
 
+_PLACE = "printf('%d:%.4f:%.4f', {}, x.x0, x.y0)"
 _MATCH = "doc_id, t, page_number, round(score, 6) AS score, confidence, nb AS n_locations"
 ORACLES = {
     "load_page_boxes": f"{BOXES} SELECT doc_id, page_number, box_ord, block_index, class, pos_start, pos_stop, text, norm, x0 FROM page_boxes",
@@ -288,8 +301,18 @@ ORACLES = {
                  "lambda p: length(substr(t, 2, 3)) > 0 AND t[p + 1:p + length(substr(t, 2, 3))] = substr(t, 2, 3)), ',') AS places FROM pairs",
     "box_at": f"""{ANCHORS}, held AS (SELECT DISTINCT h.doc_id, h.t, h.page_number, b.bi FROM head_hits h JOIN body b ON b.doc_id = h.doc_id AND b.page_number = h.page_number AND h.hpos >= b.start_ AND h.hpos < b.stop_)
       SELECT doc_id, t, page_number, string_agg(bi::VARCHAR, ',' ORDER BY bi) AS boxes FROM held GROUP BY 1, 2, 3""",
-    "head_tail_match": f"{HEAD_TAIL} SELECT {_MATCH} FROM head_tail",
-    "head_only_match": f"{HEAD_ONLY} SELECT {_MATCH} FROM head_only",
+    "head_tail_match": f"""{HEAD_TAIL} SELECT {_MATCH}, (SELECT string_agg({_PLACE.format('x.page_number')}, ',' ORDER BY x.bi) FROM body x WHERE x.doc_id = h.doc_id AND x.page_number = h.page_number AND x.bi BETWEEN h.i AND h.j) AS places FROM head_tail h""",
+    "head_only_match": f"""{HEAD_ONLY}, spots AS (SELECT c.doc_id, c.t, c.page_number, c.i, string_agg({_PLACE.format('c.bp')}, ',' ORDER BY c.bp, c.bi) AS places
+      FROM collected c JOIN body x ON x.doc_id = c.doc_id AND x.page_number = c.bp AND x.bi = c.bi GROUP BY 1, 2, 3, 4) SELECT {_MATCH}, places FROM head_only JOIN spots USING (doc_id, t, page_number, i)""",
+    "match_bullet_item": f"""{TARGETS},
+      bullet_rows AS (SELECT doc_id, page_number, norm, n_words, x0, y0, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY box_ord) - 1 AS i FROM indexed WHERE is_bullet),
+      bullet_runs AS (SELECT doc_id, page_number, i, 1 AS n, norm AS c, n_words AS cw, {_PLACE.format('page_number').replace('x.', '')} AS places FROM bullet_rows
+        UNION ALL SELECT a.doc_id, a.page_number, a.i, 2, a.norm || ' ' || b.norm, a.n_words + b.n_words, {_PLACE.format('a.page_number').replace('x.', 'a.')} || ',' || {_PLACE.format('b.page_number').replace('x.', 'b.')}
+        FROM bullet_rows a JOIN bullet_rows b ON b.doc_id = a.doc_id AND b.page_number = a.page_number AND b.i = a.i + 1),
+      bullet_grades AS (SELECT k.doc_id, k.t, k.target_words, p.*  EXCLUDE (doc_id), greatest({match_score('k.t', 'p.c')}, {D.overlap(D.distinct_tokens('k.t'), D.distinct_tokens('p.c'))} * 0.85) AS score
+        FROM near k JOIN bullet_runs p ON p.doc_id = k.doc_id AND p.page_number = k.page_number),
+      bullet_top AS (SELECT * FROM bullet_grades WHERE score >= 0.35 QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY score DESC, page_number, i, n) = 1)
+      SELECT doc_id, t, page_number, replace({conf('cw', 'target_words')}, 'high', 'medium') AS confidence, places FROM bullet_top""",
     "extend_across_pages": f"{HEAD_ONLY} SELECT c.doc_id, c.t, c.page_number, count(DISTINCT bp) AS n_pages FROM collected c JOIN head_only h USING (doc_id, t, page_number, i) GROUP BY 1, 2, 3",
     "dedupe_rects": f"{_MOVED} SELECT p.doc_id, p.page_number, coalesce(string_agg(printf('%.4f:%.4f', x0, y0), ',' ORDER BY k) FILTER (WHERE rn = 1), '') AS rects FROM all_pages p LEFT JOIN firsts f ON f.doc_id = p.doc_id AND f.page_number = p.page_number GROUP BY 1, 2",
     "locations": f"{_MOVED} SELECT p.doc_id, p.page_number, coalesce(string_agg(printf('%.4f:%.4f', x0, y0), ',' ORDER BY k) FILTER (WHERE rn = 1), '') AS rects FROM all_pages p LEFT JOIN firsts f ON f.doc_id = p.doc_id AND f.page_number = p.page_number GROUP BY 1, 2",
