@@ -187,6 +187,22 @@ def touched_sections(edits: DataFrame) -> DataFrame:
     return edits.where(filled(F.col("section_title")).isNotNull()).select("doc_id", "section_title").distinct()
 
 
+def section_refresh_lines(elements: DataFrame, touched: DataFrame) -> DataFrame:
+    """E-6 as evidence lines (doc_id, section_title, lang, place, line); sections without a summary have none."""
+    key = ["doc_id", "section_title"]
+    rows = elements.where(F.col("type").isin(*BODY)).join(touched, key, "left_semi").select(
+        *key, F.col("element_index").alias("place"), filled(F.col("summary")).alias("en"), filled(F.col("summary_zh")).alias("zh"))
+    counts = rows.groupBy(*key).agg(F.count("en").alias("_en"), F.count("zh").alias("_zh")).where("_en > 0")
+    zh = F.when(F.col("_zh") > 0, F.col("zh")).otherwise(F.col("en"))
+    both = F.array(F.struct(F.lit("en").alias("lang"), F.col("en").alias("s")), F.struct(F.lit("zh").alias("lang"), zh.alias("s")))
+    return rows.join(counts, key).select(*key, "place", F.inline(both)).where("s IS NOT NULL").select(*key, "lang", "place", F.concat(F.lit("- "), F.col("s")).alias("line"))
+
+
+def section_refresh_head(title: Column, lang: Column) -> Column:
+    """What stands before the lines in a request of E-7."""
+    return F.concat(F.when(lang == "en", SECTION_INSTRUCTION).otherwise(SECTION_INSTRUCTION_ZH), F.lit("\n\nSection: "), title, F.lit("\n\nSummaries:\n"))
+
+
 def section_refresh_source(elements: DataFrame, touched: DataFrame) -> DataFrame:
     """E-6: the ordered summaries of the touched sections; zh falls back to en, none is skipped."""
     rows = elements.where(F.col("type").isin(*BODY)).join(touched, ["doc_id", "section_title"], "left_semi")
@@ -197,12 +213,11 @@ def section_refresh_source(elements: DataFrame, touched: DataFrame) -> DataFrame
 
 def section_refresh_prompts(source: DataFrame) -> DataFrame:
     """E-7: one English and one Chinese request per touched section."""
-    def prompt(instruction: str, lines: str) -> Column:
+    def prompt(lang: str, lines: str) -> Column:
         listed = F.array_join(F.transform(lines, lambda s: F.concat(F.lit("- "), s)), "\n")
-        return F.concat(F.lit(f"{instruction}\n\nSection: "), F.col("section_title"), F.lit("\n\nSummaries:\n"), listed)
+        return F.concat(section_refresh_head(F.col("section_title"), F.lit(lang)), listed)
 
-    both = F.array(F.struct(F.lit("en").alias("lang"), prompt(SECTION_INSTRUCTION, "summaries").alias("prompt")),
-                   F.struct(F.lit("zh").alias("lang"), prompt(SECTION_INSTRUCTION_ZH, "summaries_zh").alias("prompt")))
+    both = F.array(*[F.struct(F.lit(lang).alias("lang"), prompt(lang, lines).alias("prompt")) for lang, lines in (("en", "summaries"), ("zh", "summaries_zh"))])
     return source.select("doc_id", "section_title", F.inline(both))
 
 

@@ -1,7 +1,8 @@
 """Section and document roll-ups (O-1..O-8, O-10, O-11).
 
 Section membership is a running count over a document's elements, done with tiled scans.
-Evidence texts are ordered aggregates: their size is the size of the result cell itself.
+Evidence is a relation of lines; ``evidence.answer_whole`` asks for it in parts of bounded length. ``overview_source``, ``overview_prompts`` and
+``section_prompts`` show it as one text, whose size is the size of the result cell itself.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quire.functions.arrays import inline_rows, numbered_rows
 from quire.functions.jsontext import extract_json, item_texts, member_list, member_text
 from quire.functions.text import filled, section_key, section_key_ui, strip
+from quire.operators.evidence import TAG
 from quire.operators.scan import running, tile_of
 
 OVERVIEW_INSTRUCTION = (
@@ -19,6 +21,13 @@ OVERVIEW_INSTRUCTION = (
     "(element_id, title, summary for each of them). Use nothing but the evidence."
 )
 SECTION_INSTRUCTION = "Summarise one section from the evidence lines below. Answer with one JSON object holding \"summary\"."
+SECTION_KEYS = ["doc_id", "section_no", "section_title"]
+OVERVIEW_HEAD = f"{OVERVIEW_INSTRUCTION}\n\nEvidence:\n"
+
+
+def section_head(title: Column) -> Column:
+    """What stands before the evidence in a section's prompt."""
+    return F.concat(F.lit(f"{SECTION_INSTRUCTION}\n\nSection: "), title, F.lit("\n\nEvidence:\n"))
 
 
 def _line(c: Column, prefix: Column | str) -> Column:
@@ -38,26 +47,35 @@ def _evidence(summary: Column | str, points: Column | str) -> Column:
     return _present(F.concat(own, kps))
 
 
-def _joined_lines(rows: DataFrame, keys: list[str], lines: Column, out: str) -> DataFrame:
-    """Concatenate line arrays in element order; elements without lines add nothing."""
-    parts = rows.select(*keys, "element_index", F.array_join(lines, "\n").alias("_part"), F.size(lines).alias("_n")).where(F.col("_n") > 0)
-    return parts.groupBy(*keys).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("element_index", "_part"))), lambda x: x["_part"]), "\n").alias(out))
+def _placed_lines(rows: DataFrame, keys: list[str], lines: Column) -> DataFrame:
+    """(keys, place, line) with the lines of an element as one; elements without lines add nothing."""
+    return rows.select(*keys, F.col("element_index").alias("place"), F.array_join(lines, "\n").alias("line"), F.size(lines).alias("_n")).where(F.col("_n") > 0).drop("_n")
 
 
-def overview_source(elements: DataFrame) -> DataFrame:
-    """O-1: the evidence text of each document."""
+def _joined_lines(lines: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Concatenate the lines of each key in order."""
+    return lines.groupBy(*keys).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias(out))
+
+
+def overview_lines(elements: DataFrame) -> DataFrame:
+    """O-1: the evidence of each document as (doc_id, place, line)."""
     tag = F.concat(F.lit("[ELEMENT "), F.col("element_index").cast("string"))
     heading = _present(F.array(_line(F.col("text"), F.concat(F.lit("[HEADING|"), F.coalesce(strip(F.col("level")), F.lit("")), F.lit("] ")))))
     body = _evidence(F.concat(tag, F.lit(" SUMMARY] ")), F.concat(tag, F.lit(" KEYPOINT] ")))
     lines = F.when(F.col("type") == "heading", heading).otherwise(body)
-    source = _joined_lines(elements, ["doc_id"], lines, "source")
+    return _placed_lines(elements, ["doc_id"], lines)
+
+
+def overview_source(elements: DataFrame) -> DataFrame:
+    """O-1: the evidence text of each document."""
+    source = _joined_lines(overview_lines(elements), ["doc_id"], "source")
     return elements.select("doc_id").distinct().join(source, "doc_id", "left").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
 
 
 def overview_prompts(elements: DataFrame) -> DataFrame:
     """O-2."""
-    return overview_source(elements).select("doc_id", F.concat(F.lit(f"{OVERVIEW_INSTRUCTION}\n\nEvidence:\n"), F.col("source")).alias("prompt"))
+    return overview_source(elements).select("doc_id", F.concat(F.lit(OVERVIEW_HEAD), F.col("source")).alias("prompt"))
 
 
 def parse_overview(responses: DataFrame) -> DataFrame:
@@ -104,21 +122,22 @@ def _first_two(keys: list[str], rows: DataFrame, out: str) -> DataFrame:
         two(F.flatten(F.collect_list("top"))), lambda x: x["s"]), " ").alias(out))
 
 
+def section_lines(sections: DataFrame) -> DataFrame:
+    """O-5: the evidence of ``group_sections`` rows."""
+    return _placed_lines(sections, SECTION_KEYS, _evidence(TAG, "[KEYPOINT] "))
+
+
 def section_prompts(elements: DataFrame) -> DataFrame:
     """O-5."""
     rows = group_sections(elements)
-    keys = ["doc_id", "section_no", "section_title"]
-    source = _joined_lines(rows, keys, _evidence("[SUMMARY] ", "[KEYPOINT] "), "source")
-    return rows.select(*keys).distinct().join(source, keys, "left").select(*keys, F.concat(
-        F.lit(f"{SECTION_INSTRUCTION}\n\nSection: "), F.col("section_title"), F.lit("\n\nEvidence:\n"), F.coalesce("source", F.lit(""))).alias("prompt"))
+    source = _joined_lines(section_lines(rows), SECTION_KEYS, "source")
+    return rows.select(*SECTION_KEYS).distinct().join(source, SECTION_KEYS, "left").select(
+        *SECTION_KEYS, F.concat(section_head(F.col("section_title")), F.coalesce("source", F.lit(""))).alias("prompt"))
 
 
-def abstract_prompts(elements: DataFrame) -> DataFrame:
-    """O-7: one request per document that has abstract elements, in the form of a section's."""
-    rows = abstract_elements(elements)
-    source = _joined_lines(rows, ["doc_id"], _evidence("[SUMMARY] ", "[KEYPOINT] "), "source")
-    return rows.select("doc_id").distinct().join(source, "doc_id", "left").select("doc_id", F.concat(
-        F.lit(f"{SECTION_INSTRUCTION}\n\nSection: ABSTRACT\n\nEvidence:\n"), F.coalesce("source", F.lit(""))).alias("prompt"))
+def abstract_lines(abstracts: DataFrame) -> DataFrame:
+    """O-7: the evidence of ``abstract_elements`` rows, in the form of a section's."""
+    return _placed_lines(abstracts, ["doc_id"], _evidence(TAG, "[KEYPOINT] "))
 
 
 def section_summaries(elements: DataFrame, responses: DataFrame | None = None) -> DataFrame:

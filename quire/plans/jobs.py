@@ -13,6 +13,7 @@ from quire.operators import overview as O
 from quire.operators import translate as X
 from quire.operators.answers import ask
 from quire.operators.drafting import BatchFn, bullet_prompts, bullet_source, paragraph_prompts, parse_fields
+from quire.operators.evidence import LIMIT, answer_whole, parts
 from quire.session import stored
 
 
@@ -65,11 +66,16 @@ def retranslate(elements: DataFrame, fn: BatchFn, store: str | None = None) -> D
 def refresh_sections(before: DataFrame, after: DataFrame, touched: DataFrame, fn: BatchFn, store: str | None = None) -> DataFrame:
     """E-6, E-7: (doc_id, section_title, summary, summary_zh) of touched sections whose summaries are no longer what they were."""
     key = ["doc_id", "section_title"]
-    digest = F.sha2(F.to_json(F.struct("summaries", "summaries_zh")), 256)
-    now = stored(E.section_refresh_source(after, touched).withColumn("_hash", digest), "section-sources")
-    then = E.section_refresh_source(before, touched).select(*key, digest.alias("_hash"))
-    changed = now.join(then, [*key, "_hash"], "left_anti").drop("_hash")
-    answers = ask(E.section_refresh_prompts(changed), fn, store).where("error IS NULL")
+
+    def fingerprint(lines: DataFrame) -> DataFrame:
+        # part numbers follow from the text alone, so equal evidence has equal parts
+        return parts(lines, [*key, "lang"]).groupBy(*key).agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("lang", "part", "source")).alias("_hash"))
+
+    now = stored(E.section_refresh_lines(after, touched), "section-lines")
+    changed = stored(fingerprint(now).join(fingerprint(E.section_refresh_lines(before, touched)), [*key, "_n", "_hash"], "left_anti").select(*key), "changed-sections")
+    lines = now.join(changed, key, "left_semi")
+    head = E.section_refresh_head(F.col("section_title"), F.col("lang"))
+    answers = answer_whole(lines.select(*key, "lang").distinct(), lines, head, fn, store).where("error IS NULL")
     text = strip(F.coalesce(member_text(F.parse_json(extract_json(F.col("content"))), "summary"), F.lit("")))
     both = answers.withColumn("_s", text).groupBy(*key).agg(
         F.max(F.when(F.col("lang") == "en", F.col("_s"))).alias("summary"), F.max(F.when(F.col("lang") == "zh", F.col("_s"))).alias("summary_zh"))
@@ -180,23 +186,25 @@ def translation_job(papers: DataFrame, elements: DataFrame, overviews: DataFrame
     return Translated(X.apply_translations(elements, translations), overviews.join(good, "doc_id", "left_anti").unionByName(merged, allowMissingColumns=True), next_papers, work)
 
 
-def overview_job(elements: DataFrame, documents: DataFrame, fn: BatchFn, store: str | None = None, **how) -> tuple[DataFrame, DataFrame]:
+def overview_job(elements: DataFrame, documents: DataFrame, fn: BatchFn, store: str | None = None, limit: int = LIMIT, **how) -> tuple[DataFrame, DataFrame]:
     """O-8: (overviews, failures) of ``documents`` (``doc_id``): section, abstract and document summaries, then their translation.
 
     Every level asks through the answer store: a repeated run, or one after a lost one, asks only for what has no answer yet. ``failures`` holds
     (doc_id, reason): ``no_elements``, ``overview_failed`` or ``translation_failed``; such documents get no new row. A section or abstract whose own
-    call failed falls back to its first summaries.
+    call failed falls back to its first summaries. Evidence of more than ``limit`` characters is asked for in parts.
     """
     wanted = stored(documents.select("doc_id").where("doc_id IS NOT NULL").distinct(), "overview-documents")
     own = stored(elements.join(wanted, "doc_id", "left_semi"), "overview-elements")
-    asked = lambda prompts, name: stored(ask(prompts, fn, store, **how), name)
-    overall = asked(O.overview_prompts(own), "overview-answers")
-    sections = asked(O.section_prompts(own), "section-answers")
-    abstracts = asked(O.abstract_prompts(own), "abstract-answers")
+    asked = lambda base, lines, head, name: stored(answer_whole(base.distinct(), lines, head, fn, store, limit, **how), name)
+    overall = asked(own.select("doc_id"), O.overview_lines(own), F.lit(O.OVERVIEW_HEAD), "overview-answers")
+    grouped = stored(O.group_sections(own), "overview-sections")
+    sections = asked(grouped.select(*O.SECTION_KEYS), O.section_lines(grouped), O.section_head(F.col("section_title")), "section-answers")
+    first = stored(O.abstract_elements(own), "overview-abstracts")
+    abstracts = asked(first.select("doc_id"), O.abstract_lines(first), O.section_head(F.lit("ABSTRACT")), "abstract-answers")
     answered = overall.where("error IS NULL").select("doc_id", "content")
     good = own.join(answered.select("doc_id"), "doc_id", "left_semi")
     fresh = stored(O.regenerate_overviews(good, answered, sections.select("doc_id", "section_no", "content"), abstracts.select("doc_id", "content")), "overviews")
-    texts = asked(X.overview_translation_prompts(fresh), "overview-translations")
+    texts = stored(ask(X.overview_translation_prompts(fresh), fn, store, **how), "overview-translations")
     done = texts.where("error IS NULL").select("doc_id", "content")
     overviews = X.merge_overview_translation(fresh.join(done.select("doc_id"), "doc_id", "left_semi"), X.parse_overview_translations(done))
     reason = lambda df, text: df.select("doc_id", F.lit(text).alias("reason"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.operators import overview as O
+from quire.operators.evidence import parts
 from quire.plans import derived as V
 from quire.plans import duck as D
 
@@ -74,10 +75,26 @@ def _jump(spark, folder):
     return O.section_jump(summaries, elements(spark, folder)).select("doc_id", "position", "section_title", F.coalesce("target_index", F.lit(-1)).alias("target_index"))
 
 
+#: Evidence per part in the queries, short enough that documents and sections are cut.
+PART = 600
+
+
+def _parts_sql(keys: str) -> str:
+    """Parts of ``placed`` (keys, place, line) by running lengths."""
+    half = PART // 2
+    return f"""sized AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY {keys} ORDER BY place) - length(line) - 1 AS start, sum(length(line) + 1) OVER (PARTITION BY {keys}) - 1 AS total FROM placed),
+pieces AS (SELECT *, unnest(range(0, CASE WHEN total > {PART} THEN (greatest(length(line), 1) + {half} - 1) // {half} ELSE 1 END)) AS i FROM sized),
+dealt AS (SELECT {keys}, place, i, CASE WHEN total > {PART} THEN (start + i * {half}) // {half} ELSE 0 END AS part, CASE WHEN total > {PART} THEN substr(line, i * {half} + 1, {half}) ELSE line END AS text FROM pieces),
+joined AS (SELECT {keys}, part, string_agg(CASE WHEN i = 0 THEN chr(10) ELSE '' END || text, '' ORDER BY place, i) AS source, first(i ORDER BY place, i) AS i0 FROM dealt GROUP BY {keys}, part)
+SELECT {keys}, CAST(part AS BIGINT) AS part, CASE WHEN i0 = 0 THEN substr(source, 2) ELSE source END AS source FROM joined"""
+
+
 _PROMPT = D.q(f"{O.SECTION_INSTRUCTION}\n\nSection: ")
 QUERIES = {
     "overview_source": lambda spark, folder: O.overview_source(elements(spark, folder)),
     "overview_prompts": lambda spark, folder: O.overview_prompts(elements(spark, folder)),
+    "overview_parts": lambda spark, folder: parts(O.overview_lines(elements(spark, folder)), ["doc_id"], PART),
+    "section_parts": lambda spark, folder: parts(O.section_lines(O.group_sections(elements(spark, folder))), O.SECTION_KEYS, PART),
     "parse_overview": lambda spark, folder: O.parse_overview(overview_answers(spark, folder)).select(
         "doc_id", "overall_summary", F.array_join("overall_key_points", "|").alias("points"), F.size("highlight_ids").alias("n_ids"), F.size("highlights").alias("n_highlights")),
     "group_sections": lambda spark, folder: O.group_sections(elements(spark, folder)).select("doc_id", "section_no", "section_title", "element_index"),
@@ -91,6 +108,9 @@ QUERIES = {
 ORACLES = {
     "overview_source": f"{SOURCE} SELECT doc_id, source FROM sources",
     "overview_prompts": f"{SOURCE} SELECT doc_id, {D.q(O.OVERVIEW_INSTRUCTION + chr(10) * 2 + 'Evidence:' + chr(10))} || source AS prompt FROM sources",
+    "overview_parts": f"{SOURCE}, placed AS (SELECT doc_id, element_index AS place, array_to_string(ls, chr(10)) AS line FROM evidence WHERE len(ls) > 0), {_parts_sql('doc_id')}",
+    "section_parts": f"""{SECTIONS}, placed AS (SELECT doc_id, section_no, section_title, element_index AS place, array_to_string(ls, chr(10)) AS line
+      FROM (SELECT *, {_evidence("'[SUMMARY] '", "'[KEYPOINT] '")} AS ls FROM grouped) WHERE len(ls) > 0), {_parts_sql('doc_id, section_no, section_title')}""",
     "parse_overview": f"{OVERVIEWS} SELECT doc_id, overall_summary, array_to_string(overall_key_points, '|') AS points, len(highlight_ids) AS n_ids, len(highlights) AS n_highlights FROM overviews",
     "group_sections": f"{SECTIONS} SELECT doc_id, section_no, section_title, element_index FROM grouped",
     "section_prompts": f"{SECTIONS} SELECT doc_id, section_no, section_title, {_PROMPT} || section_title || {D.q(chr(10) * 2 + 'Evidence:' + chr(10))} || source AS prompt FROM sec",
