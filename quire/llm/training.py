@@ -1,7 +1,7 @@
 """Training-order materialisation: token sequences in a keyed global order, in fixed-stride binary shards.
 
 Documents are encoded and packed, task by task, into sequences of exactly ``length`` token ids (two bytes each, little endian), a
-separator after every document. A first pass counts each task's sequences; the running sums give every sequence its number. A keyed
+separator after every document, and stored. Running sums of each task's sequences give every sequence its number. A keyed
 Feistel permutation with cycle-walking maps the number to a global slot, and ranges of slots are shards. Every record of a shard has
 the same stride (the ids and one line end), so a reader seeks straight to any slot and reads on from there.
 
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quire.llm.common import shared_folder
+from quire.llm.common import release, shared_folder
 
 ROUNDS = 4
+LAYOUT = "path string, sequences bigint, length int, per_shard int, key bigint, stride int"
 
 
 def _round(x: np.ndarray, key: int, r: int) -> np.ndarray:
@@ -112,47 +113,61 @@ def _packed(ranks: bytes, pattern: str, separator: int, length: int, batches: It
         yield np.frombuffer(rest + end * (length - len(rest) // 2), dtype="<u2").reshape(1, length)
 
 
-def write_shards(docs: DataFrame, path: str, ranks: bytes, pattern: str, separator: int = 50256, length: int = 256, per_shard: int = 16384,
-                 key: int = 1, text: str = "text") -> dict:
-    """Write the sequences of all texts as shards below ``path`` and return their layout.
+def _encoded(texts: DataFrame, ranks: bytes, pattern: str, separator: int, length: int) -> DataFrame:
+    """(task, at, ids): the sequences of each task in order, encoded once and stored compressed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, at = TaskContext.get().partitionId(), 0
+        for m in _packed(ranks, pattern, separator, length, batches):
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(m), [None, pa.py_buffer(np.ascontiguousarray(m))])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), task, np.int32)), pa.array(np.arange(at, at + len(m))), rows.cast(pa.binary())], ["task", "at", "ids"])
+            at += len(m)
+
+    schema, path = "task int, at bigint, ids binary", shared_folder(texts.sparkSession, "sequences")
+    texts.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    return texts.sparkSession.read.schema(schema).parquet(path)
 
-    ``docs`` must come straight from files, whose splits give the same rows in the same order each time they are read; a task that finds
-    another number of sequences in the second pass than in the first fails the job. NULL and empty texts give nothing; repeated rows
-    are encoded each; no text at all gives no shard. Ids are below 65536.
-    """
-    texts = docs.select(F.col(text).cast("string"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(len(m) for m in _packed(ranks, pattern, separator, length, batches))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["task", "n"])
+def write_shards(docs: DataFrame, path: str, ranks: bytes, pattern: str, separator: int = 50256, length: int = 256, per_shard: int = 16384,
+                 key: int = 1, text: str = "text", tasks: int = 20_000) -> dict:
+    """Write the sequences of all texts as shards below ``path``, then their layout, and return it.
 
-    sizes = {r["task"]: r["n"] for r in texts.mapInArrow(count, "task int, n bigint").collect()}
+    Texts are encoded once; the stored sequences are numbered, permuted and sent to the task of their range of slots: one shard, or, beyond ``tasks``
+    shards, several that follow each other. The store is given back at the end. The layout is written last, so a folder with a layout is whole.
+    NULL and empty texts give nothing; repeated rows are encoded each; no text at all gives no shard; other columns are not read. Ids are below 65536.
+    """
+    spark = docs.sparkSession
+    kept = _encoded(docs.select(F.col(text).cast("string")), ranks, pattern, separator, length)
+    sizes = {r["task"]: r["count"] for r in kept.groupBy("task").count().collect()}  # one row per task
     bases = dict(zip(sorted(sizes), accumulate([0] + [sizes[t] for t in sorted(sizes)])))
     total = sum(sizes.values())
     layout = {"path": path, "sequences": total, "length": length, "per_shard": per_shard, "key": key, "stride": 2 * length + 1}
-    if not total:
-        return layout
-    plan = docs.sparkSession.sparkContext.broadcast((bases, sizes))
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
-        bases, sizes = plan.value
-        number, end = bases[task], bases[task] + sizes[task]
-        for m in _packed(ranks, pattern, separator, length, batches):
-            for at in range(0, len(m), 4096):
-                part = m[at:at + 4096]
-                slots = permute(np.arange(number, number + len(part)), total, key)
-                number += len(part)
-                rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * length), len(part), [None, pa.py_buffer(np.ascontiguousarray(part))])
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), rows.cast(pa.binary())], ["slot", "shard", "ids"])
-        if number != end:
-            raise RuntimeError("the texts were not read as in the first pass; give a table that lies in files")
-
-    placed = texts.mapInArrow(place, "slot bigint, shard int, ids binary").repartition(-(-total // per_shard), "shard")
-    placed.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    if total:
+        shards = -(-total // per_shard)
+        together = -(-shards // tasks)
+        base = spark.sparkContext.broadcast(bases)
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = base.value
+            for batch in batches:
+                task, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                names, inverse = np.unique(task, return_inverse=True)
+                numbers = at + np.array([first[t] for t in names.tolist()], dtype=np.int64)[inverse] if len(at) else at
+                yield pa.RecordBatch.from_arrays([pa.array(permute(numbers, total, key)), batch.column(2)], ["slot", "ids"])
+
+        shard = F.floor(F.col("slot") / per_shard).cast("int")
+        placed = kept.mapInArrow(place, "slot bigint, ids binary").select("slot", shard.alias("shard"), "ids")
+        ranges = placed.repartitionById(-(-shards // together), F.floor(F.col("shard") / together).cast("int"))
+        ranges.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").text(path)
+    release(kept)
+    spark.createDataFrame([layout], LAYOUT).coalesce(1).write.json(f"{path}/_layout")
     return layout
 
 
+def read_layout(spark: SparkSession, path: str) -> dict:
+    """The layout of shards that were written to ``path``, also by another session."""
+    return spark.read.schema(LAYOUT).json(f"{path}/_layout").first().asDict() | {"path": path}
+
+
 def locate(layout: dict, slot: int) -> tuple[int, int]:
     """(shard, byte offset) at which reading resumes."""
     return slot // layout["per_shard"], slot % layout["per_shard"] * layout["stride"]

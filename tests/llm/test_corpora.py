@@ -233,6 +233,18 @@ def test_training_shards(spark):
     assert np.frombuffer(b"".join(bytes(r.ids) for r in rows), dtype="<u2").tolist() == stream
     assert sorted(r.slot for r in rows) == list(range(layout["sequences"])) and all((r.shard, r.offset) == training.locate(layout, r.slot) for r in rows)
     assert {r.slot for r in training.read_shards(spark, layout, first=6).collect()} == set(range(6, layout["sequences"]))
+    assert training.read_layout(spark, f"{folder}/shards") == layout
+    # several shards in a task, columns with the names of the results, rows that lie in no file
+    named = spark.createDataFrame([(i, f"text number {i} of some words", 1, 2) for i in range(60)], "shard int, text string, task int, slot int").repartition(3)
+    wide = training.write_shards(named, f"{folder}/wide", ranks, public_tokenizers.PATTERN, length=8, per_shard=4, tasks=3)
+    assert sorted(r.slot for r in training.read_shards(spark, wide).collect()) == list(range(wide["sequences"])) and wide["sequences"] > 48
+    # against the library
+    import tiktoken
+
+    table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+    odd = [t for _, t in texts if t] + ["It's 12345 ½ ² Ⅻ days\u2028 later\x1c!", "漢字 かな 한국어 \U0001f600", "a_b  c\t\n d"]
+    assert [encoder.ids(t) for t in odd] == [library.encode_ordinary(t) for t in odd]
     nothing = training.write_shards(docs.where("text is null"), f"{folder}/none", ranks, public_tokenizers.PATTERN)
     assert training.read_shards(spark, nothing).count() == 0
 
