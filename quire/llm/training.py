@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quire.llm.common import release, shared_folder
 
 ROUNDS = 4
+#: Large pages let the compression see texts that repeat.
+STORE = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.enable.dictionary": "false"}
 LAYOUT = "path string, sequences bigint, length int, per_shard int, key bigint, stride int"
 
 
@@ -123,7 +125,7 @@ def _encoded(texts: DataFrame, ranks: bytes, pattern: str, separator: int, lengt
             at += len(m)
 
     schema, path = "task int, at bigint, ids binary", shared_folder(texts.sparkSession, "sequences")
-    texts.mapInArrow(run, schema).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    texts.mapInArrow(run, schema).write.options(**STORE).parquet(path)
     return texts.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -154,10 +156,9 @@ def write_shards(docs: DataFrame, path: str, ranks: bytes, pattern: str, separat
                 numbers = at + np.array([first[t] for t in names.tolist()], dtype=np.int64)[inverse] if len(at) else at
                 yield pa.RecordBatch.from_arrays([pa.array(permute(numbers, total, key)), batch.column(2)], ["slot", "ids"])
 
-        shard = F.floor(F.col("slot") / per_shard).cast("int")
-        placed = kept.mapInArrow(place, "slot bigint, ids binary").select("slot", shard.alias("shard"), "ids")
-        ranges = placed.repartitionById(-(-shards // together), F.floor(F.col("shard") / together).cast("int"))
-        ranges.sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").text(path)
+        placed = kept.mapInArrow(place, "slot bigint, ids binary")
+        ranges = placed.repartitionById(-(-shards // together), F.floor(F.col("slot") / (per_shard * together)).cast("int"))
+        ranges.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("int")).sortWithinPartitions("shard", "slot").select("shard", F.col("ids").cast("string").alias("value")).write.partitionBy("shard").text(path)
     release(kept)
     spark.createDataFrame([layout], LAYOUT).coalesce(1).write.json(f"{path}/_layout")
     return layout
