@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from quire.functions.text import WS, any_of, has, strip, words
+from quire.functions.text import SPACE_CLASS, WS, any_of, has, strip, words
 
 # Words that mark publication metadata.
 PLATFORM_WORDS = [
@@ -13,7 +13,7 @@ PLATFORM_WORDS = [
 ]
 STATUS_WORDS = ["preprint", "submitted", "accepted", "under review", "to appear", "camera-ready", "published", "copyright"]
 # Patterns of identifiers and dates.
-ARXIV_ID = rf"arxiv:[^{WS[1:-1]}]"
+ARXIV_ID = rf"arxiv:[^{SPACE_CLASS}]"
 BRACKET_TAG = r"\[[A-Za-z0-9.\-]+\]"
 DOI = r"(?U)\b10\.\p{Nd}{4,9}/[-._;()/:A-Za-z0-9]+\b"
 FULL_DATE = rf"(?U)\b\p{{Nd}}{{1,2}}{WS}+[A-Z][a-z]{{2,8}}{WS}+\p{{Nd}}{{4}}\b"
@@ -66,7 +66,7 @@ REFERENCE_HEADING = "REFERENCES"
 BIOGRAPHY_HEADINGS = ["BIOGRAPHIES", "BIOGRAPHY"]
 HYPHEN_AT_END = r"[A-Za-z]{3}-\z"
 HYPHEN_INSIDE = rf"[A-Za-z]{{3}}-{WS}+[a-z]{{2}}"
-HEADING_THEN_BODY = rf"^[IVXLC]+\.{WS}+[A-Z][A-Z\-&,{WS[1:-1]}]{{4,}}{WS}+[A-Z][a-z]"
+HEADING_THEN_BODY = rf"^[IVXLC]+\.{WS}+[A-Z][A-Z\-&,{SPACE_CLASS}]{{4,}}{WS}+[A-Z][a-z]"
 FRAGMENTED = rf"(?U)\b[a-zA-Z]{{1,2}}{WS}+[a-zA-Z]{{1,2}}{WS}+[a-zA-Z]{{1,2}}\b"
 
 
