@@ -59,3 +59,23 @@ def test_documents_are_dealt_in_several_parts_a_core(spark, tmp_path):
     spark.createDataFrame([(i, "x") for i in range(40)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     plan = derived.documents(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert int(re.search(r"RepartitionByExpression \[doc_id#\d+L\], (\d+)", plan).group(1)) >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_windows_sum_up_their_boxes(spark):
+    from quire.operators import align as A
+
+    norms = ["the 12 cats", "é é", "a", "sat on 3 mats.", "end"]
+    body = spark.createDataFrame([([{"norm": n} for n in norms],)], "body array<struct<norm:string>>")
+    got = body.select(F.inline(A._windows(F.col("body")))).collect()
+    assert {(w["first"], w["last"]) for w in got} == {(i, j) for i in range(5) for j in range(i, min(i + A.WINDOW_BOXES, 5))}
+    for w in got:
+        text = " ".join(norms[w["first"]:w["last"] + 1])
+        counts = [sum(text.count(x) for x in c) for c in A.COUNTED]
+        assert (w["n"], w["profile"]) == (len(text), [*counts, len(text) - sum(counts)])
+
+
+def test_each_box_is_counted_once(spark):
+    from quire.operators import align as A
+
+    plan = spark.createDataFrame([([{"norm": "x"}],)], "body array<struct<norm:string>>").select(A._windows(F.col("body")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" not in plan and "array_join" not in plan
