@@ -79,3 +79,14 @@ def test_each_box_is_counted_once(spark):
 
     plan = spark.createDataFrame([([{"norm": "x"}],)], "body array<struct<norm:string>>").select(A._windows(F.col("body")))._jdf.queryExecution().optimizedPlan().toString()
     assert "translate" not in plan and "array_join" not in plan
+
+
+@pytest.mark.parametrize("name", ["_near", "_bullet_items", "_windows"])
+def test_page_estimates_are_written_before_they_are_read_again(spark, name, monkeypatch):
+    from quire.plans import q_align
+
+    written = []
+    keep = q_align.stored
+    monkeypatch.setattr(q_align, "stored", lambda df, label: written.append(label) or keep(df, label))
+    getattr(q_align, name)(spark, "/root/testdata/sf0.001")
+    assert written == ["pages", "located"]
