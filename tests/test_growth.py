@@ -90,3 +90,34 @@ def test_page_estimates_are_written_before_they_are_read_again(spark, name, monk
     monkeypatch.setattr(q_align, "stored", lambda df, label: written.append(label) or keep(df, label))
     getattr(q_align, name)(spark, "/root/testdata/sf0.001")
     assert written == ["pages", "located"]
+
+
+
+def body(spark):
+    rows = [(d, i, d * 100 + i, "heading" if i % 3 == 0 else "paragraph", "section" if i % 3 == 0 else None, f"T{i}" if i % 3 == 0 else f"text {i}", f"s{i}") for d in range(2) for i in range(6)]
+    return spark.createDataFrame(rows, "doc_id long, element_index int, element_id long, type string, level string, text string, summary string").withColumns({
+        "section_title": F.lit("T0"), "key_points": F.array("summary"), "intro_text": F.lit(None).cast("string"), "items": F.lit(None).cast("array<string>"),
+        "text_zh": F.lit(None).cast("string"), "summary_zh": F.lit(None).cast("string"), "key_points_zh": F.lit(None).cast("array<string>"), "items_zh": F.lit(None).cast("array<string>")})
+
+
+def calls(spark):
+    """A counter of evaluations and a column that adds to it and stays 0."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def touch(_):
+        seen.add(1)
+        return 0
+
+    return seen, touch.asNondeterministic()
+
+
+def test_roll_ups_evaluate_the_elements_once(spark):
+    from quire.operators import overview as O
+
+    seen, touch = calls(spark)
+    rows = body(spark).repartition(2).withColumn("summary", F.concat("summary", F.repeat(F.lit("x"), touch("element_index"))))
+    out = O.regenerate_overviews(rows, spark.createDataFrame([(0, '{"overall_summary": "a"}')], "doc_id long, content string"))
+    got = {r.doc_id: [(s.section_title, s.summary) for s in r.sections] for r in out.collect()}
+    assert got == {d: [("T0", "s1 s2"), ("T3", "s4 s5")] for d in (0, 1)}
+    assert seen.value == 12
