@@ -121,3 +121,18 @@ def test_roll_ups_evaluate_the_elements_once(spark):
     got = {r.doc_id: [(s.section_title, s.summary) for s in r.sections] for r in out.collect()}
     assert got == {d: [("T0", "s1 s2"), ("T3", "s4 s5")] for d in (0, 1)}
     assert seen.value == 12
+
+
+def test_displayed_texts_read_the_overviews_once_for_all_languages(spark):
+    from quire.sources.views import displayed_texts
+
+    seen, touch = calls(spark)
+    one = spark.createDataFrame([(1, "A", "O", ["p"], "zA", None, None)], "doc_id long, abstract_summary string, overall_summary string, overall_key_points array<string>, "
+                                "abstract_summary_zh string, overall_summary_zh string, overall_key_points_zh array<string>")
+    more = {c: F.lit(None).cast(k) for c, k in (("highlights", "array<struct<element_id:int,title:string,summary:string>>"), ("highlights_zh", "array<struct<element_id:int,title:string,summary:string>>"),
+            ("sections", "array<struct<section_key:string,section_title:string,summary:string>>"), ("sections_zh", "array<struct<section_key:string,section_title:string,summary:string>>"))}
+    panels = one.withColumns(more).repartition(2).withColumn("doc_id", F.col("doc_id") + touch("doc_id"))
+    got = {(r.field_name, r.item_index, r.language, r.text) for r in displayed_texts(body(spark).limit(0), panels).collect()}
+    assert got == {("abstract_summary", None, "en", "A"), ("abstract_summary", None, "zh", "zA"), ("overall_summary", None, "en", "O"), ("overall_summary", None, "zh", "O"),
+                   ("overall_key_points", 0, "en", "p"), ("overall_key_points", 0, "zh", "p")}
+    assert seen.value == 1
