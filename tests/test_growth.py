@@ -136,3 +136,24 @@ def test_displayed_texts_read_the_overviews_once_for_all_languages(spark):
     assert got == {("abstract_summary", None, "en", "A"), ("abstract_summary", None, "zh", "zA"), ("overall_summary", None, "en", "O"), ("overall_summary", None, "zh", "O"),
                    ("overall_key_points", 0, "en", "p"), ("overall_key_points", 0, "zh", "p")}
     assert seen.value == 1
+
+
+def test_edit_job_evaluates_its_inputs_once(spark):
+    import json
+
+    from quire.plans.jobs import edit_job
+    from quire.plans.q_highlights import pdf_highlights, text_highlights
+
+    seen, touch = calls(spark)
+    rows = body(spark).repartition(2).withColumn("element_index", F.col("element_index") + touch("element_id"))
+    seen_edits, touch_edit = calls(spark)
+    edits = spark.createDataFrame([(1, 0, 1, "update", "new", None, None), (2, 0, 99, "update", "lost", None, None)],
+                                  "edit_seq long, doc_id long, element_id long, op string, text string, intro_text string, items array<string>")
+    edits = edits.repartition(2).withColumn("edit_seq", F.col("edit_seq") + touch_edit("edit_seq"))
+    shape = "array<struct<section_key:string,section_title:string,summary:string>>"
+    overviews = spark.createDataFrame([(0,), (1,)], "doc_id long").withColumns({"sections": F.array().cast(shape), "sections_zh": F.array().cast(shape)})
+    texts, marks = (f(spark, "/root/testdata/sf0.001").limit(0) for f in (text_highlights, pdf_highlights))
+    job = edit_job(rows, overviews, texts, marks, edits, lambda ps: [(json.dumps({"summary": "S", "key_points": []}), 1, 1) for _ in ps])
+    assert {(r.element_id, r.text) for r in job.elements.where("summary = 'S'").collect()} == {(1, "new")}
+    assert [(r.edit_seq, r.reason) for r in job.rejected.collect()] == [(2, "missing_element")]
+    assert (seen.value, seen_edits.value) == (12, 2)
