@@ -157,3 +157,14 @@ def test_edit_job_evaluates_its_inputs_once(spark):
     assert {(r.element_id, r.text) for r in job.elements.where("summary = 'S'").collect()} == {(1, "new")}
     assert [(r.edit_seq, r.reason) for r in job.rejected.collect()] == [(2, "missing_element")]
     assert (seen.value, seen_edits.value) == (12, 2)
+
+
+def test_intake_cuts_each_document_once(spark):
+    from quire.streaming import intake
+
+    seen, touch = calls(spark)
+    docs = spark.createDataFrame([(1, "## I. INTRODUCTION\n\n" + "Some words of a longer text here. " * 9)], "doc_id long, markdown string").repartition(2)
+    docs = docs.withColumn("markdown", F.concat("markdown", F.repeat(F.lit("x"), touch("doc_id"))))
+    tables = intake._tables(docs, None, None)
+    assert tables["chunks"].count() == 1 and tables["elements"].count() > 0 and tables["papers"].count() == 1
+    assert seen.value == 1
