@@ -168,3 +168,20 @@ def test_intake_cuts_each_document_once(spark):
     tables = intake._tables(docs, None, None)
     assert tables["chunks"].count() == 1 and tables["elements"].count() > 0 and tables["papers"].count() == 1
     assert seen.value == 1
+
+
+def test_translation_sends_no_table_through_the_driver(spark):
+    import json
+
+    from quire.operators import overview as O, translate as X
+    from quire.operators.answers import ask
+    from quire.session import stored
+
+    rows = stored(body(spark), "rows")
+    own = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+    given = stored(rows.select("doc_id", "element_index", F.lit("t").alias("text_zh"), F.lit("s").alias("summary_zh"), "key_points_zh", "items_zh"), "given")
+    answered = ask(X.translation_prompts(X.translation_batches(rows)), lambda ps: [(json.dumps({"elements": []}), 1, 1) for _ in ps])
+    frames = [X.number_batches(rows), X.translation_batches(rows), X.merge_translations(rows, given), X.translation_fallback(rows, given), X.apply_translations(rows, given), answered,
+              O.regenerate_overviews(rows, stored(rows.select("doc_id", F.lit("{}").alias("content")).distinct(), "answers"))]
+    assert [own(df) for df in frames] == [0] * len(frames)
+    assert answered.count() == 2 and X.apply_translations(rows, given).where("text_zh = 't'").count() == 12
