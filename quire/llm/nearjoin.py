@@ -8,7 +8,9 @@ frequent ones by hash. The prefix of a set is just long enough that two similar
   losses, so the prefix is extended until the rare tokens and the classes together outlast every loss that similarity allows.
 
 Pairs are never listed within a group of equals: first every set meets the smallest set of each of its signatures, then one set per
-signature chosen by hash; what is linked then is one component, and only sets of different components that share a signature are compared in a last step. Before texts are
+signature chosen by hash; what is linked then is one component, and only sets of different components that share a signature are compared in a last step. There the
+signatures of each set stand in one global order, rare ones first by exact counts: a similar pair meets at the first one it shares, which must
+leave enough of both lists, and a pair that shares one of the few before is not met again. Before texts are
 moved, pairs pass exact filters: sizes, shared signatures and parity bits must still allow the similarity. All steps verify on whole
 texts.
 """
@@ -20,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quire.llm.common import release, stored
 from quire.llm.words import BASE, ODD, Hasher, grams, mix, rows_of
@@ -29,6 +31,8 @@ from quire.llm.words import BASE, ODD, Hasher, grams, mix, rows_of
 SIZE = 5
 PERCENT = 75
 BITS = 1024
+#: Signatures before each one that the last step looks back at.
+BACK = 4
 
 
 def shingle_sets(hasher: Hasher, column: pa.Array, size: int = SIZE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -221,6 +225,38 @@ def components(links: DataFrame) -> DataFrame:
         roots = new.select("node", "root")
 
 
+def possible(x: str, y: str, shared: Column, percent: int) -> Column:
+    """Sizes, and shared signatures plus what lies behind the prefixes, allow the similarity."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    most = shared + F.greatest(f"{x}.rest", f"{y}.rest")
+    return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ((100 + percent) * most >= percent * n)
+
+
+def close(x: str, y: str, columns: list[str], percent: int) -> Column:
+    """The bits that differ leave room for the similarity; an exact filter, since they are no more than the tokens that differ."""
+    n = F.col(f"{x}.n") + F.col(f"{y}.n")
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns])
+    return (100 + percent) * (n - apart) >= 2 * percent * n
+
+
+def ranked(rows: DataFrame, back: int = BACK) -> DataFrame:
+    """Adds later, the signatures of the set from this one on, and earlier, the ``back`` before it, to (sig, key, k): by rising k, then sig."""
+    order = Window.partitionBy("key").orderBy(F.desc("k"), F.desc("sig"))
+    return rows.withColumns({"later": F.row_number().over(order), "earlier": F.collect_list("sig").over(order.rowsBetween(1, back))})
+
+
+def meetings(left: DataFrame, percent: int, folded: list[str]) -> DataFrame:
+    """(a, b): pairs of sets of different components that share a signature of ``left``, most of them once or a few times.
+
+    ``left`` has every signature that such sets share. At the first one in order a similar pair has all it shares still to come, and none
+    of those before in common; other places are left out where that shows.
+    """
+    x, y = left.alias("x"), left.alias("y")
+    return x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
+                  & possible("x", "y", F.least("x.later", "y.later"), percent) & close("x", "y", folded, percent)
+                  & ~F.arrays_overlap("x.earlier", "y.earlier")).select(F.col("x.key").alias("a"), F.col("y.key").alias("b"))
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int = 64, classes: int = 200_000) -> DataFrame:
     """(doc_id, text) to (doc_id, n_shingles, component_id), one row per input row.
 
@@ -244,41 +280,32 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     reps = reps.select("key", "doc_id")
 
     made = docs.select("text").mapInArrow(_signatures(size, percent, frequent), "sig bigint, key bigint, n int, rest int")
-    shared = made.groupBy("sig").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("sig", "least")
-    met = stored(made.join(shared, "sig").distinct(), "near-met")
+    alike = Window.partitionBy("sig")
+    met = made.repartition("sig").distinct().withColumns({"least": F.min("key").over(alike), "most": F.max("key").over(alike)})
+    met = stored(met.where("least < most").drop("most"), "near-met")
     owner = met.groupBy("key").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("rest").alias("rest"))
     owner = stored(owner.join(bits, "key"), "near-owners")
     whole = [f"b{i}" for i in range(BITS // 64)]
     folded = [f"f{i}" for i in range(4)]
 
-    def possible(x: str, y: str, common_signatures):
-        """Sizes, and shared signatures plus what lies behind the prefixes, allow the similarity."""
-        n = F.col(f"{x}.n") + F.col(f"{y}.n")
-        most = common_signatures + F.greatest(f"{x}.rest", f"{y}.rest")
-        return (100 * F.least(f"{x}.n", f"{y}.n") >= percent * F.greatest(f"{x}.n", f"{y}.n")) & ((100 + percent) * most >= percent * n)
-
-    def close(x: str, y: str, columns: list[str]):
-        """The bits that differ leave room for the similarity; an exact filter, since they are no more than the tokens that differ."""
-        n = F.col(f"{x}.n") + F.col(f"{y}.n")
-        apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns])
-        return (100 + percent) * (n - apart) >= 2 * percent * n
-
     def filtered(pairs: DataFrame) -> DataFrame:
         return pairs.join(owner.alias("p"), F.col("a") == F.col("p.key")).join(owner.alias("q"), F.col("b") == F.col("q.key"))
 
     first = met.where("key <> least").groupBy(F.col("least").alias("a"), F.col("key").alias("b")).agg(F.lit(0).alias("z"))
-    first = filtered(first).where(possible("p", "q", F.least("p.shared", "q.shared")) & close("p", "q", whole)).select("a", "b")
+    first = filtered(first).where(possible("p", "q", F.least("p.shared", "q.shared"), percent) & close("p", "q", whole, percent)).select("a", "b")
     links = verify(first, docs, reps, size, percent)
     roots = components(links)
 
-    known = owner.select("key", "n", "rest", "shared", *[
+    known = owner.select("key", "n", "rest", *[
         reduce(lambda a, b: a.bitwiseXOR(b), [F.col(f"b{i}") for i in range(j, BITS // 64, 4)]).alias(f"f{j}") for j in range(4)])
 
-    def across(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    def across(rows: DataFrame, roots: DataFrame, order: bool = False) -> DataFrame:
         """Of (sig, key) rows those of signatures that sets of several components share, with what is known of the sets."""
         rooted = stored(rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root")), "near-rooted")
-        apart = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-        wide = stored(rooted.join(apart, "sig").join(known, "key"), "near-apart")
+        apart = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("sig", "k")
+        several = rooted.join(apart, "sig")
+        several = ranked(several) if order else several
+        wide = stored(several.drop("k").join(known, "key"), "near-apart")
         release(rooted)
         return wide
 
@@ -287,20 +314,14 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, often: int =
     release(met)
     other = left.groupBy("sig").agg(F.min_by(F.struct("key", "n", "root", *folded), F.xxhash64("key", "sig")).alias("y")).select("sig", "y.*")
     x, y = left.alias("x"), other.alias("y")
-    between = x.join(y, F.col("x.sig") == F.col("y.sig")).where((F.col("x.root") != F.col("y.root")) & close("x", "y", folded)).select(
+    between = x.join(y, F.col("x.sig") == F.col("y.sig")).where((F.col("x.root") != F.col("y.root")) & close("x", "y", folded, percent)).select(
         F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    links = links.unionByName(verify(filtered(between).where(possible("p", "q", F.least("p.shared", "q.shared")) & close("p", "q", whole)).select("a", "b"), docs, reps, size, percent))
+    links = links.unionByName(verify(filtered(between).where(possible("p", "q", F.least("p.shared", "q.shared"), percent) & close("p", "q", whole, percent)).select("a", "b"), docs, reps, size, percent))
     roots = components(links)
 
-    wider, left = left, across(left.select("sig", "key"), roots)
+    wider, left = left, across(left.select("sig", "key"), roots, order=True)
     release(wider)
-    x, y = left.alias("x"), left.alias("y")
-    second = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                    & possible("x", "y", F.least("x.shared", "y.shared")) & close("x", "y", folded)).groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b")).agg(
-        F.count("*").alias("c"), F.first("x.n").alias("xn"), F.first("y.n").alias("yn"), F.first("x.rest").alias("xr"), F.first("y.rest").alias("yr"))
-    # every signature that two such sets share has been met, so the count is whole
-    second = second.where((100 + percent) * (F.col("c") + F.greatest("xr", "yr")) >= percent * (F.col("xn") + F.col("yn"))).select("a", "b")
-    second = filtered(second).where(close("p", "q", whole)).select("a", "b")
+    second = filtered(meetings(left, percent, folded).distinct()).where(close("p", "q", whole, percent)).select("a", "b")
     more = verify(second, docs, reps, size, percent)
     if more.limit(1).count():
         roots = components(links.unionByName(more))

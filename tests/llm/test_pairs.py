@@ -181,3 +181,16 @@ def test_top_k_empty_and_huge(spark):
     df = spark.createDataFrame([(0, [3e9, 1.0]), (1, [3e9, -1.0]), (2, [-3e9, 0.0])], "vec_id long, embedding array<float>")
     got = topk.search(df).collect()
     assert [(r.rank, r.vec_id) for r in sorted(got, key=lambda r: r.rank)] == [(1, 1), (2, 2)]
+
+
+def test_last_meetings_list_a_pair_about_once(spark):
+    """Sets that share a long run of signatures meet where the run begins; a similar pair is never left out."""
+    rnd = random.Random(4)
+    sigs = {key: [s for s in range(60) if rnd.random() < 0.8] for key in range(12)}
+    n, rest = 100, 60
+    rows = spark.createDataFrame([(s, key, sum(s in other for other in sigs.values()), key, n, rest, 0) for key, mine in sigs.items() for s in mine],
+                                 "sig long, key long, k long, root long, n int, rest int, f0 long")
+    got = [tuple(r) for r in nearjoin.meetings(nearjoin.ranked(rows), 75, ["f0"]).collect()]
+    shared = {(a, b): len(set(sigs[a]) & set(sigs[b])) for a in sigs for b in sigs if a < b}
+    assert {p for p, c in shared.items() if 175 * (c + rest) >= 75 * 2 * n} <= set(got)
+    assert len(got) < 4 * len(shared) < sum(shared.values()) / 8
