@@ -18,6 +18,7 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from quire.operators.edits import with_content
 
@@ -80,27 +81,46 @@ def written_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], "doc_id long") if found is None else found.select("doc_id")
 
 
-def _stage(elements: DataFrame, documents: DataFrame | None, path: str, write: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Evaluate the input once, into files of this write: its rows and the documents it replaces."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket together, in parts of a size that a task writes without spilling; a long document goes to several."""
+    return rows.withColumn("_slice", F.floor(F.col("element_index") / SLICE)).hint("rebalance", "doc_bucket", "_slice").drop("_slice")
+
+
+def _put(rows: DataFrame, path: str, write: str) -> None:
+    rows.write.mode("append").option("compression", "zstd").partitionBy("doc_bucket").parquet(f"{path}/data/{write}")
+
+
+def _stage(elements: DataFrame, documents: DataFrame | None, old: list, path: str, write: str, buckets: int) -> tuple[StructType, DataFrame]:
+    """Evaluate the input once: its rows to where they will stay, under the name of this write, and the documents it replaces beside them.
+
+    Columns that old rows have in another type get the type both fit in, which is returned with the others.
+    """
     spark = elements.sparkSession
-    rows = with_content(elements).withColumn("doc_bucket", bucket_of(F.col("doc_id"), buckets))
-    rows.write.parquet(f"{path}/staged/{write}/rows")
-    new = spark.read.parquet(f"{path}/staged/{write}/rows")
-    ids = new.select("doc_id").distinct()
+    rows = with_content(elements)
+    before = _read(spark, old, path, "data")
+    schema = (rows if before is None else rows.limit(0).unionByName(before.drop("doc_bucket").limit(0), allowMissingColumns=True)).schema
+    rows = rows.select(*[F.col(f"`{c}`").cast(schema[c].dataType).alias(c) for c in rows.columns])
+    _put(_dealt(rows.withColumn("doc_bucket", bucket_of(F.col("doc_id"), buckets))), path, write)
+    ids = spark.read.schema(StructType([schema["doc_id"]])).parquet(f"{path}/data/{write}").distinct()
     if documents is not None:
         ids = ids.unionByName(documents.select("doc_id").where("doc_id IS NOT NULL")).distinct()
     ids.withColumn("doc_bucket", bucket_of(F.col("doc_id"), buckets)).write.parquet(f"{path}/staged/{write}/docs")
-    return new, spark.read.parquet(f"{path}/staged/{write}/docs")
+    return schema, spark.read.parquet(f"{path}/staged/{write}/docs")
 
 
-def _merge(new: DataFrame, ids: DataFrame, old: list, touched: set[int], path: str, write: str, buckets: int) -> None:
-    """The touched buckets as they will be, under the name of this write. A long document is written in slices by several tasks."""
-    spark = new.sparkSession
-    for part, fresh in (("data", new), ("docs", ids)):
-        stay = _read(spark, old, path, part, touched)
-        rows = fresh if stay is None else fresh.unionByName(stay.join(ids.select("doc_id"), "doc_id", "left_anti"), allowMissingColumns=True)
-        slices = [F.floor(F.col("element_index") / SLICE)] if part == "data" else []
-        rows.repartition(max(len(touched), 1), "doc_bucket", *slices).write.partitionBy("doc_bucket").parquet(f"{path}/{part}/{write}")
+def _merge(schema: StructType, ids: DataFrame, old: list, touched: set[int], path: str, write: str, small: int = 1 << 21) -> None:
+    """What stays in the touched buckets, beside the new rows. Up to ``small`` replaced ids go to the tasks, and old rows are not shuffled."""
+    spark = ids.sparkSession
+    known = _read(spark, old, path, "docs", touched)
+    every = ids if known is None else ids.unionByName(known.join(ids.select("doc_id"), "doc_id", "left_anti"), allowMissingColumns=True)
+    every.repartition(max(len(touched), 1), "doc_bucket").write.partitionBy("doc_bucket").parquet(f"{path}/docs/{write}")
+    stay = _read(spark, old, path, "data", touched)
+    if stay is not None:
+        narrow = ids.count() <= small
+        gone = ids.select("doc_id")
+        stay = stay.join(F.broadcast(gone) if narrow else gone, "doc_id", "left_anti")
+        stay = spark.createDataFrame([], schema).withColumn("doc_bucket", F.lit(0)).unionByName(stay, allowMissingColumns=True)
+        _put(stay if narrow else _dealt(stay), path, write)
 
 
 def _commit(spark: SparkSession, old: list, touched: set[int], path: str, write: str, buckets: int) -> int:
@@ -121,9 +141,9 @@ def write_elements(elements: DataFrame, path: str, documents: DataFrame | None =
     spark = elements.sparkSession
     old, write = _manifest(spark, path), uuid.uuid4().hex
     buckets = old[0]["buckets"] if old else buckets
-    new, ids = _stage(elements, documents, path, write, buckets)
+    schema, ids = _stage(elements, documents, old, path, write, buckets)
     touched = {r["doc_bucket"] for r in ids.select("doc_bucket").distinct().collect()}
-    _merge(new, ids, old, touched, path, write, buckets)
+    _merge(schema, ids, old, touched, path, write)
     return _commit(spark, old, touched, path, write, buckets)
 
 

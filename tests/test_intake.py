@@ -142,3 +142,14 @@ def test_two_writers_are_noticed(spark, tmp_path):
         snapshots._commit(spark, snapshots._manifest(spark, path, 0), set(), path, write, 2)
     with pytest.raises(RuntimeError):
         read_elements(spark, path)
+
+
+def test_new_rows_are_written_once_and_old_ones_not_shuffled(spark, tmp_path):
+    """New rows go straight to their place; old ones, also of another type, are carried beside them."""
+    path, rows = f"{tmp_path}/elements", small_elements(spark)
+    write_elements(rows, path, buckets=2)
+    assert write_elements(rows.where("doc_id = 7").withColumn("element_index", F.lit(1 << 40)), path) == 1
+    staged = [f.name for f in (tmp_path / "elements" / "staged").glob("*/*")]
+    assert staged == ["docs", "docs"]
+    got = {r.doc_id: r.element_index for r in read_elements(spark, path).collect()}
+    assert got == {i: 1 << 40 if i == 7 else 0 for i in range(100)}
