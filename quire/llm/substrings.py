@@ -30,6 +30,8 @@ from quire.llm.words import BASE, Hasher, grams, mix, powers, rows_of
 #: Fixed value: words of a passage.
 LENGTH = 13
 GRAM = 5
+#: Different contexts that one automaton takes: of whole anchors until there are so many, or of one anchor alone.
+SHARD = 2000
 
 
 def occurrences(hashes: np.ndarray, limits: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -173,7 +175,7 @@ class Automaton:
                 yield i - length + 1, self.least[state]
 
 
-def _sharded(length: int, shard: int = 2000):
+def _sharded(length: int, shard: int = SHARD):
     """Rows sorted by anchor: one automaton per run of whole anchors with about ``shard`` contexts."""
     def settle(rows: list[tuple]) -> pa.RecordBatch | None:
         machine = Automaton()
@@ -240,7 +242,7 @@ def _cut(length: int, gram: int, digest: bool):
     return run
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = 256) -> DataFrame:
+def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = SHARD) -> DataFrame:
     """(doc_id, marks): for each document the occurrences whose windows (all, or those in ``repeats``) a smaller document has."""
     known = docs.where("doc_id is not null").select("doc_id", "text")
     made = known.mapInArrow(_anchors(length, gram), "anchor bigint, context bigint, doc_id bigint, start int, windows int")
@@ -268,7 +270,7 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int =
     return stored(told.groupBy("doc_id").agg(F.collect_list("m").alias("marks")), "sub-marks")
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = 256, digest: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, widest: int = SHARD, digest: bool = False) -> DataFrame:
     """Adds n_words, n_removed and kept (the text without repeats; its SHA-256 with ``digest``) to (doc_id, text, others); text goes.
 
     A word goes when a window of ``length`` words that covers it also stands in a document with a smaller doc_id; windows are those of
