@@ -77,6 +77,19 @@ def test_match_headings_in_order(spark):
     assert got == {0: 0, 4: 1, 6: 2}
 
 
+def test_match_headings_reads_the_headings_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(text):
+        seen.add(1)
+        return text
+
+    pages = pages_frame(spark, {1: [["INTRODUCTION", sentence(1)], ["RESULTS", sentence(2)]]})
+    heads = spark.createDataFrame([(1, 0, "Introduction"), (1, 4, "Results")], "doc_id long, element_index int, text string")
+    assert A.match_headings(heads.withColumn("text", F.udf(told, "string")("text")), pages).count() == 2
+    assert seen.value == 2
+
+
 def test_bullet_list_takes_the_weakest_confidence(spark):
     lists = spark.createDataFrame([(1, 0, [sentence(5), sentence(6)]), (1, 1, [sentence(5), "nothing like it at all"])], "doc_id long, element_index int, items array<string>")
     got = {r.element_index: r.match for r in A.match_bullet_lists(lists, pages_frame(spark, DOCS)).collect()}
