@@ -49,6 +49,33 @@ def test_squeeze_and_dashes_as_defined(spark):
         assert r.m == plain.lower().strip(X.SPACES)
 
 
+@pytest.mark.parametrize("rule", [X.squeeze, X.strip_md, X.normalize_for_match, X.normalize_markdown, X.first_line])
+def test_replacements_run_only_where_something_is_to_replace(spark, rule):
+    plan = plan_of(spark, rule)
+    assert "CASE WHEN" in plan and not re.search(r"trim\(regexp_", plan)
+
+
+def test_every_white_space_is_squeezed_and_broken_at(spark):
+    spaces, breaks = "[" + re.escape(X.SPACES) + "]", "[" + re.escape(X.BREAKS) + "]"
+    texts = [f"{a}x{c}y{c}{d}z é" for c in X.SPACES + "–•" for d in ("", " ", "\n") for a in ("", c, "• ")] + ["plain words", "3. x", "٣. x", "IV. LATE"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.squeeze(F.col("t")).alias("s"), X.first_line(F.col("t")).alias("l")).collect()
+    for r in rows:
+        assert r.s == re.sub(f"{spaces}+", " ", r.t).strip(" ")
+        assert r.l == re.split(breaks, r.t)[0].strip(X.SPACES)
+
+
+def test_markdown_breaks_and_blanks(value):
+    for text, expected in [("a\r\nb\rc", "a\nb\nc"), ("a\t b  c\td", "a b c d"), ("a\n\n\n\nb\n\nc\n", "a\n\nb\n\nc"), ("a\u00a0\u00a0b", "a b"), ("a\r\n\r\n\r\nb", "a\n\nb"), (None, None), ("", "")]:
+        assert value(X.normalize_markdown, text) == expected, text
+
+
+def test_table_and_title_marks(value):
+    for text, expected in [("a|:b", True), ("a | - b", True), ("a|b", False), ("|||||x|", True), ("|a|b\n|c|", True), ("a:-b", False), ("", False)]:
+        assert value(R.is_table_like, text) is expected, text
+    for text, expected in [("3.", "3."), ("٣.", "٣."), ("IV. LATE", "IV. LATE"), ("2.1 Results", "2.1 Results"), ("*_`Abstract`_*", "ABSTRACT"), ("References", "REFERENCES"), ("words", None), ("", None), (None, None)]:
+        assert value(R.section_title, text) == expected, text
+
+
 def test_back_matter_words_among_other_signs(value):
     for text, expected in [("references", True), ("— references —", True), ("r-e-f-erences.", True), ("r e ferences", False),
                            ("references 2", False), ("xappendix", False), ("* appendix", True), ("acknowledgements", True), ("appendixes", False)]:
