@@ -94,3 +94,22 @@ def test_rects_and_positions(spark):
         B.dedupe_rects(F.array(F.array(F.lit(1.0001), F.lit(2.0)), F.array(F.lit(1.00011), F.lit(2.0)), F.array(F.lit(1.5), F.lit(2.0)))).alias("r"),
         B.occurrences(F.lit("aaaa"), F.lit("aa")).alias("p"), B.page_column(F.lit(148.0), F.lit(350.0)).alias("left"), B.page_column(F.lit(200.0), F.lit(300.0)).alias("mid")).first()
     assert len(row.r) == 2 and row.p == [0, 1, 2] and row.left == "left" and row.mid == "center"
+
+
+def test_occurrences_equal_plain_search_across_stretches(spark):
+    rows = [("ab" * 300, "aba"), ("é" * 129 + "x", "éé"), ("x" * 127 + "abc" + "y" * 125 + "abc", "abc"), ("abc", "abcd"), ("abc", ""), (None, "a"), ("abc", None), ("", "a")]
+    got = [r.p for r in spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, q string").coalesce(1).orderBy("i").select(B.occurrences(F.col("t"), F.col("q")).alias("p")).collect()]
+    assert got == [[i for i in range(len(t or "") - len(q or "") + 1) if q and t and t.startswith(q, i)] for t, q in rows]
+
+
+def test_places_are_compared_in_short_stretches(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("é" * n + "abc",)], "t string").select(F.size(B.occurrences(F.col("t"), F.lit("abc"))).alias("n"))
+        start = time.time()
+        assert df.first()["n"] == 1
+        return time.time() - start
+
+    seconds(100)
+    assert seconds(300_000) < 20
